@@ -1,4 +1,86 @@
-"""Queries of the llm problems and their SQL twins."""
+"""Queries of the llm problems (p3, p5 to p8) and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sentrymill.llm import bpe, overlap
+from sentrymill.llm.mixture import Mixture
+from sentrymill.llm.quota_sample import QuotaSample
+from sentrymill.sources.tables import bounded_broadcast, table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.pairs(overlap.overlaps(table(spark, d, "combined_dataset")))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "combined_dataset")
+    names = bounded_broadcast(table(spark, d, "dataset_catalog").select("dataset_id", F.col("dataset_name").alias("source")))
+    found = overlap.overlaps(records)
+    return overlap.report(records.select("record_id", "split", "dataset_id").join(names, "dataset_id", "left"), found, "source")
+
+
+def _quota(spark: SparkSession, d: str) -> QuotaSample:
+    return QuotaSample(table(spark, d, "combined_dataset"), table(spark, d, "dataset_catalog"), table(spark, d, "sample_targets"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _quota(spark, d).unmet()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return _quota(spark, d).report()
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _quota(spark, d).sample()
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encoded(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).mix()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p5_sample, p6_ids, p7_mix, p7_shares)}
+
+_AGREE = " + ".join(
+    f"(CASE WHEN (a.{m} IS NULL AND b.{m} IS NULL) OR abs(a.{m} - b.{m}) <= 0.01 * greatest(abs(a.{m}), abs(b.{m})) THEN 1 ELSE 0 END)"
+    for m in overlap.MEASUREMENTS
+)
+_P3 = f"""
+agreed AS (
+  SELECT a.record_id AS s, b.record_id AS h, {_AGREE} AS n
+  FROM combined_dataset a JOIN combined_dataset b ON a.split = 'train' AND b.split IN ('valid', 'test')),
+found AS (SELECT * FROM agreed WHERE n >= 13)
+"""
+_P5 = """
+size AS (SELECT count(*) // 10 AS s FROM combined_dataset),
+there AS (SELECT c.dataset_name, d.label_family, count(*) AS n FROM combined_dataset d JOIN dataset_catalog c USING (dataset_id) GROUP BY 1, 2),
+needs AS (
+  SELECT t.dataset_name, t.label_family, coalesce(there.n, 0) AS available,
+         greatest(t.min_rows, CAST(floor(CAST(t.target_share AS DECIMAL(18, 9)) * s + 0.5) AS BIGINT)) AS need
+  FROM sample_targets t CROSS JOIN size LEFT JOIN there ON there.dataset_name = t.dataset_name AND there.label_family = t.label_family)
+"""
+
+SQL = {
+    "p3_found": f"WITH {_P3} SELECT least(s, h) AS record_a, greatest(s, h) AS record_b FROM found",
+    "p3_report": f"""WITH {_P3},
+best AS (SELECT h, count(*) AS partners, max(n) / 16.0 AS coverage FROM found GROUP BY h)
+SELECT d.split, c.dataset_name AS source, count(*) AS records, count(coverage) AS overlapping, CAST(coalesce(sum(partners), 0) AS BIGINT) AS pairs, round(avg(coverage), 6) AS mean_coverage
+FROM combined_dataset d LEFT JOIN dataset_catalog c USING (dataset_id) LEFT JOIN best ON best.h = d.record_id
+WHERE d.split IN ('valid', 'test') GROUP BY 1, 2""",
+    "p5_found": f"WITH {_P5} SELECT dataset_name, label_family FROM needs WHERE need > available",
+}
