@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentrymill.llm import bpe, overlap
 from sentrymill.llm.mixture import Mixture
 from sentrymill.llm.quota_sample import QuotaSample
+from sentrymill.llm.residue import Residue, without_residue
 from sentrymill.sources.tables import bounded_broadcast, table
 
 
@@ -54,7 +55,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p5_sample, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return Residue(table(spark, d, "documents")).found()
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    return without_residue(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_report, p5_found, p5_report, p5_sample, p6_ids, p7_mix, p7_shares, p8_found, p8_documents)
+}
 
 _AGREE = " + ".join(
     f"(CASE WHEN (a.{m} IS NULL AND b.{m} IS NULL) OR abs(a.{m} - b.{m}) <= 0.01 * greatest(abs(a.{m}), abs(b.{m})) THEN 1 ELSE 0 END)"
