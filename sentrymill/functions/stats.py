@@ -42,22 +42,11 @@ def entropy_of(counts: Column) -> Column:
 
 
 def text_entropy(text: Column) -> Column:
-    """Character entropy of a text, counted as run lengths of its sorted characters: n log n, no character explode."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("acc"), F.lit(0.0).alias("n"))
-    term = lambda r: F.when(r > 0, r * F.log2(r)).otherwise(0.0)
-
-    def step(s: Column, c: Column) -> Column:
-        same = s["last"] == c
-        return F.struct(
-            c.alias("last"),
-            F.when(same, s["run"] + 1).otherwise(F.lit(1.0)).alias("run"),
-            (s["acc"] + F.when(same, F.lit(0.0)).otherwise(term(s["run"]))).alias("acc"),
-            (s["n"] + 1).alias("n"),
-        )
-
-    done = lambda s: F.when(s["n"] > 0, F.log2(s["n"]) - (s["acc"] + term(s["run"])) / s["n"]).otherwise(0.0)
-    return F.coalesce(F.aggregate(chars, start, step, done), F.lit(0.0))
+    """Character entropy of a text: each distinct character is counted by what its removal shortens; 0 for an empty or null text."""
+    n = F.length(text)
+    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    return F.coalesce(F.aggregate(chars, F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c))), F.lit(0.0))
 
 
 def ladder(value: Column, *steps: tuple[float, str], last: str) -> Column:

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 #: Producer, one separator, and a number without leading zeros that fits 64 bits.
 SEQUENCE_ID = r"^(.*[^0-9a-z])(0|[1-9][0-9]{0,17})$"
-BLOCK = 1 << 16
+BLOCK_BITS = 16
+BLOCK = 1 << BLOCK_BITS
 
 RANGE_SCHEMA = "producer string, lo bigint, hi bigint"
 KEY_SCHEMA = "key string"
@@ -58,7 +59,7 @@ def _parsed(df: DataFrame) -> DataFrame:
 
 def _blocks(ranges: DataFrame) -> DataFrame:
     """Ranges cut at block borders; a range of n numbers gives n / BLOCK + 2 rows at most."""
-    blocks = F.explode(F.sequence(F.floor(F.col("lo") / F.lit(BLOCK)), F.floor(F.col("hi") / F.lit(BLOCK))))
+    blocks = F.explode(F.sequence(F.shiftright("lo", BLOCK_BITS), F.shiftright("hi", BLOCK_BITS)))
     start = F.col("block") * BLOCK
     return ranges.select("producer", "lo", "hi", blocks.alias("block")).select(
         "producer", "block", F.greatest("lo", start).alias("lo"), F.least("hi", start + (BLOCK - 1)).alias("hi")
@@ -102,7 +103,7 @@ def accept_once(
         offered.groupBy("key").agg(first.alias("first")).select("key", F.col(f"first.o{len(ordering) - 1}").alias("kept_id"))
     )
     if ranges is not None:
-        probe = best.withColumn("block", F.floor(F.col("seq") / F.lit(BLOCK)))
+        probe = best.withColumn("block", F.shiftright("seq", BLOCK_BITS))
         cover = _blocks(ranges).alias("r")
         best = probe.alias("b").join(
             cover,

@@ -176,7 +176,7 @@ def oversample(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     """label_binary against a simple rate of forward packets as score."""
     c = _records(spark, d)
-    p = F.coalesce(F.col("fwd_packets").cast("double") / (F.col("fwd_packets") + F.col("bwd_packets")), F.lit(0.5))
+    p = F.coalesce(F.try_divide(F.col("fwd_packets").cast("double"), F.col("fwd_packets") + F.col("bwd_packets")), F.lit(0.5))
     return c.where("label_binary IS NOT NULL").select("record_id", F.col("label_binary").cast("double").alias("y"), F.round(p, 6).alias("p"), "label_family", "label_binary", "dataset_id")
 
 
@@ -251,7 +251,7 @@ a AS (SELECT c_custkey AS party_key, c_name AS name, c_nationkey AS nationkey, c
 b AS (SELECT s_suppkey AS party_key, s_name AS name, s_nationkey AS nationkey, s_acctbal AS acctbal FROM supplier)
 """
 _JUDGED = """
-j AS (SELECT record_id, label_binary::DOUBLE AS y, round(coalesce(fwd_packets::DOUBLE / (fwd_packets + bwd_packets), 0.5), 6) AS p, label_family, dataset_id FROM combined_dataset WHERE label_binary IS NOT NULL)
+j AS (SELECT record_id, label_binary::DOUBLE AS y, round(coalesce(fwd_packets::DOUBLE / nullif(fwd_packets + bwd_packets, 0), 0.5), 6) AS p, label_family, dataset_id FROM combined_dataset WHERE label_binary IS NOT NULL)
 """
 _SCALES = {
     "standard": "round((c.{c} - m_{c}) / CASE WHEN s_{c} < 1e-10 THEN 1 ELSE s_{c} END, 6)",
