@@ -126,7 +126,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     def entry(a: str, b: str) -> Column:
         both = v(a).isNotNull() & v(b).isNotNull()
         x, y = F.when(both, v(a)), F.when(both, v(b))
-        r = F.when((F.stddev_pop(x) < TINY) | (F.stddev_pop(y) < TINY), 0.0).otherwise(F.corr(x, y))
+        r = F.when((F.stddev_pop(x) < TINY) | (F.stddev_pop(y) < TINY), 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
         return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
 
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
