@@ -21,7 +21,7 @@ _ASK = (
     r"à|a|compléter|completer|remplir|insérer|votre|nom|completar|rellenar|insertar|introducir|su|nombre|fecha|hora|"
     r"inserire|compilare|preencher|inserir|вставьте|вставить|укажите|заполнить|введите"
 )
-#: Writings of a slot; each is a whole mark, tried in this order.
+#: Writings of a slot; each is a whole mark. Those of SLOT_FORMS begin with a sign, the others are looked for only in texts that hold a part of them.
 SLOT_FORMS = (
     rf"\[\[\[?\s*{_NAME}\s*\]?\]\]",
     rf"\{{\{{\{{?[#/&^]?\s*{_NAME}(?:\s*\|\s*\w+)*\s*\}}?\}}\}}",
@@ -45,41 +45,58 @@ SLOT_FORMS = (
     r"~\{\w+\}|\|\|\w+\|\|",
     r"%%?[A-Za-z][A-Za-z_]*%%?",
     r"%[sdif@]\b|%\d\$[sd]",
-    r"\b__[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*__",
-    r"_{3,}|\.{6,}|…{2,}",
     rf"[\[【]\s*(?:{_ASK})(?=[\s:.…\]】])[^\[\]\n]{{0,40}}[\]】]",
     r"\[\s*[A-ZÀ-Ý][A-ZÀ-Ý]+(?:[ _\-][A-ZÀ-Ý]+){0,3}\s*\]",
     r"\[\s*[a-zß-ÿ]+(?:[ _\-][a-zß-ÿ]+){0,2}\s*\]",
     r"\[\s*(?:Datum|Uhrzeit|Name|Ort|Zahl|Nummer|Wert|Date|Heure|Nom|Lieu|Fecha|Hora|Nombre|Lugar)(?: [\wÀ-ÿ]+)?\s*\]",
     r"\(\s*(?:your|insert|enter|add|ihr\w*|votre|su|tu) [^()\n]{1,30}\)",
     r"<\s*(?!/)[A-Za-z][A-Za-z]*(?:[ _\-][A-Za-z]+){0,3}\s*>",
-    r"\b[a-z]+(?:[._][a-z]+)*\.(?:label|placeholder|title|text|name|value|field|message|caption)\b(?!\()",
-    r"\b(?:undefined|null|NaN|None|nil|NULL|\[object Object\]|XXX+|TBD|TBA|TBC|TK|N\.N\.)(?![\w-])",
+    r"\[object Object\]",
 )
-_SLOTS = re.compile("|".join(f"(?:{f})" for f in SLOT_FORMS))
+LINE_FORMS = (r"(?<!\w)__[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*__|_{3,}|\.{6,}|…{2,}", ("__", "......", "……"))
+KEY_FORMS = (
+    r"(?<![\w.])[a-z]+(?:[._][a-z]+)*\.(?:label|placeholder|title|text|name|value|field|message|caption)\b(?!\()",
+    (".label", ".placeholder", ".title", ".text", ".name", ".value", ".field", ".message", ".caption"),
+)
+WORD_FORMS = (
+    r"(?<!\w)(?:undefined|null|NaN|None|nil|NULL|XXX+|TBD|TBA|TBC|TK|N\.N\.)(?![\w-])",
+    ("undefined", "null", "NaN", "None", "nil", "NULL", "XXX", "TBD", "TBA", "TBC", "TK", "N.N."),
+)
+_SIGNED = re.compile(r"(?=[\[{<&«‹$#@%*~|(【])(?:" + "|".join(f"(?:{f})" for f in SLOT_FORMS) + ")")
+_LINES, _KEYS, _WORDS = (re.compile(f) for f, _ in (LINE_FORMS, KEY_FORMS, WORD_FORMS))
+
+
+def _slots(text: str, mark: str) -> str:
+    text = _SIGNED.sub(mark, text)
+    for pattern, (_, parts) in ((_LINES, LINE_FORMS), (_KEYS, KEY_FORMS), (_WORDS, WORD_FORMS)):
+        if any(p in text for p in parts):
+            text = pattern.sub(mark, text)
+    return text
+
+
 _TAG = re.compile(
     r"<!--.*?-->|<!DOCTYPE[^>]*>|</?(?:html|head|body|title|meta|link|script|style|noscript|div|span|p|br|hr|h[1-6]|ul|ol|li|a|b|i|em|strong|center|table|tr|td|th|img|form|input|button|pre|nav|header|footer|article)\b[^<>]*/?>",
     re.I | re.S,
 )
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
 _QUOTED = re.compile(r"\"[^\"\n]{0,200}\"|„[^“”\n]{0,200}[“”]|“[^”\n]{0,200}”")
-_URL = re.compile(r"(?:\w+://|(?<![\w>\]})%])/)[^\s]+|[A-Za-z]:\\\S+|(?:\$HOME|%USERPROFILE%|%APPDATA%)[/\\]\S*")
+_URL = re.compile(r"://\S+|(?<![\w>\]})%:/])/\S+|(?<!\w)[A-Za-z]:\\\S+|(?:\$HOME|%USERPROFILE%|%APPDATA%)[/\\]\S*")
 _BREAK = re.compile(r"[\n\r\t]+|(?<=[.!?。।؟…])\s+|(?<=[:;])\s+|(?<=[。।؟])|(?<=</p>)")
 _SPACES = re.compile(r"\s+")
-_DIGIT = re.compile(r"\d")
 _SLOTTED = re.compile(rf"[\w.,\-]*{SLOT}[\w\-]*(?:[^\w\s()\[\]]{SLOT}[\w\-]*)*")
-_VALUED = re.compile(r"[^\s()\[\]:;,=]*\d[^\s()\[\];,=]*?(?=[)\].,;:]*$)|[^\s()\[\]:;,=]*\d[^\s()\[\];,:=]*")
+_VALUED = re.compile(r"(?<![^\s()\[\]:;,=])[^\s()\[\]:;,=\d。।؟]*\d[^\s()\[\];,=。।؟]*?(?=[)\].,;:!?…]*(?:\s|$)|[()\[\];,=。।؟])")
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 
 
 def marked(text: str) -> str:
-    """The text without markup, with each slot that isn't shown as code, quoted or inside an address replaced by one mark."""
+    """The text without markup, with one mark for each slot that isn't shown as code, quoted or inside an address, and one for each value."""
     if "</" in text or "<br" in text:
         text = _TAG.sub("\n", text)
     text = _CODE.sub(lambda m: "\ncode0\n" if "\n" in m.group(0) else "code0", text)
-    text = _URL.sub("addr0", text)
-    text = _QUOTED.sub(lambda m: _SLOTS.sub("quote0", m.group(0)), text)
-    return _SLOTS.sub(SLOT, text)
+    if "/" in text or "\\" in text:
+        text = _URL.sub("addr0", text)
+    text = _QUOTED.sub(lambda m: _slots(m.group(0), "quote0"), text)
+    return _VALUED.sub(VALUE, _slots(text, SLOT))
 
 
 def segments(text: str) -> list[str]:
@@ -87,11 +104,9 @@ def segments(text: str) -> list[str]:
 
 
 def _masked_token(token: str) -> str:
-    if SLOT in token:
-        return VALUE if len(token) == 1 else _SLOTTED.sub(VALUE, token)
-    if _DIGIT.search(token):
-        return _VALUED.sub(VALUE, token)
-    return token
+    if SLOT not in token:
+        return token
+    return VALUE if len(token) == 1 else _SLOTTED.sub(VALUE, token)
 
 
 @lru_cache(maxsize=100_000)
