@@ -58,7 +58,7 @@ def quotas(shares: list[float], minimums: list[int], available: list[int], size:
     out = fixed | {i: int(ideal[i]) for i in free}
     short = min(size - sum(out.values()), sum(available[i] - out[i] for i in free)) if free else 0
     for i in sorted(free, key=lambda i: (-(ideal[i] - out[i]), i)):
-        if short > 0 and out[i] < available[i]:
+        if short > 0 and exact[i] > 0 and out[i] < available[i]:
             out[i] += 1
             short -= 1
     return [out[i] for i in range(len(shares))]

@@ -151,7 +151,8 @@ class Residue:
 
     def verdicts(self) -> DataFrame:
         """h, documents, verdict: each distinct template judged once."""
-        return self.templates().select("h", "documents", "template").mapInArrow(_judge, "h bigint, documents bigint, verdict int")
+        spread = self._parts.sparkSession.sparkContext.defaultParallelism * 2  # little data, much work a row
+        return self.templates().select("h", "documents", "template").repartition(spread, "h").mapInArrow(_judge, "h bigint, documents bigint, verdict int")
 
     def empty_of_content(self) -> DataFrame:
         """Keys of documents that have nothing but filler, errors and notices besides titles and furniture."""

@@ -149,7 +149,6 @@ NOTICE_ACT = (
     r"habilit|permit|requier|necesit|desactiv|acept|включите|разрешите|требует)"
 )
 NOTICES = (
-    rf"\b(?:{NOTICE}\b.*{NOTICE_ACT}|{NOTICE_ACT}.*\b{NOTICE})",
     r"^(?:needs?|no) (?:cookies|scripts|javascript)\b",
     r"^no scripts?, no \w+",
     r"\bjs (?:is|seems|must|has)\b|client-side code|^(?:show|tell) us that you",
@@ -200,6 +199,8 @@ FILLER = (
 )
 _LOGGED = re.compile(rf"^{re.escape(VALUE)}.*\b(?:ERROR|WARN|INFO|DEBUG)\b|\b\w+={re.escape(VALUE)}.*\b\w+={re.escape(VALUE)}")
 _NOTICE = re.compile("|".join(NOTICES), re.I)
+_ABOUT = re.compile(rf"\b{NOTICE}", re.I)
+_ACT = re.compile(rf"\b{NOTICE_ACT}", re.I)
 _ERROR = re.compile("|".join(ERRORS), re.I)
 _FILLER = re.compile("|".join(FILLER), re.I)
 _FURNITURE = re.compile(r"[|·›»©]|^\W*(?:menu|search|sign in|home|help|about|contact|back to top|skip to content|share|print|log ?in|imprint|impressum)\b(?:\W+\w+){0,3}\W*$", re.I)
@@ -233,6 +234,8 @@ def verdict(template: str) -> int:
         return CONTENT
     if len(words) >= 2 and (_share(words, DUMMY) >= 0.75 or len(words) >= 3 and (_share(words, DUMMY) >= 0.6 or _share(words, LATIN) >= 0.5)):
         return JUNK
+    if _ABOUT.search(template) and _ACT.search(template):
+        return JUNK
     if _NOTICE.search(template) or _ERROR.search(template) or _FILLER.search(template):
         return JUNK
     if values >= 2 and len(words) + values >= 4:
