@@ -112,3 +112,16 @@ def incoming(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("self_destruct").try_cast("boolean"), F.lit(False)).alias("self_destruct"),
         F.coalesce(F.col("destruct_timer").try_cast("int"), F.lit(0)).alias("destruct_timer"),
     )
+
+
+def permitted(requests: DataFrame, roles: DataFrame) -> DataFrame:
+    """Requests (role, permission) that the role table grants."""
+    return requests.join(roles.select("role", "permission").distinct(), ["role", "permission"], "left_semi")
+
+
+def overridden(rows: DataFrame, order: list[str], replacements: DataFrame) -> DataFrame:
+    """Rows in order, their ``ts`` replaced by that of the same position in ``replacements`` (pos, ts) where there is one."""
+    from sentrymill.operators.ordering import global_index
+
+    placed = global_index(rows, [F.col(c) for c in order], "pos")
+    return placed.join(replacements.select("pos", F.col("ts").alias("__ts")), "pos", "left").withColumn("ts", F.coalesce("__ts", "ts")).drop("__ts")

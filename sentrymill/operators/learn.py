@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -38,6 +38,12 @@ def fitted(name: str, train: DataFrame):
     return Pipeline(stages=[ESTIMATORS[name]()]).fit(train)
 
 
+def saved(model: PipelineModel, folder: str) -> PipelineModel:
+    """Writes a fitted model and returns it as it is read again."""
+    model.write().overwrite().save(folder)
+    return PipelineModel.load(folder)
+
+
 def predictions(model, rows: DataFrame, key: str) -> DataFrame:
     return model.transform(rows).select(key, "label", "prediction")
 

@@ -5,8 +5,9 @@ Weights, thresholds and patterns below are fixed values of the scoring rules.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,3 +169,12 @@ class FlatTree:
 def forest_score(trees: Sequence[FlatTree], weights: Sequence[float], features: Sequence[Column]) -> Column:
     """Weighted sum of the trees as nested conditions; 0 for no tree."""
     return sum((t.column(features) * F.lit(w) for t, w in zip(trees, weights, strict=True)), F.lit(0.0))
+
+
+def forest_to_json(trees: Sequence[FlatTree], weights: Sequence[float]) -> str:
+    return json.dumps({"weights": list(weights), "trees": [asdict(t) for t in trees]})
+
+
+def forest_from_json(text: str) -> tuple[list[FlatTree], list[float]]:
+    stored = json.loads(text)
+    return [FlatTree(**{k: tuple(v) for k, v in t.items()}) for t in stored["trees"]], stored["weights"]
