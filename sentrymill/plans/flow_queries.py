@@ -186,7 +186,7 @@ SQL = {
 FROM packets GROUP BY 1, 2, 3, 4, 5""",
     "flow_tap_expiry": f"""WITH {PACKETS_SQL} SELECT src_ip, dst_ip, src_port, dst_port, protocol, max(us) AS last_us FROM packets GROUP BY 1, 2, 3, 4, 5
 HAVING epoch_us(TIMESTAMP '2024-01-31 00:00:00') - max(us) < 86400000000""",
-    "flow_scored_feed": f"""WITH {_AGG}, s AS (SELECT *, round(least(1.0, rst * 0.3 + fin * 0.1 + n * 0.02), 4) AS p FROM x)
+    "flow_scored_feed": f"""WITH {_AGG}, s AS (SELECT *, round(least(1.0, rst * 0.3 + fin * 0.1 + n * 0.02)::DOUBLE, 4) AS p FROM x)
 SELECT pair, segment, last_us, p AS malicious_probability,
        CASE WHEN p < 0.35 THEN 'Normal' WHEN p < 0.55 THEN 'Suspicious' WHEN p < 0.75 THEN 'Malicious' ELSE 'Critical' END AS classification,
        CASE WHEN p < 0.35 THEN 'safe' WHEN p < 0.55 THEN 'low' WHEN p < 0.75 THEN 'medium' ELSE 'critical' END AS threat_level,
