@@ -44,6 +44,8 @@ QUOTED_SHARE = 0.5
 JOINED_SHARE = 0.8
 JOINED_DOCUMENTS = 3
 _HELD = 200_000
+_HELD_CHARS = 16_000_000
+_KNOWN_CHARS = 400
 _PARTS = "part string, key {kind}, h bigint, n bigint, slotted bigint, template string"
 
 
@@ -68,6 +70,7 @@ def _scan(key_type: pa.DataType):
         slotted: Counter = Counter()
         templates: Counter = Counter()
         known: dict[str, tuple] = {}
+        chars = 0
 
         def held() -> list[tuple]:
             rows = [("tree", None, h, n, slotted.get(h, 0), None) for h, n in through.items()]
@@ -82,9 +85,10 @@ def _scan(key_type: pa.DataType):
             if found is None:
                 template, keys, at = masked(segment)
                 found = (_hash(template), template, [_hash(k) for k in keys], [_hash(k) for k in at])
-                if len(known) >= _HELD:
-                    known.clear()
-                known[segment] = found
+                if len(segment) <= _KNOWN_CHARS:
+                    if len(known) >= _HELD:
+                        known.clear()
+                    known[segment] = found
             return found
 
         for whole in batches:
@@ -102,10 +106,12 @@ def _scan(key_type: pa.DataType):
                             slotted.update(at)
                             lookups.update(at)
                     templates.update(own.items())
+                    chars += sum(map(len, own.values()))
                     rows += [("document", key, h, None, None, None) for h in own]
                     rows += [("slot", key, h, None, None, None) for h in lookups]
-                if len(through) + len(templates) > _HELD:
+                if len(through) + len(templates) > _HELD or chars > _HELD_CHARS:
                     rows += held()
+                    chars = 0
                 if rows:
                     yield block(rows)
         rest = held()

@@ -8,13 +8,12 @@ whose values and slots are masked.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 SLOT = ""
 VALUE = "<*>"
 DEPTH = 4
 
-_NAME = r"[A-Za-zÀ-ÿ_][\wÀ-ÿ.\-]*(?:[ _][\wÀ-ÿ.\-]+){0,3}"
+_NAME = r"[A-Za-zÀ-ÿ_][\wÀ-ÿ.\-]{0,60}(?: [\wÀ-ÿ.\-]{1,60}){0,3}"
 _ASK = (
     r"insert|enter|add|your|fill(?: in)?|type|choose|select|name|date|time|todo|tbd|tba|tbc|placeholder|to be \w+|"
     r"bitte|hier|name|datum|uhrzeit|ort|ergänzen|eintragen|einfügen|ausfüllen|ihr\w*|"
@@ -75,7 +74,7 @@ def _slots(text: str, mark: str) -> str:
 
 
 _TAG = re.compile(
-    r"<!--.*?-->|<!DOCTYPE[^>]*>|</?(?:html|head|body|title|meta|link|script|style|noscript|div|span|p|br|hr|h[1-6]|ul|ol|li|a|b|i|em|strong|center|table|tr|td|th|img|form|input|button|pre|nav|header|footer|article)\b[^<>]*/?>",
+    r"<!--.{0,1000}?-->|<!DOCTYPE[^>]*>|</?(?:html|head|body|title|meta|link|script|style|noscript|div|span|p|br|hr|h[1-6]|ul|ol|li|a|b|i|em|strong|center|table|tr|td|th|img|form|input|button|pre|nav|header|footer|article)\b[^<>]*/?>",
     re.I | re.S,
 )
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
@@ -84,7 +83,7 @@ _URL = re.compile(r"://\S+|(?<![\w>\]})%:/])/\S+|(?<!\w)[A-Za-z]:\\\S+|(?:\$HOME
 _BREAK = re.compile(r"[\n\r\t]+|(?<=[.!?。।؟…])\s+|(?<=[:;])\s+|(?<=[。।؟])|(?<=</p>)")
 _SPACES = re.compile(r"\s+")
 _SLOTTED = re.compile(rf"[\w.,\-]*{SLOT}[\w\-]*(?:[^\w\s()\[\]]{SLOT}[\w\-]*)*")
-_VALUED = re.compile(r"(?<![^\s()\[\]:;,=])[^\s()\[\]:;,=\d。।؟]*\d[^\s()\[\];,=。।؟]*?(?=[)\].,;:!?…]*(?:\s|$)|[()\[\];,=。।؟])")
+_VALUED = re.compile(r"(?<![^\s()\[\]:;,=])[^\s()\[\]:;,=\d。।؟]*\d[^\s()\[\];,=。।؟]*?(?=[)\].,;:!?…]{0,8}(?:\s|$)|[()\[\];,=。।؟])")
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 
 
@@ -109,7 +108,6 @@ def _masked_token(token: str) -> str:
     return VALUE if len(token) == 1 else _SLOTTED.sub(VALUE, token)
 
 
-@lru_cache(maxsize=100_000)
 def masked(segment: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     """(template, tree keys of the segment, tree keys of its slots) of a marked segment.
 
@@ -217,6 +215,8 @@ LATIN = frozenset(
     "velum aqua minor nodus nuntia clavis arcus sita ferro tacere mora unda navem ventis datum signa vel silva terra nova vita pax lux nox per cum ergo ante post".split()
 )
 
+#: Messages and notices have no longer sentences than this; longer ones can only be filler by their share of dummy words.
+MESSAGE_WORDS, MESSAGE_CHARS = 80, 1_000
 #: Verdicts of a template.
 NEUTRAL, JUNK, CONTENT = 0, 1, 2
 
@@ -225,15 +225,16 @@ def _share(words: list[str], of: frozenset) -> float:
     return sum(w in of for w in words) / len(words)
 
 
-@lru_cache(maxsize=100_000)
 def verdict(template: str) -> int:
     """Judges a template: JUNK (filler, error, notice), NEUTRAL (title, furniture) or CONTENT."""
     words = [w.lower() for w in _WORD.findall(template)]
     values = template.count(VALUE)
-    if _LOGGED.search(template):
+    if len(template) <= MESSAGE_CHARS and _LOGGED.search(template):
         return CONTENT
     if len(words) >= 2 and (_share(words, DUMMY) >= 0.75 or len(words) >= 3 and (_share(words, DUMMY) >= 0.6 or _share(words, LATIN) >= 0.5)):
         return JUNK
+    if len(words) > MESSAGE_WORDS or len(template) > MESSAGE_CHARS:
+        return CONTENT if len(words) > 3 else NEUTRAL
     if _ABOUT.search(template) and _ACT.search(template):
         return JUNK
     if _NOTICE.search(template) or _ERROR.search(template) or _FILLER.search(template):

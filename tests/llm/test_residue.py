@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from sentrymill.llm.residue import Residue, without_residue
-from sentrymill.llm.residue_text import CONTENT, JUNK, NEUTRAL, SLOT, marked, segments, verdict
+from sentrymill.llm.residue_text import CONTENT, JUNK, NEUTRAL, SLOT, marked, masked, segments, verdict
 
 DOCS = "doc_id long, text string, h string, part string"
 
@@ -66,6 +66,17 @@ def test_empty_blank_null_and_very_long_texts(spark):
     assert found(spark, []) == set() and found(spark, [None, ""]) == set()
 
 
+def test_hostile_texts_take_linear_time():
+    import time
+
+    hostile = ["{{" + "a_" * 50_000, "1" + "." * 100_000 + "x", "page " * 60_000, "<!--" * 20_000 + "</a>", "[" * 50_000, "a" * 100_000 + "{{x}}", "_ " * 80_000, "`" * 50_001, "1:" * 80_000, "http://" * 30_000, "{{ a " * 30_000]
+    for t in hostile:
+        begun = time.time()
+        for s in segments(marked(t)):
+            verdict(masked(s)[0])
+        assert time.time() - begun < 3, t[:20]
+
+
 def test_repeated_documents_count_each_and_rest_is_kept(spark):
     texts = ["Please enable JavaScript to view this page."] * 5 + reports(5, random.Random(4))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
