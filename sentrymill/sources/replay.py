@@ -8,6 +8,7 @@ which isn't assumed; a reader for one would replace ``_Reader.read``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -15,14 +16,22 @@ SCHEMA = "seq bigint, ts timestamp, src_ip string, dst_ip string, src_port int,
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def _micros(column):
+    import pyarrow as pa
+
+    kind = pa.timestamp("us", tz=column.type.tz)
+    return column.cast(kind).cast(pa.int64())
+
+
 def _rows(path: str, begin: int | None = None, slice_us: int = 0) -> Iterator[tuple]:
     import pyarrow.parquet as pq
 
-    table = pq.read_table(path, columns=NAMES).sort_by([("ts", "ascending"), ("seq", "ascending")])
-    for row in table.to_pylist():
-        us = int(row["ts"].timestamp() * 1_000_000)
-        if begin is None or begin <= us < begin + slice_us:
-            yield tuple(row[n] for n in NAMES)
+    table = pq.read_table(path, columns=NAMES)
+    us = _micros(table["ts"]).to_pylist()
+    rows = sorted(zip(us, table.drop_columns(["ts"]).to_pylist()), key=lambda r: (r[0], r[1]["seq"]))
+    for at, row in rows:
+        if begin is None or begin <= at < begin + slice_us:
+            yield tuple(datetime.fromtimestamp(at / 1_000_000, tz=timezone.utc) if n == "ts" else row[n] for n in NAMES)
 
 
 class _Batch(DataSourceReader):
@@ -42,9 +51,8 @@ class _Stream(SimpleDataSourceStreamReader):
         import pyarrow.parquet as pq
 
         self.path, self.slice = options["path"], int(float(options.get("slice_seconds", "10")) * 1_000_000)
-        ts = pq.read_table(self.path, columns=["ts"])["ts"]
-        us = lambda v: int(v.as_py().timestamp() * 1_000_000)
-        self.first, self.last = (us(pc.min(ts)), us(pc.max(ts))) if len(ts) else (0, -1)
+        us = _micros(pq.read_table(self.path, columns=["ts"])["ts"])
+        self.first, self.last = (pc.min(us).as_py(), pc.max(us).as_py()) if len(us) else (0, -1)
 
     def initialOffset(self):
         return {"us": self.first}

@@ -54,3 +54,15 @@ def small_rows(df: DataFrame, max_rows: int = 10_000) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"a catalog table has more than {max_rows} rows")
     return rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` repartitioned to the cores at hand if it is a plain scan of fewer partitions, before costly work per row.
+
+    A plan that already exchanges rows is left alone, since counting its partitions could run it. On
+    inputs of more partitions than cores nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
