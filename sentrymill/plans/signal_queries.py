@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.operators import scoring, signals, state
-from sentrymill.sources.tables import table
+from sentrymill.sources.tables import spread, table
 
 
 def message_threat_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("key"), "text")
     sent = table(spark, d, "messages").select(F.concat(F.lit("m"), F.col("delivery_id")).alias("key"), "text")
-    s = scoring.message_scores(docs.unionByName(sent))
+    s = scoring.message_scores(spread(docs.unionByName(sent)))
     return s.select("key", F.round("entropy", 6).alias("entropy"), "has_b64", "has_ip", "has_exec", "has_url", "score", "fired", "confidence", "attack_class", "level")
 
 
