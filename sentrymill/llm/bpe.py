@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sentrymill.sources.tables import spread
+
 #: Fixed value: the pattern that the byte_bpe_50k vocabulary was made for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -138,11 +140,11 @@ def encoded(texts: DataFrame, key: str, text: str, path: str = VOCABULARY, patte
     """(key, ids) of every row."""
     run = _batches(broadcast_vocabulary(texts.sparkSession, path), pattern, False)
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(texts.select(key, text)).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def token_counts(texts: DataFrame, key: str, text: str, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(key, n_tokens) of every row."""
     run = _batches(broadcast_vocabulary(texts.sparkSession, path), pattern, True)
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
+    return spread(texts.select(key, text)).mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)

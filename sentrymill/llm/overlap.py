@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrymill.sources.tables import spread
+
 #: The order puts measurements with many values between those with few, and apart those that are zero or null together, so that any four in a row are selective.
 MEASUREMENTS = (
     "flow_iat_mean", "fwd_packets", "bwd_bytes", "duration", "bwd_pkt_len_max", "fwd_iat_mean", "fwd_pkt_len_std", "init_fwd_win_bytes",
@@ -152,7 +154,7 @@ def _fingerprinter(columns: list[str], tolerance: float, cell_width: float, prob
 def fingerprints(records: DataFrame, record_id: str, columns: list[str], tolerance: float, cell_width: float, probing: bool) -> DataFrame:
     """(gram, id) of every record; ``probing`` selects over all cells that an agreeing value can lie in."""
     plain = records.select(F.col(record_id).cast("bigint").alias("id"), *[F.col(c).cast("double").alias(c) for c in columns])
-    return plain.mapInArrow(_fingerprinter(columns, tolerance, cell_width, probing), "gram bigint, id bigint")
+    return spread(plain).mapInArrow(_fingerprinter(columns, tolerance, cell_width, probing), "gram bigint, id bigint")
 
 
 def agreeing(left: list[Column], right: list[Column], tolerance: float) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill.llm.residue_text import CONTENT, JUNK, marked, masked, segments, verdict
-from sentrymill.sources.tables import checkpointed, shared_dir
+from sentrymill.sources.tables import checkpointed, shared_dir, spread
 
 SLOT_SHARE = 0.4
 QUOTED_SHARE = 0.5
@@ -137,7 +137,7 @@ class Residue:
         texts = documents.where(F.length(F.trim(F.col(text))) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
         path = f"{shared_dir(spark)}/residue-{uuid.uuid4().hex}"
         schema = _PARTS.format(kind=kind.simpleString())
-        texts.mapInArrow(_scan(to_arrow_type(kind)), schema).write.partitionBy("part").parquet(path)
+        spread(texts).mapInArrow(_scan(to_arrow_type(kind)), schema).write.partitionBy("part").parquet(path)
         self._parts = spark.read.schema(schema).parquet(path)
 
     def _part(self, name: str, *columns: str) -> DataFrame:
