@@ -28,7 +28,10 @@ OPERATORS = {
 
 
 def matches(query: Mapping[str, Any]) -> Column:
-    """Conjunction of equalities; a value that is a mapping of operators compares instead. Dotted names are nested fields."""
+    """Conjunction of equalities; a value that is a mapping of operators compares instead. Dotted names are nested fields.
+
+    Null where a comparison meets a null: as a filter that drops the row, and it can be pushed into the scan.
+    """
     terms = []
     for name, wanted in query.items():
         c = F.col(name)
@@ -36,7 +39,11 @@ def matches(query: Mapping[str, Any]) -> Column:
             terms += [OPERATORS[op](c, v) for op, v in wanted.items()]
         else:
             terms.append(c.isNull() if wanted is None else c == F.lit(wanted))
-    return F.coalesce(reduce(lambda a, b: a & b, terms, F.lit(True)), F.lit(False))
+    return reduce(lambda a, b: a & b, terms) if terms else F.lit(True)
+
+
+def _hit(query: Mapping[str, Any]) -> Column:
+    return F.coalesce(matches(query), F.lit(False))
 
 
 def find(
@@ -60,7 +67,7 @@ def find(
 
 def update(docs: DataFrame, where: Mapping[str, Any], changes: Mapping[str, Any], upsert: bool = False) -> DataFrame:
     """Sets fields of matching documents; with ``upsert`` one document of the equalities and changes is added if none matches."""
-    hit = matches(where)
+    hit = _hit(where)
     out = docs.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
     if not upsert:
         return out
@@ -71,12 +78,12 @@ def update(docs: DataFrame, where: Mapping[str, Any], changes: Mapping[str, Any]
 
 
 def delete(docs: DataFrame, where: Mapping[str, Any]) -> DataFrame:
-    return docs.where(~matches(where))
+    return docs.where(~_hit(where))
 
 
 def affected(docs: DataFrame, where: Mapping[str, Any]) -> DataFrame:
     """One row: how many documents a change with this condition touches."""
-    return docs.agg(F.count_if(matches(where)).alias("affected"))
+    return docs.agg(F.count_if(_hit(where)).alias("affected"))
 
 
 def duplicates(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -135,7 +142,7 @@ def listed_keys(payload: DataFrame, column: str) -> DataFrame:
 def cleaned_output(lines: Column) -> Column:
     """Command output without colour codes, blank lines and lines that begin with a time stamp."""
     plain = F.regexp_replace(lines, "\x1b\\[[0-9;]*[A-Za-z]", "")
-    kept = F.filter(F.split(plain, "\n"), lambda x: (F.trim(x) != "") & ~F.rlike(x, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]")))
+    kept = F.filter(F.split(plain, "\n"), lambda x: ~F.rlike(x, F.lit(r"^\s*$")) & ~F.rlike(x, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]")))
     return F.array_join(kept, "\n")
 
 

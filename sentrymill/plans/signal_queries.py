@@ -362,6 +362,10 @@ a AS (
   UNION ALL SELECT src_ip, us, 'T3_TRACK', 3, score, hits, t0 FROM r WHERE NOT skip AND score >= 0.65 AND score < 0.80
   UNION ALL SELECT src_ip, us, 'T1_RATE', 1, score, hits, 1 FROM r WHERE NOT skip AND score >= 0.65 AND score < 0.80 AND hits >= 3)
 SELECT * FROM a""",
+    "prekey_stock": """WITH RECURSIVE rows_ AS (SELECT user_id, event_id, event_type IN ('view', 'signup') AS adds, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+r AS (SELECT user_id, 0::BIGINT AS event_id, true AS adds, 0::BIGINT AS rn, []::BIGINT[] AS stock, NULL::BIGINT AS taken FROM rows_ WHERE rn = 1
+UNION ALL SELECT n.user_id, n.event_id, n.adds, n.rn, CASE WHEN n.adds THEN list_append(r.stock, n.event_id) ELSE r.stock[:-2] END, CASE WHEN NOT n.adds THEN r.stock[-1] END FROM r JOIN rows_ n ON n.user_id = r.user_id AND n.rn = r.rn + 1)
+SELECT event_id, user_id, taken::VARCHAR AS taken, len(stock)::INT AS left FROM r WHERE rn > 0 AND NOT adds""",
     "block_expiry": "SELECT block_id, ip, tier, ts <= TIMESTAMP '2025-03-01' AND (auto_unblock_at IS NULL OR auto_unblock_at > TIMESTAMP '2025-03-01') AS active FROM blocks",
     "policy_bands": """SELECT feed_id, CASE WHEN p > 0.8 THEN 60 WHEN p > 0.6 THEN 300 WHEN p > 0.4 THEN 3600 ELSE 7200 END AS rekey_s, (CASE WHEN p > 0.8 THEN 0.9 WHEN p > 0.6 THEN 0.6 WHEN p > 0.4 THEN 0.3 ELSE 0.1 END)::DOUBLE AS padding_rate,
 CASE WHEN p > 0.8 THEN 5 WHEN p > 0.6 THEN 3 WHEN p > 0.4 THEN 2 ELSE 1 END AS path_length FROM (SELECT feed_id, malicious_probability AS p FROM feed WHERE malicious_probability IS NOT NULL)""",

@@ -263,6 +263,7 @@ SELECT key, count(*) AS n FROM a WHERE NOT (key IN (SELECT s_suppkey FROM suppli
 SELECT key, r AS rank, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS r, count(*) OVER (PARTITION BY key) AS n FROM y) WHERE r >= greatest(n - 3, 0)""",
     "zrangebyscore": f"WITH {_ZSET} SELECT * FROM z WHERE score BETWEEN 45 AND 50",
     "hash_ops": "SELECT 'customer:' || c_custkey AS key, CASE WHEN c_mktsegment = 'BUILDING' THEN 'REBUILT' ELSE c_mktsegment END AS value FROM customer",
+    "output_cleaning": """SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(replace(text, chr(13), ''), chr(27) || '\\[[0-9;]*[A-Za-z]', '', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*$') AND NOT regexp_matches(x, '^\\d{4}-\\d{2}-\\d{2}[T ]')), chr(10))) AS cleaned FROM documents WHERE text IS NOT NULL""",
     "object_times": "SELECT event_id, lpad(lower(to_hex(epoch_us(ts) // 1000000)), 8, '0') || '0000000000000000' AS oid, epoch_us(ts) // 1000000 AS seconds FROM events",
     "chat_threads": """WITH m AS (SELECT sender AS id, arg_max(text, (coalesce(epoch_us(timestamp), -1), delivery_id)) AS last_text, max(epoch_us(timestamp)) AS last_us, count(*) FILTER (status <> 'READ' AND sender <> 'u-hub-00') AS unread,
 bool_or(self_destruct AND destruct_at IS NULL) AS pending FROM (SELECT * REPLACE (coalesce(text, chr(1)) AS text) FROM messages) WHERE sender IS NOT NULL GROUP BY 1)
