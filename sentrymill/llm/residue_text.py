@@ -169,12 +169,12 @@ ERRORS = (
     r"session (?:has |is )?(?:expired|timed out)|session a expiré|sesión ha (?:expirado|caducado)|sitzung ist abgelaufen|reconnectez|melden sie sich|inicie sesión",
     r"timed out\b|no (?:valid|timely) answer|got no|could not (?:connect|reach|open|load|be shown|be displayed)|couldn'?t (?:connect|reach|open|load)|stream cut|^(?:the )?upstream\b|no live upstream|queue full|unsupported operand|empty body|missing \w+ \w+",
     r"\bhit a snag\b|\b(?:has|is being|being) (?:serviced|repaired|upgraded)|asking too often|(?:login|log-in|sign-in|session|token|access|anmeldung|sitzung) (?:has |ist )?(?:ended|expired|timed out|run out|abgelaufen)|laden sie neu|bitte neu laden",
-    r"(?:something|things?|this|that) (?:went|gone|has gone) wrong|^whoops\b|(?:console|server|page|feed|report server|site|service)\b.*\b(?:broke|crashed|is down|down for|offline|unavailable|not available|maintenance)|internal error|interner fehler|erreur interne|error interno|^(?:oops|sorry|uh-oh)\b",
+    r"\b(?:went|gone) wrong\b|^whoops\b|(?:console|server|page|feed|report server|site|service)\b.*\b(?:broke|crashed|is down|down for|offline|unavailable|not available|maintenance)|internal error|interner fehler|erreur interne|error interno|^(?:oops|sorry|uh-oh)\b",
     r"traceback \(most recent|^file \"?.*\bline\b|\bon line <\*>|\bat line <\*>|^\w*(?:error|exception)\b\W*$|undefined (?:variable|index|array key|offset|method)|stack trace|segmentation fault|core dumped",
     r"^\W*\{?\W*\"?(?:error|code|status|message|detail|trace|title|path|timestamp|ok|success)\"?\s*:",
-    r"seite (?:wurde )?nicht gefunden|nicht (?:verfügbar|erreichbar|gefunden)|zugriff (?:verweigert|abgelehnt)|fehlen die nötigen|prüfen sie|versuchen sie|ist ein .*fehler aufgetreten",
-    r"page (?:introuvable|inexistante|déplacée|supprimée)|accès (?:refusé|interdit)|indisponible|réessayez|vérifiez|n'existe (?:pas|plus)|introuvable",
-    r"no (?:se )?(?:encontr|existe|está disponible)|página (?:no|inexist)|acceso (?:denegado|prohibido)|no tiene permiso|inténtelo|intente|no disponible",
+    r"seite (?:wurde )?nicht gefunden|nicht (?:verfügbar|erreichbar|gefunden)|zugriff (?:verweigert|abgelehnt|nicht erlaubt)|fehlen die nötigen|prüfen sie|versuchen sie|ist ein .*fehler aufgetreten",
+    r"page (?:introuvable|inexistante|déplacée|supprimée)|accès (?:refusé|interdit|non autorisé)|indisponible|réessayez|vérifiez|n'existe (?:pas|plus)|introuvable",
+    r"no (?:se )?(?:encontr|existe|está disponible)|página (?:no|inexist)|acceso (?:denegado|prohibido|no (?:permitido|autorizado))|no tiene permiso|inténtelo|intente|no disponible",
     r"^nothing to show|^nothing more is known|^(?:re)?load\b\W*$|^retry\W*$|^(?:go )?back\W*$|^try the search|^check the (?:address|spelling|url)|^start over",
     r"страница не найдена|доступ (?:запрещ|закрыт)|попробуйте|недоступ",
 )
@@ -189,7 +189,7 @@ FILLER = (
     r"(?:intentionally|deliberately) (?:holds|left|contains|has)|(?:has no text|is still empty|holds no (?:copy|text)|left blank|no content yet|nothing here yet|under construction)",
     r"^(?:please )?(?:type|paste|write|add|enter|put|insert|place) (?:your|the|some|a) [\w ]+ (?:here|below|above|in this|into this|at this)",
     r"^keep it (?:short|simple|under|brief)|^your (?:story|text|title|summary|content|name|article|message)\b|belongs (?:in|here)",
-    r"mustertext|blindtext|platzhalter|fülltext|beispieltext|hier (?:steht|kommt|entsteht|folgt|erscheint)|wird (?:noch|später|bald) (?:ersetzt|ergänzt|nachgereicht)|folgt (?:in kürze|später)|vor (?:dem )?(?:versand|veröffentlich).*(?:ersetzen|löschen)",
+    r"mustertext|blindtext|platzhalter|fülltext|beispieltext|hier (?:steht|kommt|entsteht|folgt|erscheint)|wird (?:noch|später|bald) (?:ersetzt|ergänzt|nachgereicht)|folgt (?:in kürze|später)|vor (?:dem |der )?(?:versand|veröffentlich\w*|freigabe).*(?:ersetz|lösch)",
     r"texte (?:de démonstration|d'exemple|fictif|de remplissage|à venir|factice)|sera (?:placé|ajouté|inséré|remplacé)|à (?:remplacer|venir|compléter|supprimer)|faux texte|votre (?:texte|résumé|titre|contenu)|ici (?:viendra|apparaîtra|bientôt)",
     r"(?:texto|contenido|párrafo) de (?:relleno|ejemplo|prueba|muestra)|aquí (?:irá|aparecerá|va|vendrá|estará)|(?:cambiar|borrar|sustituir|reemplazar) (?:antes|este)|próximamente|su (?:texto|título|resumen)\b",
     r"текст[- ](?:заполнитель|рыба)|здесь (?:будет|появится)|скоро здесь",
@@ -239,7 +239,7 @@ def verdict(template: str) -> int:
         return JUNK
     if _NOTICE.search(template) or _ERROR.search(template) or _FILLER.search(template):
         return JUNK
-    if values >= 2 and len(words) + values >= 4:
+    if values >= 3 or values and len(words) + values >= 6:
         return CONTENT
     if len(words) <= 3 or (_FURNITURE.search(template) and len(words) <= 8):
         return NEUTRAL
