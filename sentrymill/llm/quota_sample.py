@@ -124,16 +124,20 @@ class QuotaSample:
         spark = self.rows.sparkSession
         name_of = {n: i for i, n in self.by_id.items()}
         wanted = [(name_of[s], c, q) for s, c, _, _, _, _, q, _ in self.cells() if q > 0 and s in name_of and c is not None]
-        quota = F.broadcast(spark.createDataFrame(wanted, "__s int, __c int, __quota bigint"))
-        key = F.xxhash64(F.lit(self.seed), F.col(self.row_id))
-        keyed = self.rows.withColumns({"__key": key, "__bucket": F.shiftrightunsigned(key, 52).cast("int")})
-        keyed = keyed.join(quota, (F.col(self.source_id) == F.col("__s")) & (F.col(self.category) == F.col("__c")))
-        upto = Window.partitionBy("__s", "__c").orderBy("__bucket")
-        counted = keyed.groupBy("__s", "__c", "__bucket").agg(F.count("*").alias("n"), F.max("__quota").alias("quota"))
+        quota = F.broadcast(spark.createDataFrame(wanted, "s int, c int, quota bigint"))
+        keyed = self.rows.select(
+            F.struct("*").alias("row"),
+            F.col(self.source_id).alias("s"),
+            F.col(self.category).alias("c"),
+            F.col(self.row_id).alias("id"),
+            F.xxhash64(F.lit(self.seed), F.col(self.row_id)).alias("key"),
+        ).withColumn("bucket", F.shiftrightunsigned("key", 52).cast("int"))
+        upto = Window.partitionBy("s", "c").orderBy("bucket")
+        counted = keyed.join(quota, ["s", "c"]).groupBy("s", "c", "bucket").agg(F.count("*").alias("n"), F.max("quota").alias("quota"))
         reached = counted.withColumn("upto", F.sum("n").over(upto)).where("upto - n < quota")
-        edge = reached.groupBy("__s", "__c").agg(F.max("__bucket").alias("__edge"), F.max_by(F.col("quota") - (F.col("upto") - F.col("n")), "__bucket").alias("__rest"))
-        placed = keyed.join(F.broadcast(edge), ["__s", "__c"])
-        ranked = F.row_number().over(Window.partitionBy("__s", "__c", "__bucket").orderBy("__key", self.row_id))
-        whole = placed.where(F.col("__bucket") < F.col("__edge"))
-        last = placed.where(F.col("__bucket") == F.col("__edge")).withColumn("__rank", ranked).where("__rank <= __rest").drop("__rank")
-        return whole.unionByName(last).select(*self.rows.columns)
+        edge = reached.groupBy("s", "c").agg(F.max("bucket").alias("edge"), F.max_by(F.col("quota") - (F.col("upto") - F.col("n")), "bucket").alias("rest"))
+        placed = keyed.join(F.broadcast(edge), ["s", "c"])  # one row per target at most
+        ranked = F.row_number().over(Window.partitionBy("s", "c", "bucket").orderBy("key", "id"))
+        whole = placed.where(F.col("bucket") < F.col("edge")).select("row")
+        last = placed.where(F.col("bucket") == F.col("edge")).withColumn("rank", ranked).where("rank <= rest").select("row")
+        return whole.unionByName(last).select("row.*")

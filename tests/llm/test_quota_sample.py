@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from sentrymill.llm.quota_sample import QuotaSample, need, quotas
 
-ROWS = "record_id long, dataset_id int, label_family int, dataset_name string, __key string"
+ROWS = "record_id long, dataset_id int, label_family int, dataset_name string, key string, bucket string, row string"
 
 
 def sampler(spark, rows, targets, **more):
@@ -21,7 +21,7 @@ def sampler(spark, rows, targets, **more):
 def rows(counts):
     out, n = [], 0
     for (d, f), c in counts.items():
-        out += [(n + i, d, f, "spelled badly", "clash") for i in range(c)]
+        out += [(n + i, d, f, "spelled badly", "clash", "b", "r") for i in range(c)]
         n += c
     return out
 
@@ -56,6 +56,7 @@ def test_sample_has_the_quotas_and_is_stable(spark):
     quota = {(r.dataset_name, r.label_family): r.quota for r in s.report().collect()}
     got = Counter(("AB"[r.dataset_id], r.label_family) for r in first)
     assert got == Counter({k: v for k, v in quota.items() if v}) and len(first) == 400 and quota[("A", 1)] >= 30 and quota[("B", 1)] == 1
+    assert {tuple(r)[3:] for r in first} == {("spelled badly", "clash", "b", "r")}
     assert {tuple(r) for r in s.unmet().collect()} == {("B", 1), ("C", 0)}
 
 
