@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +40,7 @@ def picked(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
     return df.withColumns({t: F.col(a) for t, a in found.items() if a})
 
 
-def derived(df: DataFrame, has: Iterable[str] | None = None) -> DataFrame:
+def derived(df: DataFrame) -> DataFrame:
     """Totals, ratios over (x + 1) and the average packet size, each where its inputs exist and it doesn't."""
     steps = (
         ("total_packets", ("fwd_packets", "bwd_packets"), lambda a, b: a + b),

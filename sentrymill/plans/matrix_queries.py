@@ -84,8 +84,7 @@ def top_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = prepare.column_stats(_records(spark, d), MEASUREMENTS)
-    return s.select("column", "n", *[F.format_string("%.6e", c).alias(c) for c in ("mean", "std", "min", "max")])
+    return _round(prepare.column_stats(_records(spark, d), MEASUREMENTS), 4)
 
 
 def impute_median_mode(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +303,7 @@ count(*) FILTER (label_binary IS NULL) AS null_binary, count(*) FILTER (label_fa
 count(*) FILTER (label_binary < 0 OR label_binary > 1 OR label_family < 0 OR label_family > 4) AS out_of_range FROM combined_dataset)""",
     "top_labels": "SELECT label_fine, count(*) AS n FROM combined_dataset WHERE label_fine IS NOT NULL GROUP BY 1 ORDER BY n DESC, label_fine LIMIT 10",
     "column_stats": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS n, printf('%.6e', avg({c})::DOUBLE) AS mean, printf('%.6e', stddev_pop({c})::DOUBLE) AS std, printf('%.6e', min({c})::DOUBLE) AS min, printf('%.6e', max({c})::DOUBLE) AS max FROM combined_dataset"
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c})::DOUBLE, 4) AS mean, round(stddev_pop({c})::DOUBLE, 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max FROM combined_dataset"
         for c in MEASUREMENTS
     ),
     "impute_median_mode": f"""SELECT record_id, {", ".join(f"coalesce({c}::DOUBLE, (SELECT median({c}::DOUBLE) FROM combined_dataset)) AS {c}" for c in FEW)},
