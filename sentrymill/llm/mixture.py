@@ -52,6 +52,7 @@ class Mixture:
         seed: int = 42,
     ):
         self.key, self.seed = key, seed
+        self._total: int | None = None
         tagged = documents.select(
             F.struct(F.col(key).alias("key"), folded_source(F.col(source)).alias("source")).alias("head"), F.col(text).alias("text")
         )
@@ -61,11 +62,16 @@ class Mixture:
             folded_source(F.col("source")).alias("source"), F.coalesce("target_weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("most")
         ).groupBy("source").agg(F.max("weight").alias("weight"), F.max_by("most", "weight").alias("most"))
 
+    def _corpus(self) -> int:
+        """All tokens: one number on the driver."""
+        if self._total is None:
+            self._total = int(self.counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+        return self._total
+
     def plan(self) -> DataFrame:
         """source, weight, most, documents, tokens, corpus, expected: one row per target source (bounded by the targets)."""
         by_source = self.counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
-        whole = by_source.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("corpus"))
-        joined = self.targets.join(by_source, "source", "left").crossJoin(F.broadcast(whole))  # one row
+        joined = self.targets.join(by_source, "source", "left").withColumn("corpus", F.lit(self._corpus()))
         filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("documents", "tokens")})
         ratio = F.when(F.col("tokens") > 0, F.col("weight") * F.col("corpus") / F.col("tokens")).otherwise(F.lit(0.0))
         return filled.withColumn("expected", F.least(ratio, F.col("most").cast("double")))
