@@ -7,6 +7,9 @@ random offset in [0, 1), and a document is emitted once for each integer boundar
 crosses: ``floor(P) - floor(P - e)`` times, which is the floor or the ceiling of e and never more than
 ``max_repeats``.
 
+The offset is random, and one of ``OFFSETS`` equally spaced ones from it: the one whose tokens come nearest
+to what the source is to supply. That matters for sources with a few very long documents.
+
 The order is by size class, then by a hash, so that copies are spread evenly over sizes and the token
 share comes out close to its target. The prefix sum has two levels: documents are counted per source
 and bucket (size class and hash, at most ``SIZE_CLASSES * HASHES`` buckets a source), the buckets'
@@ -32,6 +35,7 @@ from sentrymill.llm.bpe import PATTERN, VOCABULARY, token_counts
 from sentrymill.sources.tables import checkpointed
 
 HASHES = 256
+OFFSETS = 32
 SIZE_CLASSES = 64
 
 
@@ -78,7 +82,8 @@ class Mixture:
 
     def copies(self) -> DataFrame:
         """(key, source, n_tokens, copies) of every document emitted at least once."""
-        plan = F.broadcast(self.plan().where("expected > 0").select("source", "expected"))  # at most one row per target
+        wanted = (F.col("expected") * F.col("tokens")).alias("wanted")
+        plan = F.broadcast(self.plan().where("expected > 0").select("source", "expected", wanted))  # at most one row per target
         size = F.least(F.floor(F.log2(F.col("n_tokens") + 1) * 3), F.lit(SIZE_CLASSES - 1)).cast("int")
         mixed = F.xxhash64(F.lit(self.seed), F.col(self.key))
         placed = self.counts.join(plan, "source").withColumns(
@@ -91,12 +96,19 @@ class Mixture:
             .select("source", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
         )
         inside = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("mixed", self.key))
-        ranked = placed.withColumn("inside", inside).join(offsets, ["source", "bucket"])
-        start = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), F.col("source")), 11).cast("double") / float(1 << 53)
-        rank = F.col("before") + F.col("inside")
-        step = lambda r: F.floor(F.col("expected") * r + start)
-        crossed = (step(rank) - step(rank - 1)).cast("int")
-        return ranked.withColumn("copies", crossed).where("copies > 0").select(self.key, "source", "n_tokens", "copies")
+        ranked = placed.withColumn("inside", inside).join(offsets, ["source", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
+        first = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), F.col("source")), 11).cast("double") / float(1 << 53)
+
+        def crossed(offset: Column) -> Column:
+            step = lambda r: F.floor(F.col("expected") * r + offset)
+            return (step(F.col("rank")) - step(F.col("rank") - 1)).cast("int")
+
+        shifted = lambda k: (first + k / float(OFFSETS)) % 1.0
+        tried = ranked.groupBy("source").agg(F.max("wanted").alias("wanted"), *[F.sum(crossed(shifted(F.lit(k))) * F.col("n_tokens")).alias(f"s{k}") for k in range(OFFSETS)])
+        nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("wanted")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))
+        chosen = F.broadcast(tried.select("source", nearest["k"].alias("k")))  # one row per target
+        out = ranked.join(chosen, "source").withColumn("copies", crossed(shifted(F.col("k"))))
+        return out.where("copies > 0").select(self.key, "source", "n_tokens", "copies")
 
     def mix(self) -> DataFrame:
         """(key, source, copy): one row per copy, numbered from 1."""
