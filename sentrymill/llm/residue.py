@@ -6,7 +6,9 @@ through it and how many have a slot as their next token.
 
 *Unresolved slots.* A slot counts where the corpus fills that place with values: at its node fewer
 than ``SLOT_SHARE`` of the segments have a slot. Where texts explain or log a slot, nearly every
-segment of the node has one, so that it is no residue. Slots in code, quotes and addresses are not
+segment of the node has one, so that it is no residue. A slot alone in its segment (the value of a
+label, a line of its own) is compared with what follows the segment before it elsewhere, and is residue
+anyway in a text without any content. Slots in code, quotes and addresses are not
 looked at; three slots in one segment are residue if no text fills that place.
 
 *Filler, error pages and notices.* Each distinct template is judged once, by its words: junk, neutral
@@ -23,7 +25,7 @@ documents that have junk at all take part in the propagation.
 Defined results: null, empty and blank texts are never found; texts of any length are read whole;
 repeated documents get the same verdict and count each; a null key is kept as a key; an empty table
 gives an empty result; further columns are ignored. On a corpus too small to fill a place with values
-a slot there isn't found unless three stand in one segment.
+a slot there isn't found unless three stand in one segment or one is alone in its segment and the text has no content.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.llm.residue_text import CONTENT, JUNK, marked, masked, segments, verdict
+from sentrymill.llm.residue_text import BARE, CONTENT, JUNK, MANY, START, marked, masked, place, segments, verdict
 from sentrymill.sources.tables import checkpointed, shared_dir, spread
 
 SLOT_SHARE = 0.4
@@ -70,6 +72,7 @@ def _scan(key_type: pa.DataType):
         slotted: Counter = Counter()
         templates: Counter = Counter()
         known: dict[str, tuple] = {}
+        start_of_text, many = _hash(START), _hash(MANY)
         chars = 0
 
         def held() -> list[tuple]:
@@ -84,7 +87,8 @@ def _scan(key_type: pa.DataType):
             found = known.get(segment)
             if found is None:
                 template, keys, at = masked(segment)
-                found = (_hash(template), template, [_hash(k) for k in keys], [_hash(k) for k in at])
+                after = place(template)
+                found = (_hash(template), template, [_hash(k) for k in keys], [_hash(k) for k in at if k != BARE], BARE in at, after and _hash(after))
                 if len(segment) <= _KNOWN_CHARS:
                     if len(known) >= _HELD:
                         known.clear()
@@ -98,13 +102,28 @@ def _scan(key_type: pa.DataType):
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     own: dict[int, str] = {}
                     lookups: set[int] = set()
+                    worded: set[int] = set()
+                    at_place, taken, bare = start_of_text, False, set()
                     for segment in segments(marked(text)):
-                        h, template, keys, at = looked_up(segment)
+                        h, template, keys, at, alone, after = looked_up(segment)
                         own[h] = template
                         through.update(keys)
                         if at:
                             slotted.update(at)
                             lookups.update(at)
+                        if not taken:  # a run of masks is one filling of its place
+                            through[at_place] += 1
+                        if alone:
+                            bare.add(at_place)
+                        taken = after is None
+                        if not taken:
+                            at_place = after
+                            worded.add(h)
+                    if bare:
+                        slotted.update(bare)
+                        lookups.update(bare)
+                        if all(verdict(own[h]) != CONTENT for h in worded):
+                            lookups.add(many)
                     templates.update(own.items())
                     chars += sum(map(len, own.values()))
                     rows += [("document", key, h, None, None, None) for h in own]
@@ -147,7 +166,7 @@ class Residue:
         """Keys of documents with a slot where the corpus has values."""
         tree = self._part("tree", "h", "n", "slotted").groupBy("h").agg(F.sum("n").alias("n"), F.sum("slotted").alias("slotted"))
         open_nodes = tree.where("slotted > 0").where(F.col("slotted") < SLOT_SHARE * F.greatest("n", F.lit(1)))
-        many = F.col("h") == _hash("!")
+        many = F.col("h") == _hash(MANY)
         slots = self._part("slot", "key", "h")
         return slots.where(~many).join(open_nodes.select("h"), "h", "left_semi").select("key").unionByName(slots.where(many).select("key")).distinct()
 

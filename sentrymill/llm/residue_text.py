@@ -12,6 +12,8 @@ import re
 SLOT = ""
 VALUE = "<*>"
 DEPTH = 4
+#: Keys of a slot alone in its segment, of the start of a text, and of a slot that is residue whatever the corpus has.
+BARE, START, MANY = "?", "^", "!"
 
 _NAME = r"[A-Za-zÀ-ÿ_][\wÀ-ÿ.\-]{0,60}(?: [\wÀ-ÿ.\-]{1,60}){0,3}"
 _ASK = (
@@ -58,15 +60,17 @@ KEY_FORMS = (
     (".label", ".placeholder", ".title", ".text", ".name", ".value", ".field", ".message", ".caption"),
 )
 WORD_FORMS = (
-    r"(?<!\w)(?:undefined|null|NaN|None|nil|NULL|XXX+|TBD|TBA|TBC|TK|N\.N\.)(?![\w-])",
+    r"(?<!\w)(?<!\":)(?<!\": )(?:undefined|null|NaN|None|nil|NULL|XXX+|TBD|TBA|TBC|TK|N\.N\.)(?![\w-])",
     ("undefined", "null", "NaN", "None", "nil", "NULL", "XXX", "TBD", "TBA", "TBC", "TK", "N.N."),
 )
 _SIGNED = re.compile(r"(?=[\[{<&«‹$#@%*~|(【])(?:" + "|".join(f"(?:{f})" for f in SLOT_FORMS) + ")")
+_CLOSED = re.compile(r"</([A-Za-z]+)>")  # <name> is an element there, no slot
 _LINES, _KEYS, _WORDS = (re.compile(f) for f, _ in (LINE_FORMS, KEY_FORMS, WORD_FORMS))
 
 
 def _slots(text: str, mark: str) -> str:
-    text = _SIGNED.sub(mark, text)
+    closed = set(_CLOSED.findall(text)) if "</" in text else ()
+    text = _SIGNED.sub((lambda m: m.group(0) if m.group(0)[1:-1] in closed else mark) if closed else mark, text)
     for pattern, (_, parts) in ((_LINES, LINE_FORMS), (_KEYS, KEY_FORMS), (_WORDS, WORD_FORMS)):
         if any(p in text for p in parts):
             text = pattern.sub(mark, text)
@@ -115,6 +119,8 @@ def masked(segment: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     masked tokens, runs of masks counting as one: ``<`` and the first 1 to DEPTH tokens, and ``>`` and
     three tokens from the second or third on, for what follows a value at the start. A slot is looked
     up at the node of the tokens before it, cut at DEPTH; one at the start at the node of those after it.
+    Where nothing comes after it, it is looked up at its own token if that has a name (``snr=<*>``), else
+    at BARE, which stands for the place that the segment before it leaves (see ``place``).
     """
     raw = _SPACES.split(segment)
     tokens = [_masked_token(t) for t in raw]
@@ -128,13 +134,31 @@ def masked(segment: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     keys = ["<" + " ".join(path[:n]) for n in range(1, min(DEPTH, len(path)) + 1)]
     keys += [">" + " ".join(path[n : n + 3]) for n in (1, 2, 3) if len(path) > n]
     if len(slots) >= 3:
-        at = {"!": None}
+        at = {MANY: None}
     else:
         at = {}
-    at |= dict.fromkeys(">" + " ".join(path[1:4]) if j == 0 else "<" + " ".join(path[: min(j, DEPTH)]) for j in slots)
+    if len(path) > 1:
+        at |= dict.fromkeys(">" + " ".join(path[1:4]) if j == 0 else "<" + " ".join(path[: min(j, DEPTH)]) for j in slots)
+    elif slots:
+        at["<" + path[0] if _WORD.search(path[0]) else BARE] = None
     return " ".join(tokens), tuple(keys), tuple(at)
 
 
+def place(template: str) -> str | None:
+    """Tree key of what follows a template: ``^`` and its last DEPTH tokens, so that a label and its value are
+    kept together though they are two segments. None if it is masks only, after which the place stays the same."""
+    path: list[str] = []
+    for token in reversed(template.split(" ")):
+        mask = token.rstrip(".,:;!?…") or token
+        if not (path and mask == VALUE and path[-1] == VALUE):
+            if len(path) == DEPTH:
+                break
+            path.append(mask)
+    if len(path) == 1 and VALUE in path[0] and not _WORD.search(path[0]):
+        return None
+    return "^" + " ".join(reversed(path))
+
+
 #: What notices, error messages and filler say, by language. A template is judged once by these.
 NOTICE = (
     r"(?:java ?script|js\b|scripts?\b|scripting|cookies?|browser|client|add-on|extension|skripte?|cookies|navegador|navigateur|скрипт|браузер|javascript)"

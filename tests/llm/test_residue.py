@@ -94,3 +94,23 @@ def test_code_quotes_and_addresses_hide_slots():
 
 def test_verdicts():
     assert [verdict(t) for t in ("Scripts are required.", "Incident <*>", "The second stage asks <*> for a job list and sleeps.", "Seite nicht gefunden.", "<*> <*> ERROR upstream <*> after <*>")] == [JUNK, NEUTRAL, CONTENT, JUNK, CONTENT]
+
+
+def test_a_slot_alone_in_its_segment(spark):
+    rng = random.Random(6)
+    names = ["North Yard", "Quay House", "Lower Basin", "Mill Block"]
+    rest = "The block ran out after {} minutes and nobody noticed anything at all."
+    plain = [f"Source: {rng.choice(names)}\nsnr={rng.randrange(90)}\n{rest.format(rng.randrange(60))}" for _ in range(40)]
+    bad = [
+        f"Source: {{{{site}}}}\nsnr=7\n{rest.format(5)}",
+        f"Source: [[site]].\nsnr=7\n{rest.format(5)}",
+        f"Source: Mill Block\nsnr={{level}}\n{rest.format(5)}",
+        f"{{{{title}}}}\nsnr=7\n{rest.format(5)}",
+        "North Yard\n\n{{body}}",
+    ]
+    real = [
+        "These are the marks that the mail template of the desk knows:\n{{site}}\n{{level}}",
+        '{"probe": 7, "site": null, "level": 9}\nThe collector writes null for what it has not seen.',
+        "The old tool wrote its rows as elements of this form.\n<row>\n<site>yard</site>\n</row>",
+    ]
+    assert found(spark, plain + bad + real) == set(range(40, 45))
