@@ -7,6 +7,7 @@ those alternatives side by side instead of widening them away:
 * ``file_schemas``: per file and field the names, the alternatives and the type of the file;
 * ``changes``: what appears, disappears, is renamed or retyped from a file to the next one of its series;
 * ``fused``: per field all alternatives over all files, and the canonical type that holds them;
+* ``converting_types``: per known field the narrowest type that most of its values convert to;
 * ``unified``: one row per input row with one canonically typed column per known field, a typed
   branch for each value that the canonical type can't hold, and a map of the fields without alias.
 
@@ -174,6 +175,31 @@ class DriftingFiles:
             .select("field", "files", "names", _alternatives().alias("alternatives"), _canonical().alias("canonical_type"))
         )
 
+    def converting_types(self) -> DataFrame:
+        """Per known field with values the narrowest type that more than half of its non-null values over all rows convert to, else ``text``.
+
+        Numbers 0 and 1 convert to booleans, but a field has that type only if more of its values are
+        written as words. Values are counted, so single odd ones don't change a type.
+        """
+        text, tag = _written(F.col("token"))
+        bools = _converted(text, tag, "boolean").isNotNull()
+        counts = {
+            "values": F.count(tag),
+            "bools": F.count_if(bools),
+            "words": F.count_if(bools & ~F.trim(text).isin("0", "1")),
+            "integers": F.count_if(_converted(text, tag, "integer").isNotNull()),
+            "decimals": F.count_if(_converted(text, tag, "decimal").isNotNull()),
+        }
+        by_name = pairs(self.rows.select("payload")).groupBy("name").agg(*[c.alias(n) for n, c in counts.items()])
+        by_field = self._named(by_name).where(F.col("field").isin(self.known)).groupBy("field").agg(*[F.sum(n).alias(n) for n in counts])
+        kind = (
+            F.when((F.col("bools") * 2 > F.col("values")) & (F.col("words") * 2 > F.col("bools")), F.lit("boolean"))
+            .when(F.col("integers") * 2 > F.col("values"), F.lit("integer"))
+            .when(F.col("decimals") * 2 > F.col("values"), F.lit("decimal"))
+            .otherwise(F.lit("text"))
+        )
+        return by_field.where("values > 0").select("field", kind.alias("type"))
+
     def unified(self, canonical: dict[str, str]) -> DataFrame:
         """One row per input row: each known field under one name and type.
 
@@ -184,8 +210,7 @@ class DriftingFiles:
         """
         kinds = {"text": "string", "decimal": "double", "integer": "bigint", "boolean": "boolean"}
         keyed = self._named(pairs(self.rows.select("row_id", "series", "number", "file", "payload")))
-        tag = value_type(F.col("token"))
-        text = F.when(tag == "text", _unquoted(F.col("token"))).when(tag.isNotNull(), F.col("token"))
+        text, tag = _written(F.col("token"))
         keyed = keyed.select("row_id", "field", text.alias("value"), tag.alias("tag"), F.col("field").isin(self.known).alias("known"))
         columns = []
         for name in self.known:
@@ -209,6 +234,12 @@ class DriftingFiles:
         return head.join(gathered, "row_id", "left").withColumnsRenamed({"row_id": self.row_id, "__file": self.file})
 
 
+def _written(token: Column) -> tuple[Column, Column]:
+    """A value's text, null for null, and its tag."""
+    tag = value_type(token)
+    return F.when(tag == "text", _unquoted(token)).when(tag.isNotNull(), token), tag
+
+
 def _alternatives() -> Column:
     return F.filter(F.array(*[F.when(F.col(t) == 1, F.lit(t)) for t in TYPES]), lambda x: x.isNotNull())
 

@@ -58,9 +58,7 @@ def p4_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     drift = _drift(spark, d)
-    known = drift.fused().where(F.col("field").isin(drift.known)).select("field", "canonical_type")
-    canonical = {r.field: r.canonical_type or "text" for r in small_rows(known, FIELD_BOUND)}
-    return drift.unified(canonical)
+    return drift.unified({r.field: r.type for r in small_rows(drift.converting_types(), FIELD_BOUND)})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_messages, p2_found, p2_loaded, p4_found, p4_fields, p4_table)}

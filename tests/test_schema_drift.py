@@ -75,3 +75,19 @@ def test_fused_lists_names_and_alternatives(spark):
     rows = [("e", 0, "f0", '{"dport": 1}'), ("o", 0, "g0", '{"DPORT": "x"}')]
     (r,) = drift(spark, rows).fused().collect()
     assert (r.field, r.files, r.names, r.alternatives, r.canonical_type) == ("dst_port", 2, ["DPORT", "dport"], ["integer", "text"], "text")
+
+
+def test_types_are_what_most_values_convert_to(spark, tmp_path):
+    from sentrymill.plans.intake import p4_table
+
+    rows = [("e", 0, "f0", p) for p in ['{"fwd_bytes": 1, "dport": 53, "on": true, "mean": 1.5, "who": "a", "flag": 0}'] * 3]
+    rows += [("e", 1, "f1", '{"bytes out": "7", "dport": 53.0, "on": "yes", "mean": "2.5", "who": 4, "flag": 1}'), ("e", 1, "f1", '{"fwd_bytes": "n/a", "dport": "https", "on": 0, "mean": 3, "who": "b", "flag": null}'), ("e", 2, "f2", '{"fwd_bytes": 8.5, "none": null}')]
+    aliases = [("bytes out", "fwd_bytes"), ("dport", "dst_port"), *((f, f) for f in ("fwd_bytes", "on", "mean", "who", "flag", "none"))]
+    d = drift(spark, rows, aliases)
+    assert {tuple(r) for r in d.converting_types().collect()} == {("fwd_bytes", "integer"), ("dst_port", "integer"), ("on", "boolean"), ("mean", "decimal"), ("who", "text"), ("flag", "integer")}
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ROWS).write.parquet(f"{tmp_path}/flow_exports.parquet")
+    spark.createDataFrame(aliases, "alias string, field string").write.parquet(f"{tmp_path}/field_aliases.parquet")
+    out = p4_table(spark, str(tmp_path)).orderBy("export_row_id").collect()
+    assert [r.fwd_bytes for r in out] == [1, 1, 1, 7, None, None] and [r.dst_port for r in out] == [53, 53, 53, 53, None, None]
+    assert [r.on for r in out] == [True, True, True, True, False, None] and [r.mean for r in out] == [1.5, 1.5, 1.5, 2.5, 3.0, None]
+    assert out[3].who == "4" and [r.branches for r in out[3:]] == [{}, {"fwd_bytes#text": "n/a", "dst_port#text": "https"}, {"fwd_bytes#decimal": "8.5"}]
