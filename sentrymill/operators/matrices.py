@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrymill.sources.tables import spread
+
 TINY = 1e-10
 
 
@@ -83,24 +85,34 @@ class Autoencoder:
         self.hidden, self.code, self.epochs, self.rate, self.seed = hidden, code, epochs, rate, seed
 
     def fit(self, x: np.ndarray) -> Autoencoder:
+        return self.trained(x.mean(axis=0), x.std(axis=0), lambda: self.gradients(x, x.size))
+
+    def trained(self, mean: np.ndarray, std: np.ndarray, gradients: Callable[[], list[np.ndarray]]) -> Autoencoder:
+        """Trains on rows of this mean and deviation, of which ``gradients`` gives the summed gradients at the present weights."""
         rng = np.random.default_rng(self.seed)
-        self.mean, std = x.mean(axis=0), x.std(axis=0)
-        self.std = np.where(std < TINY, 1.0, std)
-        z = (x - self.mean) / self.std
-        sizes = [x.shape[1], *self.hidden, self.code, *reversed(self.hidden), x.shape[1]]
+        self.mean, self.std = mean, np.where(std < TINY, 1.0, std)
+        sizes = [len(mean), *self.hidden, self.code, *reversed(self.hidden), len(mean)]
         self.w = [rng.normal(0, np.sqrt(1 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
         self.b = [np.zeros(b) for b in sizes[1:]]
         steps = [(Optimizer(rate=self.rate), Optimizer(rate=self.rate)) for _ in self.w]
         for _ in range(self.epochs):
-            acts = self._forward(z)
-            grad = 2 * (acts[-1] - z) / z.size
-            for i in range(len(self.w) - 1, -1, -1):
-                gw, gb = acts[i].T @ grad, grad.sum(axis=0)
-                if i:
-                    grad = (grad @ self.w[i].T) * (1 - acts[i] ** 2)
-                self.w[i], self.b[i] = steps[i][0].step(self.w[i], gw), steps[i][1].step(self.b[i], gb)
+            g = gradients()
+            for i, (w, b) in enumerate(steps):
+                self.w[i], self.b[i] = w.step(self.w[i], g[2 * i]), b.step(self.b[i], g[2 * i + 1])
         return self
 
+    def gradients(self, x: np.ndarray, size: int) -> list[np.ndarray]:
+        """Gradients of weights and biases, layer by layer, summed over the rows of ``x``, which belong to rows of ``size`` values."""
+        z = (x - self.mean) / self.std
+        acts = self._forward(z)
+        grad = 2 * (acts[-1] - z) / size
+        out: list[np.ndarray] = []
+        for i in range(len(self.w) - 1, -1, -1):
+            out = [acts[i].T @ grad, grad.sum(axis=0), *out]
+            if i:
+                grad = (grad @ self.w[i].T) * (1 - acts[i] ** 2)
+        return out
+
     def _forward(self, z: np.ndarray) -> list[np.ndarray]:
         acts = [z]
         for i, (w, b) in enumerate(zip(self.w, self.b)):
@@ -128,10 +140,38 @@ def reconstruction_errors(model: Autoencoder, rows: DataFrame, key: str, vector:
     return rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"k {kind}, error double").withColumnRenamed("k", key)
 
 
-def fit_on_sample(rows: DataFrame, vector: str, most: int = 5_000, order: str = "vec_id", **settings) -> Autoencoder:
-    """Fits on the ``most`` rows with the smallest hashes of ``order``: a bounded, repeatable sample."""
-    sample = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(order), order).limit(most).select(vector).collect()
-    return Autoencoder(**settings).fit(np.array([r[0] for r in sample], float))
+def fit_on_all(rows: DataFrame, vector: str, **settings) -> Autoencoder:
+    """Fits on all rows: mean and deviation by one aggregation, then for each epoch the gradients summed per partition and by a tree.
+
+    The driver holds the model and gradients of its size only; the result is that of ``Autoencoder.fit`` on all rows.
+    """
+    x = spread(rows.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"))).persist()
+    try:
+        at = x.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+        stats = at.orderBy("pos").collect()
+        if not stats:
+            raise ValueError("there are no rows to fit on")
+        model, size = Autoencoder(**settings), sum(r["n"] for r in stats)
+
+        def summed() -> list[np.ndarray]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = None
+                for b in batches:
+                    if b.num_rows:
+                        flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+                        g = np.concatenate([p.ravel() for p in model.gradients(flat.reshape(b.num_rows, -1), size)])
+                        total = g if total is None else total + g
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
+
+            flat = x.mapInArrow(run, "g binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add)
+            shapes = [p.shape for pair in zip(model.w, model.b) for p in pair]
+            ends = np.cumsum([np.prod(shape) for shape in shapes])[:-1]
+            return [g.reshape(shape) for g, shape in zip(np.split(flat, ends), shapes)]
+
+        return model.trained(np.array([r["mean"] for r in stats]), np.array([r["std"] for r in stats]), summed)
+    finally:
+        x.unpersist()
 
 
 def numeric_gradient(f: Callable[[np.ndarray], float], x: np.ndarray, h: float = 1e-6) -> np.ndarray:

@@ -73,7 +73,7 @@ def tensor_sums(spark: SparkSession, d: str) -> DataFrame:
 
 def autoencoder_errors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    model = matrices.fit_on_sample(e, "embedding", 2_000, "vec_id", epochs=60)
+    model = matrices.fit_on_all(e, "embedding", epochs=60)
     return matrices.reconstruction_errors(model, e, "vec_id", "embedding").select("vec_id", F.round("error", 6).alias("error"))
 
 

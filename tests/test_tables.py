@@ -126,3 +126,16 @@ def test_codes_and_readings(spark):
     out = scalars.link_reading(F.lit("Radio type : 802.11n 5GHz\nSignal : 90%\n")) | scalars.ping_reading(F.lit("no answer")) | {"drift": scalars.clock_drift(F.lit("Root Delay: 0.03s"))}
     r = spark.range(1).select(*[c.alias(n) for n, c in out.items()]).first()
     assert (r.ssid, r.snr_db, r.latency_ms, r.jitter_ms, r.packet_loss_pct, r.drift) == ("Wi-Fi", 35.0, 999.0, 0.0, 100.0, 30.0)
+
+
+def test_autoencoder_is_fitted_on_all_rows(spark, tmp_path):
+    import numpy as np
+
+    from sentrymill.plans.function_queries import autoencoder_errors
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2_300, 3)) @ rng.normal(size=(3, 8))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(-1, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.error for r in autoencoder_errors(spark, str(tmp_path)).collect()}
+    assert np.allclose([got.pop(i) for i in range(len(x))], matrices.Autoencoder(epochs=60).fit(x).errors(x), atol=2e-6) and not got
