@@ -1,31 +1,37 @@
 """Template residue and error-page text.
 
-Segments (sentences, lines) of all documents are mined for templates with a prefix tree of fixed
-depth over masked tokens: values and slots become masks, and a node counts how many segments pass
-through it and how many have a slot as their next token.
-
-*Unresolved slots.* A slot counts where the corpus fills that place with values: at its node fewer
-than ``SLOT_SHARE`` of the segments have a slot. Where texts explain or log a slot, nearly every
+Segments (sentences, lines) of all documents go through two prefix trees of fixed depth over masked
+tokens: values and slots become masks.
+
+*Templates.* The leaf of a segment is chosen by its number of tokens, its first words and its last
+token. Segments of a leaf that are alike are merged into one template, in which what differs is
+masked. Each mined template is classified once, by general features of its words (``residue_words``):
+junk, neutral (title, page furniture), content, or unsure. Verdicts are then propagated through the
+documents: a junk template most of whose documents have real content besides is quoted there, and
+becomes neutral; an unsure template nearly all of whose documents have junk and no content becomes
+junk, any other one content. A document is found if it has junk and no content.
+
+*Unresolved slots.* A second tree counts how many segments pass through a node, and how many have a
+slot as their next token. A slot counts where the corpus fills that place with values: at its node
+fewer than ``SLOT_SHARE`` of the segments have a slot. Where texts explain or log a slot, nearly every
 segment of the node has one, so that it is no residue. A slot alone in its segment (the value of a
 label, a line of its own) is compared with what follows the segment before it elsewhere, and is residue
-anyway in a text without any content. Slots in code, quotes and addresses are not
-looked at; three slots in one segment are residue if no text fills that place.
-
-*Filler, error pages and notices.* Each distinct template is judged once, by its words: junk, neutral
-(title, page furniture) or content. Verdicts are then propagated through the documents: a junk
-template most of whose documents have real content besides is quoted there, and becomes content; a
-content template that nearly always stands with nothing but junk becomes junk. A document is found if
-it has junk and no content.
-
-One Python pass over the texts writes four narrow parts to the shared folder: tree counts (summed
-per task before they are written), slots, templates (per task once) and the distinct templates of
-each document. All later steps are joins and sums on 8-byte hashes; nothing is collected. Only
-documents that have junk at all take part in the propagation.
-
-Defined results: null, empty and blank texts are never found; texts of any length are read whole;
-repeated documents get the same verdict and count each; a null key is kept as a key; an empty table
-gives an empty result; further columns are ignored. On a corpus too small to fill a place with values
-a slot there isn't found unless three stand in one segment or one is alone in its segment and the text has no content.
+anyway in a text without any content. Slots in code, quotes and addresses are not looked at; three
+slots in one segment are residue whatever the corpus has.
+
+One Python pass over the texts writes four narrow parts to the shared folder: slot tree counts (summed
+per task before they are written), slots, segments (per task once, with their number of documents) and
+the distinct segments of each document. Mining exchanges the distinct segments by leaf and reads each
+leaf as a sorted stream, so repeats of a hot segment cost one row per task. All later steps are joins
+and sums on 8-byte hashes; in joins, hashes with more than a ``HOT``-th of all rows, at most ``HOT``
+ones, are broadcast and the rest is shuffled, so that no task holds a hot one. Only documents that have
+junk at all take part in the propagation. Nothing is collected.
+
+Defined results: null, empty and blank texts are never found; texts and segments of any length are
+read whole; repeated documents get the same verdict and count each; a null key is kept as a key; an
+empty table gives an empty result; further columns are ignored. On a corpus too small to fill a place
+with values a slot there isn't found unless three stand in one segment or one is alone in its segment
+and the text has no content.
 """
 
 from __future__ import annotations
@@ -38,17 +44,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.llm.residue_text import BARE, CONTENT, JUNK, MANY, START, marked, masked, place, segments, verdict
+from sentrymill.llm.residue_text import BARE, MANY, START, Leaf, leaf, marked, masked, place, segments
+from sentrymill.llm.residue_words import CONTENT, JUNK, NEUTRAL, UNSURE, verdict
 from sentrymill.sources.tables import checkpointed, shared_dir, spread
 
 SLOT_SHARE = 0.4
 QUOTED_SHARE = 0.5
 JOINED_SHARE = 0.8
-JOINED_DOCUMENTS = 3
+HOT = 4_096
 _HELD = 200_000
 _HELD_CHARS = 16_000_000
 _KNOWN_CHARS = 400
-_PARTS = "part string, key {kind}, h bigint, n bigint, slotted bigint, template string"
+_PARTS = "part string, key {kind}, h bigint, n bigint, other bigint, template string"
 
 
 def _hash(text: str) -> int:
@@ -60,7 +67,7 @@ def _hash(text: str) -> int:
 
 def _scan(key_type: pa.DataType):
     schema = pa.schema(
-        [("part", pa.string()), ("key", key_type), ("h", pa.int64()), ("n", pa.int64()), ("slotted", pa.int64()), ("template", pa.string())]
+        [("part", pa.string()), ("key", key_type), ("h", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("template", pa.string())]
     )
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
@@ -78,7 +85,7 @@ def _scan(key_type: pa.DataType):
         def held() -> list[tuple]:
             rows = [("tree", None, h, n, slotted.get(h, 0), None) for h, n in through.items()]
             rows += [("tree", None, h, 0, n, None) for h, n in slotted.items() if h not in through]
-            rows += [("template", None, h, n, None, t) for (h, t), n in templates.items()]
+            rows += [("segment", None, h, n, _hash(leaf(t.split(" "))), t) for (h, t), n in templates.items()]
             for c in (through, slotted, templates):
                 c.clear()
             return rows
@@ -140,10 +147,48 @@ def _scan(key_type: pa.DataType):
     return run
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (leaf, template, h, n), sorted by leaf and template, to one row (h, n, t, docs, verdict) per segment."""
+    at, tree = None, Leaf()
+    members: list[list[int]] = []  # h, n, template of each distinct segment of the leaf
+
+    def mined() -> pa.RecordBatch:
+        docs = [0] * len(tree.templates)
+        for _, n, k in members:
+            docs[k] += n
+        texts = [" ".join(t) for t in tree.templates]
+        ids, verdicts = [_hash(f"{at} {k} {t}") for k, t in enumerate(texts)], [verdict(t) for t in texts]
+        rows = [(h, n, ids[k], docs[k], verdicts[k]) for h, n, k in members]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["h", "n", "t", "docs", "verdict"])
+
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        judged = [verdict(t) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(judged, pa.int32())], names=["h", "documents", "verdict"])
+        for number, text, h, n in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if number != at:
+                if members:
+                    held.append(mined())
+                at, tree, members = number, Leaf(), []
+            if members and members[-1][0] == h:
+                members[-1][1] += n
+            else:
+                members.append([h, n, tree.add(text)])
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if members:
+        yield mined()
+
+
+def _met(rows: DataFrame, table: DataFrame, on: str, count: str) -> DataFrame:
+    """Inner join with a table that has each hash once and its number of rows; hot hashes are broadcast.
+
+    Of hashes with at least a ``HOT``-th of all rows there are at most ``HOT``, which bounds the broadcast.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT >= total
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(few.select(on), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(table.where(~hot), on))
 
 
 class Residue:
@@ -164,45 +209,49 @@ class Residue:
 
     def unresolved(self) -> DataFrame:
         """Keys of documents with a slot where the corpus has values."""
-        tree = self._part("tree", "h", "n", "slotted").groupBy("h").agg(F.sum("n").alias("n"), F.sum("slotted").alias("slotted"))
+        tree = self._part("tree", "h", "n", "other").groupBy("h").agg(F.sum("n").alias("n"), F.sum("other").alias("slotted"))
         open_nodes = tree.where("slotted > 0").where(F.col("slotted") < SLOT_SHARE * F.greatest("n", F.lit(1)))
         many = F.col("h") == _hash(MANY)
         slots = self._part("slot", "key", "h")
         return slots.where(~many).join(open_nodes.select("h"), "h", "left_semi").select("key").unionByName(slots.where(many).select("key")).distinct()
 
     def templates(self) -> DataFrame:
-        """h, documents, template: every distinct template and how many documents have it."""
-        return self._part("template", "h", "n", "template").groupBy("h").agg(F.sum("n").alias("documents"), F.min("template").alias("template"))
-
-    def verdicts(self) -> DataFrame:
-        """h, documents, verdict: each distinct template judged once."""
-        spread = self._parts.sparkSession.sparkContext.defaultParallelism * 2  # little data, much work a row
-        return self.templates().select("h", "documents", "template").repartition(spread, "h").mapInArrow(_judge, "h bigint, documents bigint, verdict int")
+        """h, n, t, docs, verdict: each distinct segment and its number of documents, with the template it was mined into, that one's number of documents and its verdict."""
+        partitions = self._parts.sparkSession.sparkContext.defaultParallelism * 2  # little data, much work a row
+        rows = self._part("segment", F.col("other").alias("leaf"), "template", "h", "n")
+        streams = rows.repartition(partitions, "leaf").sortWithinPartitions("leaf", "template")
+        return streams.mapInArrow(_mine, "h bigint, n bigint, t bigint, docs bigint, verdict bigint")
 
     def empty_of_content(self) -> DataFrame:
         """Keys of documents that have nothing but filler, errors and notices besides titles and furniture."""
-        judged = self._part("document", "key", "h").join(checkpointed(self.verdicts()), "h")
-        content = F.sum((F.col("verdict") == CONTENT).cast("int"))
-        junk = F.sum((F.col("verdict") == JUNK).cast("int"))
-        by_key = judged.groupBy(F.col("key").alias("k")).agg(junk.alias("junk"), content.alias("content")).where("junk > 0")
-        near = checkpointed(judged.join(by_key, F.col("key").eqNullSafe(F.col("k"))).select("key", "h", "documents", "verdict", "content"))
-        clean = F.avg((F.col("content") == 0).cast("double"))
-        quoted = near.where(F.col("verdict") == JUNK).groupBy("h").agg(clean.alias("clean")).where(F.col("clean") < QUOTED_SHARE)
-        settled = near.join(quoted.select("h", F.lit(True).alias("quoted")), "h", "left").select(
-            "key", "h", "documents", F.when(F.col("quoted"), F.lit(CONTENT)).otherwise(F.col("verdict")).alias("verdict")
-        )
-        again = settled.groupBy(F.col("key").alias("k")).agg(junk.alias("junk"), content.alias("content"))
-        alone = settled.join(again.where("junk > 0 AND content BETWEEN 1 AND 2"), F.col("key").eqNullSafe(F.col("k")))
-        joined = (
-            alone.where(F.col("verdict") == CONTENT)
-            .groupBy("h")
-            .agg(F.count("*").alias("n"), F.max("documents").alias("documents"))
-            .where((F.col("n") >= JOINED_DOCUMENTS) & (F.col("n") >= JOINED_SHARE * F.col("documents")))
+        templates = checkpointed(self.templates())
+        edges = self._part("document", "key", "h")
+        junk, content = (F.sum((F.col("verdict") == v).cast("int")) for v in (JUNK, CONTENT))
+        with_junk = _met(edges, templates.where(F.col("verdict") == JUNK).select("h", "n"), "h", "n").select(F.col("key").alias("k")).distinct()
+        near = edges.join(with_junk, F.col("key").eqNullSafe(F.col("k")), "left_semi")
+        judged = checkpointed(_met(near, templates, "h", "n").groupBy("key", "t").agg(F.max("verdict").alias("verdict"), F.max("docs").alias("docs")))
+        clean = self._with_clean(judged)
+        quoted = clean.groupBy("t").agg(F.count("*").alias("near"), F.avg("clean").alias("clean_share"))
+        settled = _met(judged, quoted, "t", "near").select(
+            "key", "t", "docs", F.when((F.col("verdict") == JUNK) & (F.col("clean_share") < QUOTED_SHARE), F.lit(NEUTRAL)).otherwise(F.col("verdict")).alias("verdict")
         )
-        final = settled.join(joined.select("h", F.lit(True).alias("joined")), "h", "left").select(
-            "key", F.when(F.col("joined"), F.lit(JUNK)).otherwise(F.col("verdict")).alias("verdict")
+        settled = checkpointed(settled)
+        sure = settled.where(F.col("verdict") != UNSURE).select("key", "verdict")
+        unsure = self._with_clean(settled).where(F.col("verdict") == UNSURE)
+        joined = unsure.groupBy("t").agg(F.count("*").alias("near"), (F.sum("clean") >= JOINED_SHARE * F.max("docs")).alias("joins"))
+        resolved = _met(settled.where(F.col("verdict") == UNSURE).select("key", "t"), joined, "t", "near").select(
+            "key", F.when(F.col("joins"), F.lit(JUNK)).otherwise(F.lit(CONTENT)).cast("bigint").alias("verdict")
         )
-        return final.groupBy("key").agg(junk.alias("junk"), content.alias("content")).where("junk > 0 AND content = 0").select("key")
+        final = sure.unionByName(resolved).groupBy("key").agg(junk.alias("junk"), content.alias("content"))
+        return final.where("junk > 0 AND content = 0").select("key")
+
+    @staticmethod
+    def _with_clean(judged: DataFrame) -> DataFrame:
+        """Adds whether a row's document has junk and no content, as 0 or 1."""
+        has = [F.max((F.col("verdict") == v).cast("int")).alias(name) for v, name in ((JUNK, "junk"), (CONTENT, "content"))]
+        by_key = judged.groupBy(F.col("key").alias("k")).agg(*has)
+        clean = F.when((F.col("junk") == 1) & (F.col("content") == 0), 1).otherwise(0)
+        return judged.join(by_key, F.col("key").eqNullSafe(F.col("k"))).select("key", "t", "docs", "verdict", clean.alias("clean"))
 
     def found(self) -> DataFrame:
         """Keys of all residue documents, each once."""

@@ -1,4 +1,4 @@
-"""Text side of the residue operator: segments, slots, templates and their verdicts.
+"""Text side of the residue operator: segments, slots, and the prefix trees of both.
 
 Plain functions on strings, run inside Arrow batches. A *segment* is a sentence or line, a *slot* a
 mark that a template engine or an author leaves where a value belongs, and a *template* a segment
@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import re
 
+from sentrymill.llm.residue_words import VALUE, WILD
+
 SLOT = ""
-VALUE = "<*>"
 DEPTH = 4
+#: Leading words that choose a leaf of the template tree, besides the number of tokens and the last one.
+LEAD = 3
+#: Share of equal tokens at which a segment joins a template of its leaf.
+ALIKE = 0.7
 #: Keys of a slot alone in its segment, of the start of a text, and of a slot that is residue whatever the corpus has.
 BARE, START, MANY = "?", "^", "!"
 
-_NAME = r"[A-Za-zÀ-ÿ_][\wÀ-ÿ.\-]{0,60}(?: [\wÀ-ÿ.\-]{1,60}){0,3}"
+_NAME = r"[A-Za-zÀ-ÿ_][\wÀ-ÿ.\-]*+(?: [\wÀ-ÿ.\-]++){0,3}"
 _ASK = (
     r"insert|enter|add|your|fill(?: in)?|type|choose|select|name|date|time|todo|tbd|tba|tbc|placeholder|to be \w+|"
     r"bitte|hier|name|datum|uhrzeit|ort|ergänzen|eintragen|einfügen|ausfüllen|ihr\w*|"
@@ -78,11 +83,11 @@ def _slots(text: str, mark: str) -> str:
 
 
 _TAG = re.compile(
-    r"<!--.{0,1000}?-->|<!DOCTYPE[^>]*>|</?(?:html|head|body|title|meta|link|script|style|noscript|div|span|p|br|hr|h[1-6]|ul|ol|li|a|b|i|em|strong|center|table|tr|td|th|img|form|input|button|pre|nav|header|footer|article)\b[^<>]*/?>",
+    r"<!DOCTYPE[^>]*>|</?(?:html|head|body|title|meta|link|script|style|noscript|div|span|p|br|hr|h[1-6]|ul|ol|li|a|b|i|em|strong|center|table|tr|td|th|img|form|input|button|pre|nav|header|footer|article)\b[^<>]*/?>",
     re.I | re.S,
 )
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
-_QUOTED = re.compile(r"\"[^\"\n]{0,200}\"|„[^“”\n]{0,200}[“”]|“[^”\n]{0,200}”")
+_QUOTED = re.compile(r"\"[^\"\n]*+\"|„[^„“”\n]*+[“”]|“[^“”\n]*+”")
 _URL = re.compile(r"://\S+|(?<![\w>\]})%:/])/\S+|(?<!\w)[A-Za-z]:\\\S+|(?:\$HOME|%USERPROFILE%|%APPDATA%)[/\\]\S*")
 _BREAK = re.compile(r"[\n\r\t]+|(?<=[.!?。।؟…])\s+|(?<=[:;])\s+|(?<=[。।؟])|(?<=</p>)")
 _SPACES = re.compile(r"\s+")
@@ -91,8 +96,26 @@ _VALUED = re.compile(r"(?<![^\s()\[\]:;,=])[^\s()\[\]:;,=\d。।؟]*\d[^\s()\[\
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 
 
+def _without_comments(text: str) -> str:
+    """The text without ``<!-- -->``; one that isn't closed stays."""
+    parts = text.split("<!--")
+    last = max((i for i, p in enumerate(parts) if "-->" in p), default=0)  # no later one is closed
+    out, open_ = [parts[0]], False
+    for i, p in enumerate(parts[1:], 1):
+        if i > last:
+            out += ["<!--", p]
+        elif not open_ and "-->" not in p:
+            open_ = True
+        elif "-->" in p:
+            out += ["\n", p.partition("-->")[2]]
+            open_ = False
+    return "".join(out)
+
+
 def marked(text: str) -> str:
     """The text without markup, with one mark for each slot that isn't shown as code, quoted or inside an address, and one for each value."""
+    if "<!--" in text:
+        text = _without_comments(text)
     if "</" in text or "<br" in text:
         text = _TAG.sub("\n", text)
     text = _CODE.sub(lambda m: "\ncode0\n" if "\n" in m.group(0) else "code0", text)
@@ -159,114 +182,43 @@ def place(template: str) -> str | None:
     return "^" + " ".join(reversed(path))
 
 
-#: What notices, error messages and filler say, by language. A template is judged once by these.
-NOTICE = (
-    r"(?:java ?script|js\b|scripts?\b|scripting|cookies?|browser|client|add-on|extension|skripte?|cookies|navegador|navigateur|скрипт|браузер|javascript)"
-)
-NOTICE_ACT = (
-    r"(?:enabl|allow|accept|turn(?:ed)? (?:on|off)|switch(?:ed)? (?:it |them )?(?:on|off)|requir|needs?\b|needed|must be|disabled|blocked|blocks|block\b|runs? no|only (?:works|with)|works only|relies on|"
-    r"supported|unblock|too old|up ?date|upgrade|without|verifying|checking|"
-    r"aktivier|einschalten|schalten|erlauben|benötig|braucht|funktioniert nur|zulassen|"
-    r"activ|autoris|nécessit|exige|désactiv|besoin|"
-    r"habilit|permit|requier|necesit|desactiv|acept|включите|разрешите|требует)"
-)
-NOTICES = (
-    r"^(?:needs?|no) (?:cookies|scripts|javascript)\b",
-    r"^no scripts?, no \w+",
-    r"\bjs (?:is|seems|must|has)\b|client-side code|^(?:show|tell) us that you",
-    r"can'?t be drawn|(?:chart|page|feed|map|view) cannot be drawn",
-    r"\b(?:prove|confirm|verify)\b.*\b(?:human|robot)\b|not a robot",
-    r"^(?:switch|turn) (?:it|them) on\b|^(?:please )?(?:allow|unblock|enable|accept) (?:them|it)\b|^check your settings",
-    r"^(?:please )?(?:update|replace|upgrade) it\b|use a (?:newer|supported|current|different) (?:one|browser|client)",
-    r"^(?:loading|starting|please wait|one moment|hold on|one more step|quick check|checking|verifying)\b.*(?:\.|…|:)?",
-    r"before (?:you can go on|the page opens|you (?:go on|proceed|continue))|this takes a few seconds",
-    r"\bscripting\b.*\boff\b|\bif nothing happens\b",
-)
-ERRORS = (
-    r"^(?:error|erreur|fehler|fout|ошибка|warning|notice|fatal|critical|deprecated|failed|trace|traceback|code|status|request id|ref|reference|exception|message|detail)\b[^a-z]*(?:<\*>[^a-z]*)?$",
-    r"^(?:http\S*\s*)?<\*>\W*(?:bad gateway|not found|forbidden|unauthorized|service unavailable|gateway time-?out|internal server error|too many requests|gone|bad request|connection timed out|method not allowed|request timeout)",
-    r"^\W*(?:bad gateway|not found|forbidden|unauthorized|service unavailable|gateway time-?out|internal server error|too many requests|gone|bad request|connection timed out|request timeout|permission denied|access denied|not allowed|session expired|page not found)\W*(?:<\*>)?\W*$",
-    r"\b(?:error|erreur|fehler)\s+<\*>|\bstatus\s+<\*>|\berrno\b",
-    r"\b(?:page|file|folder|report|brief|entry|article|address|document|item|room|link|resource|record)\b.*\b(?:not found|does ?n[o']t exist|isn'?t here|no longer|withdrawn|removed|moved|never existed|could not be (?:shown|displayed|loaded|found|fetched|retrieved|opened|rendered|delivered|reached)|can(?:no|')t be (?:found|shown|displayed))",
-    r"(?:lack|don'?t have|have no|not have|need more|need) (?:the )?(?:permission|rights?|more rights)|not authori[sz]ed|not permitted|denied|you shall need more rights|no permission",
-    r"too many requests|rate limit|slow down|(?:try|come back|retry) (?:again )?(?:in|later|after)|please (?:try again|reload|come back|authenticate|sign in|log in)|wait and try again|try (?:again )?later|back (?:soon|shortly)|thanks for waiting|we'?ll be back",
-    r"session (?:has |is )?(?:expired|timed out)|session a expiré|sesión ha (?:expirado|caducado)|sitzung ist abgelaufen|reconnectez|melden sie sich|inicie sesión",
-    r"timed out\b|no (?:valid|timely) answer|got no|could not (?:connect|reach|open|load|be shown|be displayed)|couldn'?t (?:connect|reach|open|load)|stream cut|^(?:the )?upstream\b|no live upstream|queue full|unsupported operand|empty body|missing \w+ \w+",
-    r"\bhit a snag\b|\b(?:has|is being|being) (?:serviced|repaired|upgraded)|asking too often|(?:login|log-in|sign-in|session|token|access|anmeldung|sitzung) (?:has |ist )?(?:ended|expired|timed out|run out|abgelaufen)|laden sie neu|bitte neu laden",
-    r"\b(?:went|gone) wrong\b|^whoops\b|(?:console|server|page|feed|report server|site|service)\b.*\b(?:broke|crashed|is down|down for|offline|unavailable|not available|maintenance)|internal error|interner fehler|erreur interne|error interno|^(?:oops|sorry|uh-oh)\b",
-    r"traceback \(most recent|^file \"?.*\bline\b|\bon line <\*>|\bat line <\*>|^\w*(?:error|exception)\b\W*$|undefined (?:variable|index|array key|offset|method)|stack trace|segmentation fault|core dumped",
-    r"^\W*\{?\W*\"?(?:error|code|status|message|detail|trace|title|path|timestamp|ok|success)\"?\s*:",
-    r"seite (?:wurde )?nicht gefunden|nicht (?:verfügbar|erreichbar|gefunden)|zugriff (?:verweigert|abgelehnt|nicht erlaubt)|fehlen die nötigen|prüfen sie|versuchen sie|ist ein .*fehler aufgetreten",
-    r"page (?:introuvable|inexistante|déplacée|supprimée)|accès (?:refusé|interdit|non autorisé)|indisponible|réessayez|vérifiez|n'existe (?:pas|plus)|introuvable",
-    r"no (?:se )?(?:encontr|existe|está disponible)|página (?:no|inexist)|acceso (?:denegado|prohibido|no (?:permitido|autorizado))|no tiene permiso|inténtelo|intente|no disponible",
-    r"^nothing to show|^nothing more is known|^(?:re)?load\b\W*$|^retry\W*$|^(?:go )?back\W*$|^try the search|^check the (?:address|spelling|url)|^start over",
-    r"страница не найдена|доступ (?:запрещ|закрыт)|попробуйте|недоступ",
-)
-FILLER = (
-    r"\blorem\b|\bipsum\b|dolor sit amet|consectetur",
-    r"\b(?:placeholder|dummy|sample|example|stand-in|filler|test)\b (?:text|paragraph|copy|wording|content|heading|title|sentence|body|page)",
-    r"\b(?:heading|section|paragraph|title|item|chapter|part|block|column)\s+(?:<\*>|one|two|three|four|a|b|c|i+)\b\W*$|for heading\b",
-    r"^(?:description|summary|overview|details?|introduction|outline|abstract) of the \w+\W*$",
-    r"\b(?:to (?:follow|come|be (?:added|done|written|supplied|delivered|provided|filled|announced|completed))|coming soon|more soon|back soon|watch this space|(?:comes|appear|goes|belongs) (?:later|here|in this)|will (?:appear|be supplied|be added|go|follow|come|stand)|text to follow|here soon)\b",
-    r"\btodo\b|\bfixme\b|\btbd\b",
-    r"\b(?:replace|swap out|change|remove|delete|rewrite|overwrite)\b.*\bbefore\b|(?:replace|swap out) this",
-    r"(?:intentionally|deliberately) (?:holds|left|contains|has)|(?:has no text|is still empty|holds no (?:copy|text)|left blank|no content yet|nothing here yet|under construction)",
-    r"^(?:please )?(?:type|paste|write|add|enter|put|insert|place) (?:your|the|some|a) [\w ]+ (?:here|below|above|in this|into this|at this)",
-    r"^keep it (?:short|simple|under|brief)|^your (?:story|text|title|summary|content|name|article|message)\b|belongs (?:in|here)",
-    r"mustertext|blindtext|platzhalter|fülltext|beispieltext|hier (?:steht|kommt|entsteht|folgt|erscheint)|wird (?:noch|später|bald) (?:ersetzt|ergänzt|nachgereicht)|folgt (?:in kürze|später)|vor (?:dem |der )?(?:versand|veröffentlich\w*|freigabe).*(?:ersetz|lösch)",
-    r"texte (?:de démonstration|d'exemple|fictif|de remplissage|à venir|factice)|sera (?:placé|ajouté|inséré|remplacé)|à (?:remplacer|venir|compléter|supprimer)|faux texte|votre (?:texte|résumé|titre|contenu)|ici (?:viendra|apparaîtra|bientôt)",
-    r"(?:texto|contenido|párrafo) de (?:relleno|ejemplo|prueba|muestra)|aquí (?:irá|aparecerá|va|vendrá|estará)|(?:cambiar|borrar|sustituir|reemplazar) (?:antes|este)|próximamente|su (?:texto|título|resumen)\b",
-    r"текст[- ](?:заполнитель|рыба)|здесь (?:будет|появится)|скоро здесь",
-    r"^(?:test[\s.,!]*)+$|^(?:bla[\s.,!]*)+$|^(?:asdf\w*[\s.,!]*)+$|^(?:qwert\w*[\s.,!]*)+$|^(?:foo|bar|baz)[\s.,!]*$",
-)
-_LOGGED = re.compile(rf"^{re.escape(VALUE)}.*\b(?:ERROR|WARN|INFO|DEBUG)\b|\b\w+={re.escape(VALUE)}.*\b\w+={re.escape(VALUE)}")
-_NOTICE = re.compile("|".join(NOTICES), re.I)
-_ABOUT = re.compile(rf"\b{NOTICE}", re.I)
-_ACT = re.compile(rf"\b{NOTICE_ACT}", re.I)
-_ERROR = re.compile("|".join(ERRORS), re.I)
-_FILLER = re.compile("|".join(FILLER), re.I)
-_FURNITURE = re.compile(r"[|·›»©]|^\W*(?:menu|search|sign in|home|help|about|contact|back to top|skip to content|share|print|log ?in|imprint|impressum)\b(?:\W+\w+){0,3}\W*$", re.I)
-
-#: Words that stand for no text.
-DUMMY = frozenset(
-    "foo bar baz qux quux corge asdf qwer qwert qwerty yxcv zxcv hjkl jkl uiop abc abcabc xyz test text dummy blah bla xxx xx x lala tralala todo tbd "
-    "code0 quote0 addr0".split()
-)
-LATIN = frozenset(
-    "lorem ipsum dolor dolum sit amet consectetur consecta adipiscing elit sed do eiusmod tempor tempora incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint "
-    "occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum semper alter via orbis rete fluxit nihil porto portus lumen verum amor murus "
-    "velum aqua minor nodus nuntia clavis arcus sita ferro tacere mora unda navem ventis datum signa vel silva terra nova vita pax lux nox per cum ergo ante post".split()
-)
-
-#: Messages and notices have no longer sentences than this; longer ones can only be filler by their share of dummy words.
-MESSAGE_WORDS, MESSAGE_CHARS = 80, 1_000
-#: Verdicts of a template.
-NEUTRAL, JUNK, CONTENT = 0, 1, 2
+def leaf(tokens: list[str]) -> str:
+    """The leaf of the template tree that a segment belongs to: number of tokens, first words, last token. Masks are passed over, since logs begin with them."""
+    words = [t for t in tokens if VALUE not in t][:LEAD]
+    return f"{len(tokens)} {' '.join(words)} {tokens[-1]}"
 
 
-def _share(words: list[str], of: frozenset) -> float:
-    return sum(w in of for w in words) / len(words)
+class Leaf:
+    """Templates of one leaf. A segment joins the template with most equal tokens, if they are ``ALIKE`` of all,
+    and what differs becomes a wildcard; else it opens a template. Segments of up to three tokens stay as they are.
 
+    Candidates are looked up by the tokens they share apart from those that chose the leaf.
+    """
 
-def verdict(template: str) -> int:
-    """Judges a template: JUNK (filler, error, notice), NEUTRAL (title, furniture) or CONTENT."""
-    words = [w.lower() for w in _WORD.findall(template)]
-    values = template.count(VALUE)
-    if len(template) <= MESSAGE_CHARS and _LOGGED.search(template):
-        return CONTENT
-    if len(words) >= 2 and (_share(words, DUMMY) >= 0.75 or len(words) >= 3 and (_share(words, DUMMY) >= 0.6 or _share(words, LATIN) >= 0.5)):
-        return JUNK
-    if len(words) > MESSAGE_WORDS or len(template) > MESSAGE_CHARS:
-        return CONTENT if len(words) > 3 else NEUTRAL
-    if _ABOUT.search(template) and _ACT.search(template):
-        return JUNK
-    if _NOTICE.search(template) or _ERROR.search(template) or _FILLER.search(template):
-        return JUNK
-    if values >= 3 or values and len(words) + values >= 6:
-        return CONTENT
-    if len(words) <= 3 or (_FURNITURE.search(template) and len(words) <= 8):
-        return NEUTRAL
-    if len(words) <= 7 and template[-1] not in ".!?。।؟…\"'”)":
-        return NEUTRAL
-    return CONTENT
+    def __init__(self) -> None:
+        self.templates: list[list[str]] = []
+        self._at: dict[tuple[int, str], list[int]] = {}
+
+    def add(self, segment: str) -> int:
+        tokens = segment.split(" ")
+        n = len(tokens)
+        if n > 3:
+            shared: dict[int, int] = {}
+            for key in enumerate(tokens):
+                for k in self._at.get(key, ()):
+                    shared[k] = shared.get(k, 0) + 1
+            best, most = -1, 0
+            for k in sorted(shared):
+                if shared[k] > most:
+                    best, most = k, shared[k]
+            if most >= ALIKE * n:
+                template = self.templates[best]
+                for j, t in enumerate(tokens):
+                    if template[j] != t and template[j] != WILD:
+                        self._at[(j, template[j])].remove(best)
+                        template[j] = WILD
+                return best
+            for key in enumerate(tokens):
+                self._at.setdefault(key, []).append(len(self.templates))
+        self.templates.append(tokens)
+        return len(self.templates) - 1
