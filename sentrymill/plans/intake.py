@@ -140,7 +140,8 @@ SQL = {
     "p1_found": f"WITH {_P1} SELECT delivery_id FROM ranked WHERE rn > 1",
     "p1_ranges": rf"""WITH {_P1},
 parsed AS (SELECT regexp_extract(lower(trim(id)), '^(.*[^0-9a-z])(0|[1-9][0-9]{{0,17}})$', 1) AS producer,
-                  CAST(nullif(regexp_extract(lower(trim(id)), '^(.*[^0-9a-z])(0|[1-9][0-9]{{0,17}})$', 2), '') AS BIGINT) AS n FROM ranked WHERE rn = 1),
+                  CAST(nullif(regexp_extract(lower(trim(id)), '^(.*[^0-9a-z])(0|[1-9][0-9]{{0,17}})$', 2), '') AS BIGINT) AS n FROM ranked
+           WHERE rn = 1 AND NOT regexp_full_match(lower(trim(id)), '(?:.*[^0-9a-z])?[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')),
 isl AS (SELECT producer, n, n - row_number() OVER (PARTITION BY producer ORDER BY n) AS g FROM parsed WHERE n IS NOT NULL)
 SELECT producer, min(n) AS lo, max(n) AS hi FROM isl GROUP BY producer, g""",
     "p1_messages": f"""WITH {_P1} SELECT delivery_id, id, chat_id, sender, text, "timestamp", received_at, status FROM messages

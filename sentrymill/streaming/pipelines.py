@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sentrymill.operators import state
-from sentrymill.operators.redelivery import accept_once
+from sentrymill.operators.redelivery import KEY_SCHEMA, RANGE_SCHEMA, accept_once, merged_ranges
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -131,10 +131,11 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: str, limit: int, w
 
 
 class DeliveryLedger:
-    """Accepts each message once over micro-batches; seen ranges and malformed keys stand in a versioned folder.
+    """Accepts each message once over micro-batches; seen ranges and malformed keys stand in a folder that is only appended to.
 
-    A batch that is run again after a failure overwrites its own version and reads the one before, so the
-    result is the same.
+    A batch adds the ranges of the blocks it touched and its new keys, and reads those of the batches before it;
+    what is there is never written again. A batch that runs again after a failure overwrites its own part and reads
+    the same ones before, so the result is the same.
     """
 
     def __init__(self, folder: str, order: list[str], message_id: str = "id", delivery_id: str = "delivery_id"):
@@ -143,20 +144,25 @@ class DeliveryLedger:
     def _state(self, spark: SparkSession, batch: int) -> tuple[DataFrame | None, DataFrame | None]:
         if batch == 0:
             return None, None
-        return spark.read.parquet(f"{self.folder}/ranges/{batch - 1}"), spark.read.parquet(f"{self.folder}/keys/{batch - 1}")
+        read = lambda name, schema: spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/{b}" for b in range(batch)])
+        return read("ranges", RANGE_SCHEMA), read("keys", KEY_SCHEMA)
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
         ranges, keys = self._state(rows.sparkSession, batch)
         rows.persist()
         done = accept_once(rows, self.order, self.message_id, self.delivery_id, ranges, keys)
+        done.block_ranges.write.mode("overwrite").parquet(f"{self.folder}/ranges/{batch}")
+        done.new_keys.write.mode("overwrite").parquet(f"{self.folder}/keys/{batch}")
         done.kept.write.mode("overwrite").parquet(f"{self.folder}/accepted/{batch}")
-        done.ranges.write.mode("overwrite").parquet(f"{self.folder}/ranges/{batch}")
-        done.keys.write.mode("overwrite").parquet(f"{self.folder}/keys/{batch}")
         rows.unpersist()
 
     def accepted(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/accepted/*")
 
+    def ranges(self, spark: SparkSession) -> DataFrame:
+        """All ranges seen, disjoint and maximal."""
+        return merged_ranges(spark.read.schema(RANGE_SCHEMA).parquet(f"{self.folder}/ranges/*"))
+
 
 class LastRows:
     """A sink that keeps the newest n rows of everything seen, as a versioned table."""

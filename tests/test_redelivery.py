@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from sentrymill.operators.redelivery import accept_once, deduplicated, merged_ranges, repeats
+from sentrymill.operators.redelivery import SeenRanges, accept_once, deduplicated, merged_ranges, repeats
+from sentrymill.streaming.pipelines import DeliveryLedger
 
 SCHEMA = "delivery_id long, id string, timestamp timestamp_ntz, received_at timestamp_ntz, kept string"
 ORDER = ["timestamp", "received_at"]
@@ -95,3 +96,40 @@ def test_large_numbers_keep_their_precision(spark):
 def test_columns_with_clashing_names_are_ignored(spark):
     df = frame(spark, [(1, "a", T, T, None), (2, "a", T, T, None)]).withColumns({"key": F.lit("x"), "first": F.lit(1), "seq": F.lit(2), "producer": F.lit(3)})
     assert found(df) == {2}
+
+
+def test_seen_ranges_match_a_set():
+    rng = random.Random(3)
+    for span in (12, 200):
+        seen, covered = SeenRanges(), set()
+        for _ in range(300):
+            lo = rng.randrange(span)
+            hi = lo + rng.choice((0, 0, 0, rng.randrange(6)))
+            new = not set(range(lo, hi + 1)) <= covered
+            assert seen.add(lo, hi) == new
+            covered |= set(range(lo, hi + 1))
+            assert [n for a, b in zip(seen.lo, seen.hi) for n in range(a, b + 1)] == sorted(covered)
+            assert all(b + 1 < a for b, a in zip(seen.hi, seen.lo[1:]))
+
+
+def test_sequences_are_decided_by_ranges_and_uuids_by_lookup(spark):
+    df = frame(spark, [(1, "p-5", T, T, None), (2, "p-5", T, T, None), (3, "45eb5a58-0000-4000-8000-366718676127", T, T, None)])
+    done = accept_once(df, ORDER)
+    assert {(r.key, r.kept_id, r.seq) for r in done.kept.collect()} == {("p-5", 1, 5), ("45eb5a58-0000-4000-8000-366718676127", 3, None)}
+    assert [tuple(r) for r in done.ranges.collect()] == [("p-", 5, 5)] and [r.key for r in done.keys.collect()] == ["45eb5a58-0000-4000-8000-366718676127"]
+    assert "MapInArrow" in repeats(df, ORDER)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_batches_add_to_the_ledger_and_never_rewrite_it(spark, tmp_path):
+    rng = random.Random(11)
+    ledger, offered, written = DeliveryLedger(str(tmp_path), ORDER), [], {}
+    for b in range(25):
+        rows = [(b * 20 + i, rng.choice([f"p-{65_530 + rng.randrange(40)}", f"q-{rng.randrange(9)}", f"x{rng.randrange(30)}"]), T, T, None) for i in range(20)]
+        offered += rows
+        ledger(frame(spark, rows), b)
+        for f in tmp_path.rglob("*.parquet"):
+            assert written.setdefault(f, f.stat().st_mtime_ns) == f.stat().st_mtime_ns
+    kept = {r.kept_id for r in ledger.accepted(spark).collect()}
+    assert {r[0] for r in offered} - kept == brute(offered)  # all times are equal, so the first batch wins
+    numbers = sorted({int(r[1][2:]) for r in offered if r[1].startswith("p-")})
+    assert [n for r in ledger.ranges(spark).where("producer = 'p-'").orderBy("lo").collect() for n in range(r.lo, r.hi + 1)] == numbers
