@@ -7,9 +7,9 @@ tokens: values and slots become masks.
 token. Segments of a leaf that are alike are merged into one template, in which what differs is
 masked. Each mined template is classified once, by general features of its words (``residue_words``):
 junk, neutral (title, page furniture), content, or unsure. Verdicts are then propagated through the
-documents: a junk template most of whose documents have real content besides is quoted there, and
-becomes neutral; an unsure template nearly all of whose documents have junk and no content becomes
-junk, any other one content. A document is found if it has junk and no content.
+documents: a junk template most of whose documents with it have real content besides is quoted there,
+and convicts none; an unsure template acquits, as content does, unless nearly all of its documents have
+junk and no content. A document is found if a junk template convicts it and nothing acquits it.
 
 *Unresolved slots.* A second tree counts how many segments pass through a node, and how many have a
 slot as their next token. A slot counts where the corpus fills that place with values: at its node
@@ -23,12 +23,13 @@ One Python pass over the texts writes four narrow parts to the shared folder: sl
 per task before they are written), slots, segments (per task once, with their number of documents) and
 the distinct segments of each document. Mining exchanges the distinct segments by leaf and reads each
 leaf as a sorted stream, so repeats of a hot segment cost one row per task. All later steps are joins
-and sums on 8-byte hashes; in joins, hashes with more than a ``HOT``-th of all rows, at most ``HOT``
-ones, are broadcast and the rest is shuffled, so that no task holds a hot one. Only documents that have
-junk at all take part in the propagation. Nothing is collected.
+and sums on 8-byte hashes, in which those with more than a ``HOT``-th of all rows are salted. Only
+documents that have junk at all take part in the propagation, each as one row with its distinct
+templates. Nothing is collected.
 
 Defined results: null, empty and blank texts are never found; texts and segments of any length are
-read whole; repeated documents get the same verdict and count each; a null key is kept as a key; an
+read whole; repeated documents get the same verdict and count each; documents with a null or repeated key are
+judged each by itself, and the key found if one of them is; an
 empty table gives an empty result; further columns are ignored. On a corpus too small to fill a place
 with values a slot there isn't found unless three stand in one segment or one is alone in its segment
 and the text has no content.
@@ -45,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill.llm.residue_text import BARE, MANY, START, Leaf, leaf, marked, masked, place, segments
-from sentrymill.llm.residue_words import CONTENT, JUNK, NEUTRAL, UNSURE, verdict
+from sentrymill.llm.residue_words import CONTENT, JUNK, UNSURE, verdict
 from sentrymill.sources.tables import checkpointed, shared_dir, spread
 
 SLOT_SHARE = 0.4
 QUOTED_SHARE = 0.5
 JOINED_SHARE = 0.8
-HOT = 4_096
+HOT, SALTS = 4_096, 64
 _HELD = 200_000
 _HELD_CHARS = 16_000_000
 _KNOWN_CHARS = 400
@@ -75,12 +76,15 @@ def _scan(key_type: pa.DataType):
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         through: Counter = Counter()
         slotted: Counter = Counter()
         templates: Counter = Counter()
         known: dict[str, tuple] = {}
         start_of_text, many = _hash(START), _hash(MANY)
         chars = 0
+        document = TaskContext.get().partitionId() << 33  # a number of its own for each document, since keys can be null or repeated
 
         def held() -> list[tuple]:
             rows = [("tree", None, h, n, slotted.get(h, 0), None) for h, n in through.items()]
@@ -107,6 +111,7 @@ def _scan(key_type: pa.DataType):
                 b = whole.slice(start, 1_024)
                 rows: list[tuple] = []
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    document += 1
                     own: dict[int, str] = {}
                     lookups: set[int] = set()
                     worded: set[int] = set()
@@ -133,7 +138,7 @@ def _scan(key_type: pa.DataType):
                             lookups.add(many)
                     templates.update(own.items())
                     chars += sum(map(len, own.values()))
-                    rows += [("document", key, h, None, None, None) for h in own]
+                    rows += [("document", key, h, None, document, None) for h in own]
                     rows += [("slot", key, h, None, None, None) for h in lookups]
                 if len(through) + len(templates) > _HELD or chars > _HELD_CHARS:
                     rows += held()
@@ -179,16 +184,21 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield mined()
 
 
-def _met(rows: DataFrame, table: DataFrame, on: str, count: str) -> DataFrame:
-    """Inner join with a table that has each hash once and its number of rows; hot hashes are broadcast.
+def _salt(hot, spread_by: str):
+    return F.when(hot, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+
+
+def _salts(hot):
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
 
-    Of hashes with at least a ``HOT``-th of all rows there are at most ``HOT``, which bounds the broadcast.
-    """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) * HOT >= total
-    few = F.broadcast(table.where(hot))
-    rest = rows.join(few.select(on), on, "left_anti")
-    return rows.join(few, on).unionByName(rest.join(table.where(~hot), on))
+
+def _with_templates(edges: DataFrame, segments: DataFrame, total: int) -> DataFrame:
+    """Edges joined to segments (h, n, ...) on h. Segments with at least a ``HOT``-th of all edges, at most ``HOT``
+    ones, are known to each task, so that their edges are spread over ``SALTS`` tasks."""
+    hot = F.col("n") * HOT >= F.lit(total)
+    few = F.broadcast(segments.where(hot).select("h", F.lit(True).alias("hot")))
+    salted = edges.join(few, "h", "left").withColumn("salt", _salt(F.col("hot"), "document")).drop("hot")
+    return salted.join(segments.withColumn("salt", _salts(hot)), ["h", "salt"]).drop("salt")
 
 
 class Residue:
@@ -224,34 +234,30 @@ class Residue:
 
     def empty_of_content(self) -> DataFrame:
         """Keys of documents that have nothing but filler, errors and notices besides titles and furniture."""
-        templates = checkpointed(self.templates())
-        edges = self._part("document", "key", "h")
-        junk, content = (F.sum((F.col("verdict") == v).cast("int")) for v in (JUNK, CONTENT))
-        with_junk = _met(edges, templates.where(F.col("verdict") == JUNK).select("h", "n"), "h", "n").select(F.col("key").alias("k")).distinct()
-        near = edges.join(with_junk, F.col("key").eqNullSafe(F.col("k")), "left_semi")
-        judged = checkpointed(_met(near, templates, "h", "n").groupBy("key", "t").agg(F.max("verdict").alias("verdict"), F.max("docs").alias("docs")))
-        clean = self._with_clean(judged)
-        quoted = clean.groupBy("t").agg(F.count("*").alias("near"), F.avg("clean").alias("clean_share"))
-        settled = _met(judged, quoted, "t", "near").select(
-            "key", "t", "docs", F.when((F.col("verdict") == JUNK) & (F.col("clean_share") < QUOTED_SHARE), F.lit(NEUTRAL)).otherwise(F.col("verdict")).alias("verdict")
-        )
-        settled = checkpointed(settled)
-        sure = settled.where(F.col("verdict") != UNSURE).select("key", "verdict")
-        unsure = self._with_clean(settled).where(F.col("verdict") == UNSURE)
-        joined = unsure.groupBy("t").agg(F.count("*").alias("near"), (F.sum("clean") >= JOINED_SHARE * F.max("docs")).alias("joins"))
-        resolved = _met(settled.where(F.col("verdict") == UNSURE).select("key", "t"), joined, "t", "near").select(
-            "key", F.when(F.col("joins"), F.lit(JUNK)).otherwise(F.lit(CONTENT)).cast("bigint").alias("verdict")
+        segments = checkpointed(self.templates())
+        total = segments.agg(F.sum("n")).first()[0] or 0
+        edges = self._part("document", "key", F.col("other").alias("document"), "h")
+        junk = segments.where(F.col("verdict") == JUNK).select("h", "n")
+        with_junk = _with_templates(edges.drop("key"), junk, total).select("document").distinct()
+        near = _with_templates(edges.join(with_junk, "document", "left_semi"), segments, total)
+        has = lambda v: F.exists("templates", lambda t: t["verdict"] == v)
+        by_document = checkpointed(
+            near.groupBy("document").agg(F.first("key").alias("key"), F.collect_set(F.struct("t", "docs", "verdict")).alias("templates"))
+            .select("key", "document", "templates", (~has(CONTENT)).alias("clean"))
+        )
+        # What a template is, by the documents it stands in: quoted, or in unsure ones real content.
+        standing = by_document.select("clean", F.explode("templates").alias("t")).select("t.*", F.col("clean").cast("int").alias("clean")).where(F.col("verdict").isin(JUNK, UNSURE))
+        means = standing.groupBy("t").agg(F.max("docs").alias("docs"), F.avg("clean").alias("share"), F.sum("clean").alias("clean"), F.max("verdict").alias("verdict"))
+        means = means.select(
+            "t",
+            ((F.col("verdict") == JUNK) & (F.col("share") >= QUOTED_SHARE)).alias("convicts"),
+            ((F.col("verdict") == UNSURE) & (F.col("clean") < JOINED_SHARE * F.col("docs"))).alias("acquits"),
+            _salts(F.col("docs") * HOT >= F.lit(total)).alias("salt"),
         )
-        final = sure.unionByName(resolved).groupBy("key").agg(junk.alias("junk"), content.alias("content"))
-        return final.where("junk > 0 AND content = 0").select("key")
-
-    @staticmethod
-    def _with_clean(judged: DataFrame) -> DataFrame:
-        """Adds whether a row's document has junk and no content, as 0 or 1."""
-        has = [F.max((F.col("verdict") == v).cast("int")).alias(name) for v, name in ((JUNK, "junk"), (CONTENT, "content"))]
-        by_key = judged.groupBy(F.col("key").alias("k")).agg(*has)
-        clean = F.when((F.col("junk") == 1) & (F.col("content") == 0), 1).otherwise(0)
-        return judged.join(by_key, F.col("key").eqNullSafe(F.col("k"))).select("key", "t", "docs", "verdict", clean.alias("clean"))
+        open_ = by_document.where("clean").select("key", "document", F.explode("templates").alias("x")).select("key", "document", "x.*")
+        salted = open_.withColumn("salt", _salt(F.col("docs") * HOT >= F.lit(total), "document"))
+        final = salted.join(means, ["t", "salt"]).groupBy("document").agg(F.first("key").alias("key"), F.max("convicts").alias("convicted"), F.max("acquits").alias("acquitted"))
+        return final.where(F.col("convicted") & ~F.col("acquitted")).select("key")
 
     def found(self) -> DataFrame:
         """Keys of all residue documents, each once."""
