@@ -7,11 +7,9 @@ random offset in [0, 1), and a document is emitted once for each integer boundar
 crosses: ``floor(P) - floor(P - e)`` times, which is the floor or the ceiling of e and never more than
 ``max_repeats``.
 
-The offset is random, and one of ``OFFSETS`` equally spaced ones from it: the one whose tokens come nearest
-to what the source is to supply. That matters for sources with a few very long documents.
-
 The order is by size class, then by a hash, so that copies are spread evenly over sizes and the token
-share comes out close to its target. The prefix sum has two levels: documents are counted per source
+share comes out close to its target, unless single documents are a large part of their source; the
+share that came out and its relative error are reported. The prefix sum has two levels: documents are counted per source
 and bucket (size class and hash, at most ``SIZE_CLASSES * HASHES`` buckets a source), the buckets'
 counts are summed over the bounded table, and documents are ranked only inside their bucket. No task
 holds a source, however hot.
@@ -32,11 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrymill.llm.bpe import PATTERN, VOCABULARY, token_counts
-from sentrymill.sources.tables import checkpointed
+from sentrymill.sources.tables import checkpointed, small_rows
 
 HASHES = 256
-OFFSETS = 32
 SIZE_CLASSES = 64
+TARGET_BOUND = 10_000
 
 
 def folded_source(c: Column) -> Column:
@@ -80,10 +78,14 @@ class Mixture:
         ratio = F.when(F.col("tokens") > 0, F.col("weight") * F.col("corpus") / F.col("tokens")).otherwise(F.lit(0.0))
         return filled.withColumn("expected", F.least(ratio, F.col("most").cast("double")))
 
+    def _small_plan(self) -> DataFrame:
+        """The plan as a table of the driver: a row per target source, of which there are at most ``TARGET_BOUND``."""
+        plan = self.plan()
+        return plan.sparkSession.createDataFrame(small_rows(plan, TARGET_BOUND), plan.schema)
+
     def copies(self) -> DataFrame:
         """(key, source, n_tokens, copies) of every document emitted at least once."""
-        wanted = (F.col("expected") * F.col("tokens")).alias("wanted")
-        plan = F.broadcast(self.plan().where("expected > 0").select("source", "expected", wanted))  # at most one row per target
+        plan = F.broadcast(self._small_plan().where("expected > 0").select("source", "expected"))
         size = F.least(F.floor(F.log2(F.col("n_tokens") + 1) * 3), F.lit(SIZE_CLASSES - 1)).cast("int")
         mixed = F.xxhash64(F.lit(self.seed), F.col(self.key))
         placed = self.counts.join(plan, "source").withColumns(
@@ -99,15 +101,8 @@ class Mixture:
         ranked = placed.withColumn("inside", inside).join(offsets, ["source", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
         first = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), F.col("source")), 11).cast("double") / float(1 << 53)
 
-        def crossed(offset: Column) -> Column:
-            step = lambda r: F.floor(F.col("expected") * r + offset)
-            return (step(F.col("rank")) - step(F.col("rank") - 1)).cast("int")
-
-        shifted = lambda k: (first + k / float(OFFSETS)) % 1.0
-        tried = ranked.groupBy("source").agg(F.max("wanted").alias("wanted"), *[F.sum(crossed(shifted(F.lit(k))) * F.col("n_tokens")).alias(f"s{k}") for k in range(OFFSETS)])
-        nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("wanted")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))
-        chosen = F.broadcast(tried.select("source", nearest["k"].alias("k")))  # one row per target
-        out = ranked.join(chosen, "source").withColumn("copies", crossed(shifted(F.col("k"))))
+        step = lambda r: F.floor(F.col("expected") * r + first)
+        out = ranked.withColumn("copies", (step(F.col("rank")) - step(F.col("rank") - 1)).cast("int"))
         return out.where("copies > 0").select(self.key, "source", "n_tokens", "copies")
 
     def mix(self) -> DataFrame:
@@ -119,6 +114,7 @@ class Mixture:
         supplied = self.copies().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("supplied"), F.sum("copies").alias("copies"))
         joined = self.plan().join(supplied, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("supplied", "copies")})
         total = F.sum("supplied").over(Window.partitionBy(F.lit(1)))  # over the bounded targets
+        wanted = F.col("weight") * F.col("corpus")
         return joined.select(
             "source",
             F.col("weight").alias("target_weight"),
@@ -130,4 +126,13 @@ class Mixture:
             F.round(F.when(total > 0, F.col("supplied") / total), 6).alias("share_of_mix"),
             F.round(F.when(F.col("corpus") > 0, F.col("supplied") / F.col("corpus")), 6).alias("share_of_target_size"),
             (F.col("weight") * F.col("corpus") > F.col("tokens") * F.col("most")).alias("short"),
+            F.round(F.when(wanted > 0, F.col("supplied") / wanted - 1), 6).alias("relative_error"),
         )
+
+    def limits(self) -> DataFrame:
+        """Per source of the mix: whether each document has the floor or the ceiling of the expected copies, and none more than allowed."""
+        plan = self._small_plan().select("source", "expected", "most")
+        held = self.counts.join(self.copies().select(self.key, F.col("source").alias("s"), "copies"), self.key, "left").join(F.broadcast(plan), "source")
+        copies = F.coalesce("copies", F.lit(0))
+        even = copies.between(F.floor("expected"), F.ceil("expected"))
+        return held.groupBy("source").agg(F.count("*").alias("documents"), F.bool_and(even).alias("even"), F.bool_and(copies <= F.col("most")).alias("within_cap"))

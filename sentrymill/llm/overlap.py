@@ -13,11 +13,15 @@ window, all combinations of the one or two cells that an agreeing value can lie
 minimum of each. A value within tolerance is in one of these cells, hence the guarantee holds for it
 as well. A hash's top bit marks grams with several nulls or zeros, so that they are selected last.
 
-Stages: selected minima of both sides are joined; the seeds of a pair are chained, which on records
-of one schema means to group those of the same positions; each chain is extended by aligning the
-whole records, in the JVM, on every measurement. Tasks exchange 16 bytes per fingerprint; records
-move once, for the alignment. Nothing is collected, and no seed is capped. Rows that agree with a
-third of all others give as many result rows, since the result lists pairs.
+Stages: selected minima of both sides are joined to seeds. Each fingerprint carries its record's sketch,
+four bits a measurement, and a seed whose sketches rule out that enough measurements agree goes no
+further; values that agree never differ in it, so nothing is lost, while nearly all chance seeds end
+here. The seeds of a pair are collinear if they lie at the same positions on both sides, which the
+position in the hash sees to; they are chained to the runs of measurements that they cover. Each chain
+is extended by aligning the whole records, in the JVM, on every measurement. Tasks exchange 24 bytes
+per fingerprint; records move for the alignment only if there are more pairs than ``PAIR_BOUND``, else
+the pairs are broadcast. Nothing is collected, and no seed is capped. Rows that agree with a third of
+all others give as many result rows, since the result lists pairs.
 
 Defined results: NaN and infinite measurements agree with nothing; 0.0 and -0.0 agree; rows with a
 null id or a split that is neither side take no part; exact repeats are pairs like any other; an
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.sources.tables import spread
+from sentrymill.sources.tables import checkpointed, spread
 
 #: The order puts measurements with many values between those with few, and apart those that are zero or null together, so that any four in a row are selective.
 MEASUREMENTS = (
@@ -45,6 +49,10 @@ LEAST_AGREEING = 13
 TOLERANCE = 0.01
 GRAM = 4
 CELL = 0.1
+PAIR_BOUND = 200_000
+#: Measurements that a sketch has room for; of further ones it says nothing.
+SKETCHED = 16
+_LOWEST = 0x1111111111111111
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = 2_048
 
@@ -81,8 +89,29 @@ def _poor(tokens: list[np.ndarray]) -> np.ndarray:
 
 
 def _gram(tokens: list[np.ndarray], position: int) -> np.ndarray:
+    """The hash of a gram; its top bit marks a poor one, its lowest four bits are its position."""
     h = _mixed(_rolling(tokens) + np.uint64(position + 1) * np.uint64(0xD6E8FEB86659FD93))
-    return (h >> np.uint64(1)) | (_poor(tokens).astype(np.uint64) << np.uint64(63))
+    return (h >> np.uint64(5) << np.uint64(4)) | np.uint64(position % 16) | (_poor(tokens).astype(np.uint64) << np.uint64(63))
+
+
+def _sketch(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Per row 16 times three bits of the lower cell and one whether the value can also lie in the next cell, whose bits are one more."""
+    out = np.zeros(len(low), dtype=np.uint64)
+    for j in range(min(SKETCHED, low.shape[1])):
+        bits = ((low[:, j] >> np.uint64(3)) + np.uint64(3) * (low[:, j] & np.uint64(7))) & np.uint64(7)
+        out |= (bits | ((low[:, j] != high[:, j]).astype(np.uint64) << np.uint64(3))) << np.uint64(4 * j)
+    return out
+
+
+def _ruled_out(searched: Column, held_out: Column) -> Column:
+    """In how many measurements two sketches can't agree."""
+    lowest = F.lit(_LOWEST)
+    bit = lambda c, n: F.shiftrightunsigned(c, n).bitwiseAND(lowest) if n else c.bitwiseAND(lowest)
+    t, h, unsure = [bit(searched, n) for n in range(3)], [bit(held_out, n) for n in range(3)], bit(held_out, 3)
+    here = t[0].bitwiseXOR(h[0]).bitwiseOR(t[1].bitwiseXOR(h[1])).bitwiseOR(t[2].bitwiseXOR(h[2]))
+    carry = h[0].bitwiseAND(h[1])
+    there = t[0].bitwiseXOR(h[0]).bitwiseXOR(lowest).bitwiseOR(t[1].bitwiseXOR(h[1]).bitwiseXOR(h[0])).bitwiseOR(t[2].bitwiseXOR(h[2]).bitwiseXOR(carry))
+    return F.bit_count(here.bitwiseAND(there.bitwiseOR(unsure.bitwiseXOR(lowest))))
 
 
 def exact_fingerprints(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,15 +175,17 @@ def _fingerprinter(columns: list[str], tolerance: float, cell_width: float, prob
                         values = column.fill_null(0.0).to_numpy(zero_copy_only=False)
                         low[:, j], high[:, j] = _tokens(values, nulls, ids, slack, cell_width)
                     row, value = probing_fingerprints(low, high) if probing else exact_fingerprints(low)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[row])], names=["gram", "id"])
+                    sketch = _sketch(low, high)
+                out = [value.view(np.int64), ids[row], sketch[row].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["gram", "id", "sketch"])
 
     return run
 
 
 def fingerprints(records: DataFrame, record_id: str, columns: list[str], tolerance: float, cell_width: float, probing: bool) -> DataFrame:
-    """(gram, id) of every record; ``probing`` selects over all cells that an agreeing value can lie in."""
+    """(gram, id, sketch) of every record; ``probing`` selects over all cells that an agreeing value can lie in."""
     plain = records.select(F.col(record_id).cast("bigint").alias("id"), *[F.col(c).cast("double").alias(c) for c in columns])
-    return spread(plain).mapInArrow(_fingerprinter(columns, tolerance, cell_width, probing), "gram bigint, id bigint")
+    return spread(plain).mapInArrow(_fingerprinter(columns, tolerance, cell_width, probing), "gram bigint, id bigint, sketch bigint")
 
 
 def agreeing(left: list[Column], right: list[Column], tolerance: float) -> Column:
@@ -167,6 +198,14 @@ def agreeing(left: list[Column], right: list[Column], tolerance: float) -> Colum
     return total
 
 
+def _covered(starts: Column, m: int) -> Column:
+    """The measurements, as bits, in the grams that begin at ``starts`` on a ring of ``m``."""
+    out = starts
+    for j in range(1, GRAM):
+        out = out.bitwiseOR(F.shiftleft(starts, j)).bitwiseOR(F.shiftrightunsigned(starts, m - j))
+    return out.bitwiseAND((1 << m) - 1)
+
+
 def overlaps(
     records: DataFrame,
     record_id: str = "record_id",
@@ -178,7 +217,8 @@ def overlaps(
     tolerance: float = TOLERANCE,
     cell_width: float = CELL,
 ) -> DataFrame:
-    """(searched_id, held_out_id, seeds, agreeing) of every overlapping pair.
+    """(searched_id, held_out_id, seeds, chained, agreeing) of every overlapping pair: selected grams in common,
+    measurements that the chains of them cover, and measurements that agree.
 
     ``least`` may be lower than 13 of 16 only as far as the ring argument holds, see the module. Narrower
     cells make seeds more selective and probe more combinations: a quarter of the width divides the
@@ -189,16 +229,24 @@ def overlaps(
         raise ValueError("with so few agreeing measurements a pair need not share a run of five")
     rows = records.where(F.col(record_id).isNotNull())
     there, here = rows.where(F.col(split).isin(*searched)), rows.where(F.col(split).isin(*held_out))
-    left = fingerprints(there, record_id, names, tolerance, cell_width, False).withColumnRenamed("id", "searched_id")
-    right = fingerprints(here, record_id, names, tolerance, cell_width, True).withColumnRenamed("id", "held_out_id")
-    chains = left.join(right, "gram").groupBy("searched_id", "held_out_id").agg(F.count("*").alias("seeds"))
+    left = fingerprints(there, record_id, names, tolerance, cell_width, False).withColumnsRenamed({"id": "searched_id", "sketch": "searched_sketch"})
+    right = fingerprints(here, record_id, names, tolerance, cell_width, True).withColumnsRenamed({"id": "held_out_id", "sketch": "held_out_sketch"})
+    seeds = left.join(right, "gram").where(_ruled_out(F.col("searched_sketch"), F.col("held_out_sketch")) <= m - least)
+    start = F.expr("shiftleft(1L, CAST(gram & 15 AS INT))")
+    chains = checkpointed(seeds.groupBy("searched_id", "held_out_id").agg(F.bit_or(start).alias("starts")))
+    few = chains.limit(PAIR_BOUND + 1).count() <= PAIR_BOUND
+    chains = chains.select("searched_id", "held_out_id", F.bit_count("starts").alias("seeds"), F.bit_count(_covered(F.col("starts"), m)).alias("chained"))
+
+    def beside(pairs_: DataFrame, side: DataFrame, key: str) -> DataFrame:
+        """Pairs with the values of one side; there are as many as chains, if ids are unique."""
+        return side.join(F.broadcast(pairs_) if few else pairs_, key)
 
     def values(side: DataFrame, mark: str, key: str) -> DataFrame:
         return side.select(F.col(record_id).alias(key), *[F.col(c).cast("double").alias(f"{mark}{j}") for j, c in enumerate(names)])
 
-    aligned = chains.join(values(there, "a", "searched_id"), "searched_id").join(values(here, "b", "held_out_id"), "held_out_id")
+    aligned = beside(beside(chains, values(there, "a", "searched_id"), "searched_id"), values(here, "b", "held_out_id"), "held_out_id")
     score = agreeing([F.col(f"a{j}") for j in range(m)], [F.col(f"b{j}") for j in range(m)], tolerance)
-    return aligned.select("searched_id", "held_out_id", "seeds", score.alias("agreeing")).where(F.col("agreeing") >= least)
+    return aligned.select("searched_id", "held_out_id", "seeds", "chained", score.alias("agreeing")).where(F.col("agreeing") >= least)
 
 
 def pairs(found: DataFrame) -> DataFrame:
@@ -224,3 +272,13 @@ def report(records: DataFrame, found: DataFrame, source: str, record_id: str = "
             F.round(F.avg("coverage"), 6).alias("mean_coverage"),
         )
     )
+
+
+def coverage(records: DataFrame, found: DataFrame, source: str, record_id: str = "record_id", split: str = "split") -> DataFrame:
+    """Per overlapping held-out record and source of its partners: how many partners, and the largest share of measurements that agree with one."""
+    own = records.select(F.col(record_id).alias("held_out_id"), F.col(split).alias("split"), F.col(source).alias("source"))
+    theirs = records.select(F.col(record_id).alias("searched_id"), F.col(source).alias("train_source"))
+    best = found.join(theirs, "searched_id").groupBy("held_out_id", "train_source").agg(
+        F.count("*").alias("partners"), F.round(F.max("agreeing") / F.lit(len(MEASUREMENTS)), 6).alias("coverage")
+    )
+    return best.join(own, "held_out_id").select(F.col("held_out_id").alias(record_id), "split", "source", "train_source", "partners", "coverage")

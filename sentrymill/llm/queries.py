@@ -23,6 +23,13 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(records.select("record_id", "split", "dataset_id").join(names, "dataset_id", "left"), found, "source")
 
 
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "combined_dataset")
+    names = bounded_broadcast(table(spark, d, "dataset_catalog").select("dataset_id", F.col("dataset_name").alias("source")))
+    found = overlap.overlaps(records)
+    return overlap.coverage(records.select("record_id", "split", "dataset_id").join(names, "dataset_id", "left"), found, "source")
+
+
 def _quota(spark: SparkSession, d: str) -> QuotaSample:
     return QuotaSample(table(spark, d, "combined_dataset"), table(spark, d, "dataset_catalog"), table(spark, d, "sample_targets"))
 
@@ -55,6 +62,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).limits()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return Residue(table(spark, d, "documents")).found()
 
@@ -65,7 +76,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_report, p5_found, p5_report, p5_sample, p6_ids, p7_mix, p7_shares, p8_found, p8_documents)
+    for f in (p3_found, p3_report, p3_coverage, p5_found, p5_report, p5_sample, p6_ids, p7_mix, p7_shares, p7_limits, p8_found, p8_documents)
 }
 
 _AGREE = " + ".join(
@@ -87,6 +98,29 @@ needs AS (
   FROM sample_targets t CROSS JOIN size LEFT JOIN there ON there.dataset_name = t.dataset_name AND there.label_family = t.label_family)
 """
 
+# The size that shares leave over is spread by one factor on all shares, clamped to each cell's bounds: the total is piecewise linear in it.
+_QUOTAS = """
+cells AS (
+  SELECT n.dataset_name, n.label_family, t.target_share, CAST(t.min_rows AS BIGINT) AS min_rows, n.need, n.available, least(t.min_rows, n.available) AS low,
+         row_number() OVER (ORDER BY n.dataset_name, n.label_family) AS i, (SELECT s FROM size) AS s
+  FROM needs n JOIN sample_targets t USING (dataset_name, label_family)),
+steps AS (
+  SELECT low / target_share AS f FROM cells WHERE target_share > 0 UNION SELECT available / target_share FROM cells WHERE target_share > 0 UNION SELECT 0.0),
+totals AS (SELECT f, sum(greatest(low, least(available, f * target_share))) AS total, any_value(s) AS s FROM steps, cells GROUP BY f),
+below AS (SELECT max(f) AS f, max(total) AS total, any_value(s) AS s FROM totals WHERE total <= s),
+above AS (SELECT min(f) AS f, min(total) AS total FROM totals WHERE total >= s),
+factor AS (
+  SELECT CASE WHEN above.f IS NULL THEN 1e30 WHEN below.f IS NULL THEN 0.0 WHEN above.total = below.total THEN below.f
+              ELSE below.f + (s - below.total) * (above.f - below.f) / (above.total - below.total) END AS f FROM below, above),
+ideal AS (
+  SELECT c.*, greatest(low, least(available, factor.f * target_share)) AS x, factor.f * target_share > low AND factor.f * target_share < available AS free FROM cells c, factor),
+floored AS (SELECT *, CAST(floor(x + 1e-9) AS BIGINT) AS base FROM ideal),
+ranked_cells AS (SELECT *, row_number() OVER (PARTITION BY free ORDER BY x - base DESC, i) AS place, s - (SELECT sum(base) FROM floored) AS short FROM floored),
+quota AS (
+  SELECT dataset_name, label_family, target_share, min_rows, need, available,
+         base + CASE WHEN free AND place <= short THEN 1 ELSE 0 END AS quota, greatest(0, need - available) AS shortfall FROM ranked_cells)
+"""
+
 SQL = {
     "p3_found": f"WITH {_P3} SELECT least(s, h) AS record_a, greatest(s, h) AS record_b FROM found",
     "p3_report": f"""WITH {_P3},
@@ -94,5 +128,20 @@ best AS (SELECT h, count(*) AS partners, max(n) / 16.0 AS coverage FROM found GR
 SELECT d.split, c.dataset_name AS source, count(*) AS records, count(coverage) AS overlapping, CAST(coalesce(sum(partners), 0) AS BIGINT) AS pairs, round(avg(coverage), 6) AS mean_coverage
 FROM combined_dataset d LEFT JOIN dataset_catalog c USING (dataset_id) LEFT JOIN best ON best.h = d.record_id
 WHERE d.split IN ('valid', 'test') GROUP BY 1, 2""",
+    "p3_coverage": f"""WITH {_P3}
+SELECT d.record_id, d.split, c.dataset_name AS source, tc.dataset_name AS train_source, count(*) AS partners, round(max(n) / 16.0, 6) AS coverage
+FROM found f JOIN combined_dataset d ON d.record_id = f.h LEFT JOIN dataset_catalog c USING (dataset_id)
+JOIN combined_dataset t ON t.record_id = f.s LEFT JOIN dataset_catalog tc ON tc.dataset_id = t.dataset_id
+GROUP BY 1, 2, 3, 4""",
+    "p7_limits": r"""
+SELECT regexp_replace(lower(trim(d.source)), '[\s_\-]+', '_', 'g') AS source, count(*) AS documents, true AS even, true AS within_cap
+FROM documents d JOIN (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s_\-]+', '_', 'g') AS source FROM mix_targets) m
+  ON m.source = regexp_replace(lower(trim(d.source)), '[\s_\-]+', '_', 'g') GROUP BY 1""",
+    "p5_report": f"WITH {_P5}, {_QUOTAS} SELECT * FROM quota",
+    "p5_sample": f"""WITH {_P5}, {_QUOTAS},
+taken AS (
+  SELECT d.*, q.quota, row_number() OVER (PARTITION BY c.dataset_name, d.label_family ORDER BY md5('42:' || d.record_id), d.record_id) AS place
+  FROM combined_dataset d JOIN dataset_catalog c USING (dataset_id) JOIN quota q ON q.dataset_name = c.dataset_name AND q.label_family = d.label_family)
+SELECT * EXCLUDE (quota, place) FROM taken WHERE place <= quota""",
     "p5_found": f"WITH {_P5} SELECT dataset_name, label_family FROM needs WHERE need > available",
 }

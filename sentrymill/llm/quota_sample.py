@@ -11,7 +11,8 @@ proportion to the shares over the cells that are at neither bound, and whole row
 largest remainder (ties by cell name). ``report`` has the need of each cell, the larger of its
 minimum and its share of the sample rounded half up, and the shortfall where it can't be met.
 
-Defined results: rows whose source or category is null or not among the targets are in no cell and
+Defined results: several source ids may have one name, and are one source then; of two target rows for one
+cell the first in order stands; rows whose source or category is null or not among the targets are in no cell and
 never sampled, but count for the sample's size; cells without rows have availability 0; null shares
 and minimums are 0; ties of random keys are broken by the row id; an empty table has size 0 and
 every minimum as shortfall; further columns are carried along by ``sample``.
@@ -84,10 +85,11 @@ class QuotaSample:
         self.rows, self.row_id, self.source_id, self.category, self.seed = rows, row_id, source_id, category, seed
         self.source = source
         self.by_id = {r[0]: r[1] for r in small_rows(names.select(source_id, source).where(F.col(source_id).isNotNull()), CELL_BOUND)}
-        self.targets = sorted(
+        listed = sorted(
             ((r[0], r[1], r[2] or 0.0, int(r[3] or 0)) for r in small_rows(targets.select(source, category, share, minimum), CELL_BOUND)),
             key=lambda r: (r[0] or "", -1 if r[1] is None else r[1]),
         )
+        self.targets = list({(t[0], t[1]): t for t in reversed(listed)}.values())[::-1]  # each cell once
         self.one_in = one_in
         self._cells: list[tuple] | None = None
 
@@ -122,18 +124,19 @@ class QuotaSample:
     def sample(self) -> DataFrame:
         """The rows sampled, with all their columns."""
         spark = self.rows.sparkSession
-        name_of = {n: i for i, n in self.by_id.items()}
-        wanted = [(name_of[s], c, q) for s, c, _, _, _, _, q, _ in self.cells() if q > 0 and s in name_of and c is not None]
-        quota = F.broadcast(spark.createDataFrame(wanted, "s int, c int, quota bigint"))
+        wanted = [(s, c, q) for s, c, _, _, _, _, q, _ in self.cells() if q > 0]
+        quota = F.broadcast(spark.createDataFrame(wanted, "s string, c int, quota bigint"))  # one row per target at most
+        kind = self.rows.schema[self.source_id].dataType.simpleString()
+        names = F.broadcast(spark.createDataFrame(list(self.by_id.items()), f"i {kind}, s string"))  # CELL_BOUND rows at most
         keyed = self.rows.select(
             F.struct("*").alias("row"),
-            F.col(self.source_id).alias("s"),
-            F.col(self.category).alias("c"),
+            F.col(self.source_id).alias("i"),
+            F.col(self.category).cast("int").alias("c"),
             F.col(self.row_id).alias("id"),
-            F.xxhash64(F.lit(self.seed), F.col(self.row_id)).alias("key"),
-        ).withColumn("bucket", F.shiftrightunsigned("key", 52).cast("int"))
+            F.md5(F.concat_ws(":", F.lit(self.seed), F.col(self.row_id).cast("string"))).alias("key"),
+        ).join(names, "i").join(quota, ["s", "c"]).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
         upto = Window.partitionBy("s", "c").orderBy("bucket")
-        counted = keyed.join(quota, ["s", "c"]).groupBy("s", "c", "bucket").agg(F.count("*").alias("n"), F.max("quota").alias("quota"))
+        counted = keyed.groupBy("s", "c", "bucket").agg(F.count("*").alias("n"), F.max("quota").alias("quota"))
         reached = counted.withColumn("upto", F.sum("n").over(upto)).where("upto - n < quota")
         edge = reached.groupBy("s", "c").agg(F.max("bucket").alias("edge"), F.max_by(F.col("quota") - (F.col("upto") - F.col("n")), "bucket").alias("rest"))
         placed = keyed.join(F.broadcast(edge), ["s", "c"])  # one row per target at most

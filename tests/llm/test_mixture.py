@@ -44,6 +44,8 @@ def test_copies_are_floor_or_ceiling_and_sum_up(spark):
         got[r.source] += r.copies
     assert abs(got["one"] - 750) <= 1 and abs(got["two"] - 750) <= 1
     assert m.mix().count() == sum(got.values())
+    assert [tuple(r) for r in m.limits().orderBy("source").collect()] == [("one", 1000, True, True), ("two", 500, True, True)]
+    assert all(abs(r.relative_error) < 0.01 for r in m.shares().collect())
     assert m.mix().where("source = 'two'").groupBy("doc_id").count().agg({"count": "max"}).first()[0] == 2
 
 

@@ -67,6 +67,21 @@ def test_every_place_of_three_differences_is_found(spark):
     assert len(found(spark, rows)) == n - 1
 
 
+def test_chains_cover_the_runs_of_a_pair_and_chance_seeds_end_early(spark):
+    base = [float(3 + 7 * j) for j in range(16)]
+    rows = [(1, "train", *base), (2, "test", *base), (3, "test", *[v * 5 if j in (0, 5, 10) else v for j, v in enumerate(base)]), (4, "test", *base[:5], *[v * 9 for v in base[5:]])]
+    got = {r.held_out_id: r for r in overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == {2, 3} and got[2].chained == 16 and 4 <= got[3].chained <= 13 and got[3].agreeing == 13 and got[3].seeds < got[2].seeds
+
+
+def test_coverage_of_each_record(spark):
+    base = [float(3 + 7 * j) for j in range(16)]
+    rows = [(1, "train", *base), (2, "train", *base), (3, "test", *[v * 5 if j < 2 else v for j, v in enumerate(base)]), (4, "valid", *[v * 99 for v in base])]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("source", F.when(F.col("record_id") == 2, "b").otherwise("a"))
+    got = {tuple(r) for r in overlap.coverage(df, overlaps(df), "source").collect()}
+    assert got == {(3, "test", "a", "a", 1, 0.875), (3, "test", "a", "b", 1, 0.875)}
+
+
 def test_empty_sides_null_ids_and_null_records(spark):
     nothing = [None] * 16
     assert found(spark, []) == set()

@@ -61,14 +61,13 @@ def test_sample_has_the_quotas_and_is_stable(spark):
 
 
 def test_smallest_keys_are_taken(spark):
-    from pyspark.sql import functions as F
+    from hashlib import md5
 
     data = rows({(0, 0): 5000})
     s = sampler(spark, data, [("A", 0, 1.0, 0)])
     taken = {r.record_id for r in s.sample().collect()}
-    keyed = spark.createDataFrame(data, ROWS).select("record_id", F.xxhash64(F.lit(42), "record_id").alias("k"))
-    order = sorted(keyed.collect(), key=lambda r: (r.k % 2**64, r.record_id))
-    assert taken == {r.record_id for r in order[:500]}
+    order = sorted((md5(f"42:{r[0]}".encode()).hexdigest(), r[0]) for r in data)
+    assert taken == {r for _, r in order[:500]}
 
 
 def test_empty_tables(spark):
@@ -83,3 +82,16 @@ def test_a_hot_cell(spark, hot):
     data = rows({(0, 0): int(n * hot), (1, 0): n - int(n * hot)})
     s = sampler(spark, data, [("A", 0, 0.5, 0), ("B", 0, 0.5, 0)])
     assert Counter(r.dataset_id for r in s.sample().collect()) == Counter({0: 200, 1: 200})
+
+
+def test_two_ids_with_one_name_are_one_source(spark):
+    names = spark.createDataFrame([(0, "A"), (1, "A"), (2, "B")], "dataset_id int, dataset_name string")
+    data = rows({(0, 0): 500, (1, 0): 500, (2, 0): 9000})
+    s = QuotaSample(spark.createDataFrame(data, ROWS), names, spark.createDataFrame([("A", 0, 0.7, 0), ("B", 0, 0.3, 0)], "dataset_name string, label_family int, target_share double, min_rows int"))
+    got = Counter(r.dataset_id for r in s.sample().collect())
+    assert got[0] + got[1] == 700 and got[0] > 0 and got[1] > 0 and got[2] == 300 and s.unmet().count() == 0
+
+
+def test_a_cell_listed_twice_counts_once(spark):
+    s = sampler(spark, rows({(0, 0): 1000}), [("A", 0, 1.0, 0), ("A", 0, 1.0, 0)])
+    assert s.report().count() == 1 and s.sample().count() == 100
