@@ -121,8 +121,16 @@ def family_distribution(df: DataFrame, column: str = "label_family") -> DataFram
     return names.join(counted, "family", "left").select("family", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
+def kinds(df: DataFrame) -> DataFrame:
+    """One row per column: its type, whether it is a numeric or text feature, and its values that aren't null."""
+    numeric, text = columns_by_kind(df)
+    kind = lambda c: "numeric" if c in numeric else "text" if c in text else "other"
+    entry = lambda c, t: F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.lit(kind(c)).alias("kind"), F.count(c).alias("values"))
+    return df.agg(F.array(*[entry(c, t) for c, t in df.dtypes]).alias("cs")).select(F.inline("cs"))
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column: its type, nulls and distinct values, from one aggregation."""
+    """One row per column: its type, nulls and about how many distinct values, from one aggregation."""
     kinds = dict(df.dtypes)
     plain = [c for c in df.columns if not kinds[c].startswith(("map", "variant"))]
     entry = lambda c: F.struct(

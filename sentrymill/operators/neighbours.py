@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions.vectors import between
 from sentrymill.operators.ordering import global_index
+from sentrymill.sources.tables import small_rows
 
 
 def blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -68,7 +69,7 @@ def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: in
     The n-th synthetic row takes its base and neighbour in turn and its place between them from a hash,
     so that results are the same in every run. One minority row has no neighbour and raises.
     """
-    counts = sorted(((r["count"], r[label]) for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()), key=lambda x: (x[0], x[1]))
+    counts = sorted(((r["count"], r[label]) for r in small_rows(df.where(F.col(label).isNotNull()).groupBy(label).count())), key=lambda x: (x[0], x[1]))
     if len(counts) != 2:
         raise ValueError("two classes are needed")
     (few, minority), (many, _) = counts
@@ -80,8 +81,10 @@ def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: in
     numbered = global_index(rows.select(key, vector), [F.col(key)], "__i")
     times = F.floor(F.lit(missing) / few) + (F.col("__i") < missing % few).cast("int")
     wanted = numbered.where(times > 0).select(F.col(key).alias("base"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("n"))
-    pick = (F.pmod(F.xxhash64(F.lit(seed), "base", "n"), F.lit(min(k, few - 1))) + 1).alias("pick")
-    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "base", "n"), 11).cast("double") / float(1 << 53)
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col("base").cast("string"), F.col("n").cast("string")))
+    digits = lambda at, n: F.conv(F.substring(drawn, at, n), 16, 10).cast("bigint")
+    pick = (digits(1, 8) % min(k, few - 1) + 1).alias("pick")
+    share = digits(9, 12).cast("double") / float(1 << 48)
     chosen = wanted.select("base", "v", "n", pick, share.alias("share")).join(
         found.select(F.col("query").alias("base"), "neighbour", F.col("rank").alias("pick")), ["base", "pick"]
     )

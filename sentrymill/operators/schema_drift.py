@@ -6,6 +6,8 @@ those alternatives side by side instead of widening them away:
 
 * ``file_schemas``: per file and field the names, the alternatives and the type of the file;
 * ``changes``: what appears, disappears, is renamed or retyped from a file to the next one of its series;
+* ``alternative_changes``: every type that a field's values begin or cease to have from a file to the next one,
+  also where the type of the file as a whole stays the same;
 * ``fused``: per field all alternatives over all files, and the canonical type that holds them;
 * ``converting_types``: per known field the narrowest type that most of its values convert to;
 * ``unified``: one row per input row with one canonically typed column per known field, a typed
@@ -100,7 +102,9 @@ class DriftingFiles:
             F.col(payload).alias("payload"),
         )
         self.row_id, self.series, self.number, self.file = row_id, series, number, file
-        self.by_fold = bounded_broadcast(aliases_by_fold(aliases), ALIAS_BOUND)
+        by_fold = aliases_by_fold(aliases)
+        self._aliases = [(r.folded, r.alias_field) for r in small_rows(by_fold.orderBy("folded"), ALIAS_BOUND)]
+        self.by_fold = bounded_broadcast(by_fold, ALIAS_BOUND)
         self.known = [r[0] for r in small_rows(aliases.where("field IS NOT NULL").select("field").distinct().orderBy("field"), ALIAS_BOUND)]
 
     def _named(self, keyed: DataFrame) -> DataFrame:
@@ -127,8 +131,8 @@ class DriftingFiles:
         following = Window.partitionBy("series").orderBy("number")
         return files.withColumns({"next": F.lead("number").over(following), "first": F.row_number().over(following) == 1})
 
-    def changes(self) -> DataFrame:
-        """(file name, field, change): added, removed, renamed, retyped against the file before in the series."""
+    def _both(self) -> tuple[DataFrame, DataFrame]:
+        """Each field of a file beside that of the file before: names, types and alternatives now and then; and the files."""
         files = self.files().alias("f")
         fields = self.file_schemas().alias("s")
         placed = fields.join(files, F.col("s.series").eqNullSafe(F.col("f.series")) & F.col("s.number").eqNullSafe(F.col("f.number")))
@@ -141,11 +145,30 @@ class DriftingFiles:
                 lambda x: x["col3"],
             )
         ).alias("role")
-        sided = placed.select(F.col("s.series").alias("series"), "s.field", "s.names", "s.type", role)
+        sided = placed.select(F.col("s.series").alias("series"), "s.field", "s.names", "s.type", "s.alternatives", role)
         now, then = F.col("role.now"), ~F.col("role.now")
         both = sided.groupBy("series", F.col("role.at").alias("number"), "field").agg(
-            *[F.max(F.when(when, F.col(c))).alias(f"{c}_{side}") for side, when in (("now", now), ("then", then)) for c in ("names", "type")]
+            *[F.max(F.when(when, F.col(c))).alias(f"{c}_{side}") for side, when in (("now", now), ("then", then)) for c in ("names", "type", "alternatives")]
         )
+        return both, files
+
+    def alternative_changes(self) -> DataFrame:
+        """(file name, field, alternative, change): a type whose first values of the field are in this file (``appeared``) or whose last ones were in the file before (``vanished``)."""
+        both, files = self._both()
+        kept = both.where("names_now IS NOT NULL AND names_then IS NOT NULL")
+        tagged = lambda a, b, change: F.transform(F.array_except(a, b), lambda t: F.struct(t.alias("alternative"), F.lit(change).alias("change")))
+        moved = F.concat(tagged("alternatives_now", "alternatives_then", "appeared"), tagged("alternatives_then", "alternatives_now", "vanished"))
+        return self._of_file(kept.select("series", "number", "field", F.explode(moved).alias("x")), files).select(
+            F.col("f.file").alias(self.file), "b.field", "b.x.alternative", "b.x.change"
+        )
+
+    @staticmethod
+    def _of_file(both: DataFrame, files: DataFrame) -> DataFrame:
+        return both.alias("b").join(files, F.col("b.series").eqNullSafe(F.col("f.series")) & F.col("b.number").eqNullSafe(F.col("f.number")))
+
+    def changes(self) -> DataFrame:
+        """(file name, field, change): added, removed, renamed, retyped against the file before in the series."""
+        both, files = self._both()
         here, before = F.col("names_now").isNotNull(), F.col("names_then").isNotNull()
         change = F.filter(
             F.array(
@@ -156,11 +179,7 @@ class DriftingFiles:
             ),
             lambda x: x.isNotNull(),
         )
-        return (
-            both.alias("b")
-            .join(files, F.col("b.series").eqNullSafe(F.col("f.series")) & F.col("b.number").eqNullSafe(F.col("f.number")))
-            .select(F.col("f.file").alias(self.file), F.col("b.field").alias("field"), F.explode(change).alias("change"))
-        )
+        return self._of_file(both, files).select(F.col("f.file").alias(self.file), F.col("b.field").alias("field"), F.explode(change).alias("change"))
 
     def fused(self) -> DataFrame:
         """Per field over all files: number of files, names, alternatives and the canonical type that holds them."""
@@ -168,7 +187,7 @@ class DriftingFiles:
         return (
             keys.groupBy("field")
             .agg(
-                F.count_distinct("series", "number").alias("files"),
+                F.count_distinct(F.struct("series", "number")).alias("files"),
                 F.sort_array(F.collect_set("name")).alias("names"),
                 *[F.max(t).alias(t) for t in TYPES],
             )
@@ -205,33 +224,46 @@ class DriftingFiles:
 
         ``canonical`` maps fields to ``text``, ``decimal``, ``integer`` or ``boolean``. A value that the
         canonical type can't hold is null there and stands, as written, in ``branches`` under
-        ``field#type``. Fields without alias stand in ``other``. Rows are exploded and gathered under
-        their own unique id, so no group is larger than one payload.
+        ``field#type``. Fields without alias stand in ``other``. Of a key repeated in one payload the
+        greatest value stays. Each row is made from its own payload, so no row moves.
         """
         kinds = {"text": "string", "decimal": "double", "integer": "bigint", "boolean": "boolean"}
-        keyed = self._named(pairs(self.rows.select("row_id", "series", "number", "file", "payload")))
-        text, tag = _written(F.col("token"))
-        keyed = keyed.select("row_id", "field", text.alias("value"), tag.alias("tag"), F.col("field").isin(self.known).alias("known"))
-        columns = []
-        for name in self.known:
+        known, fold_of = set(self.known), F.create_map(*[F.lit(x) for r in self._aliases for x in r]) if self._aliases else None
+        kind_of = F.create_map(*[F.lit(x) for f in self.known for x in (f, canonical.get(f, "text"))]) if known else None
+        p = F.col("payload")
+        written = F.arrays_zip(F.regexp_extract_all(p, F.lit(PAIR), F.lit(1)).alias("n"), F.regexp_extract_all(p, F.lit(PAIR), F.lit(2)).alias("t"))
+        read = self.rows.withColumn("pairs", F.when(F.startswith(F.ltrim(p), F.lit("{")), written)).drop("payload")
+
+        def entry(e: Column) -> Column:
+            name = _unquoted(e["n"])
+            text, tag = _written(e["t"])
+            field = F.coalesce(F.element_at(fold_of, folded_name(name)), name) if self._aliases else name
+            return F.struct(field.alias("field"), text.alias("value"), tag.alias("tag"))
+
+        named = read.withColumn("pairs", F.transform("pairs", entry))
+        typed = named.withColumn("pairs", F.transform("pairs", lambda e: e.withField("kind", F.element_at(kind_of, e["field"]) if known else F.lit(None).cast("string"))))
+
+        def column(name: str) -> Column:
             kind = canonical.get(name, "text")
-            value = F.col("value") if kind == "text" else _converted(F.col("value"), F.col("tag"), kind).cast(kinds[kind])
-            columns.append(F.max(F.when(F.col("field") == name, value)).alias(name))
-        fits = F.lit(False)
-        for name in self.known:
-            kind = canonical.get(name, "text")
-            fits |= (F.col("field") == name) & (F.lit(True) if kind == "text" else _converted(F.col("value"), F.col("tag"), kind).isNotNull())
-        branch = F.when(F.col("known") & F.col("value").isNotNull() & ~fits, F.struct(F.concat_ws("#", "field", "tag").alias("key"), F.col("value")))
-        other = F.when(~F.col("known"), F.struct(F.col("field").alias("key"), F.col("value")))
-        unique = lambda c: F.map_from_entries(  # noqa: E731 - of a key repeated in one payload the greatest value stays
-            F.transform(
-                F.array_distinct(F.transform(F.collect_set(c), lambda e: e["key"])),
-                lambda k: F.struct(k, F.array_max(F.transform(F.filter(F.collect_set(c), lambda e: e["key"] == k), lambda e: e["value"]))),
-            )
-        )
-        gathered = keyed.groupBy("row_id").agg(*columns, unique(branch).alias("branches"), unique(other).alias("other"))
-        head = self.rows.select("row_id", F.col("series").alias(self.series), F.col("number").alias(self.number), F.col("file").alias("__file"))
-        return head.join(gathered, "row_id", "left").withColumnsRenamed({"row_id": self.row_id, "__file": self.file})
+            own = F.filter("pairs", lambda e: e["field"] == name)
+            value = lambda e: e["value"] if kind == "text" else _converted(e["value"], e["tag"], kind).cast(kinds[kind])
+            return F.array_max(F.transform(own, value)).alias(name)
+
+        def fits(e: Column) -> Column:
+            held = [F.when(e["kind"] == k, _converted(e["value"], e["tag"], k).isNotNull()) for k in ("boolean", "integer", "decimal")]
+            return F.coalesce(*held, F.lit(True))
+
+        def greatest(entries: Column) -> Column:
+            """Entries (key, value) as a map, of equal keys the last in order."""
+            ordered = F.array_sort(entries)
+            last = F.filter(ordered, lambda e, i: F.coalesce(F.get(ordered, i + 1)["key"] != e["key"], F.lit(True)))
+            return F.map_from_entries(last)
+
+        odd = F.filter("pairs", lambda e: e["kind"].isNotNull() & e["value"].isNotNull() & ~fits(e))
+        branches = F.transform(odd, lambda e: F.struct(F.concat_ws("#", e["field"], e["tag"]).alias("key"), e["value"].alias("value")))
+        rest = F.transform(F.filter("pairs", lambda e: e["kind"].isNull()), lambda e: F.struct(e["field"].alias("key"), e["value"].alias("value")))
+        head = [F.col("row_id").alias(self.row_id), F.col("series").alias(self.series), F.col("number").alias(self.number), F.col("file").alias(self.file)]
+        return typed.select(*head, *[column(f) for f in self.known], greatest(branches).alias("branches"), greatest(rest).alias("other"))
 
 
 def _written(token: Column) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions.stats import entropy_of, ladder, ratio
 from sentrymill.operators.fold import folded
+from sentrymill.sources.tables import bounded_broadcast
 
 # Limits of a healthy link.
 SNR_MIN, LATENCY_MAX, JITTER_MAX, LOSS_MAX = 10.0, 250.0, 30.0, 2.0
@@ -85,7 +86,7 @@ def signature_matches(events: DataFrame, key: str, signatures: DataFrame) -> Dat
     """(key, signature id) of every overlap: an equi-join on the exploded indicators instead of a cross join."""
     one = events.select(key, F.explode(F.array_distinct("triggered")).alias("indicator"))
     two = signatures.select("id", F.explode(F.array_distinct("indicators")).alias("indicator"))
-    return one.join(F.broadcast(two), "indicator").select(key, "id").distinct()  # eight signatures
+    return one.join(bounded_broadcast(two), "indicator").select(key, "id").distinct()
 
 
 def outliers(df: DataFrame, keys: list[str], value: str, limit: float = 2.5) -> DataFrame:

@@ -57,11 +57,18 @@ def p4_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    """The one table, with its typed branches and the fields without alias listed as text."""
     drift = _drift(spark, d)
-    return drift.unified({r.field: r.type for r in small_rows(drift.converting_types(), FIELD_BOUND)})
+    t = drift.unified({r.field: r.type for r in small_rows(drift.converting_types(), FIELD_BOUND)})
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), "|")
+    return t.withColumns({"branches": listed("branches"), "other": listed("other")})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_messages, p2_found, p2_loaded, p4_found, p4_fields, p4_table)}
+def p4_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).alternative_changes()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_messages, p2_found, p2_loaded, p4_found, p4_fields, p4_table, p4_alternatives)}
 
 _P1 = """
 ranked AS (
@@ -136,7 +143,42 @@ both_sides AS (
   WHERE f.prev IS NOT NULL)
 """
 
+# What most values of each field of flow_exports convert to, at every scale.
+_P4_TYPES = dict.fromkeys(
+    ("bwd_bytes", "bwd_packets", "captured_at", "dst_port", "duration", "fwd_bytes", "fwd_packets", "fwd_pkt_len_max", "init_fwd_win_bytes", "protocol", "src_port"), "integer"
+) | dict.fromkeys(("flow_iat_mean", "flow_iat_std", "rate"), "decimal") | {"encrypted": "boolean", "dataset_name": "text", "label_fine": "text", "service": "text"}
+_P4_COLUMNS = {"integer": "i", "decimal": "d", "boolean": "b", "text": "v"}
+_P4_TABLE = """
+tokens AS (
+  SELECT export_row_id, k AS name, json_type(payload, '$."' || k || '"') AS t, json_extract(payload, '$."' || k || '"')::VARCHAR AS raw, json_extract_string(payload, '$."' || k || '"') AS s
+  FROM (SELECT export_row_id, payload, unnest(json_keys(payload)) AS k FROM flow_exports)),
+al AS (SELECT regexp_replace(lower(alias), '[ _.-]', '', 'g') AS a, min(field) AS field FROM field_aliases GROUP BY 1),
+valued AS (
+  SELECT export_row_id, coalesce(al.field, name) AS field, al.field IS NOT NULL AS known,
+         CASE t WHEN 'VARCHAR' THEN 'text' WHEN 'DOUBLE' THEN 'decimal' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'integer' END AS tag,
+         CASE t WHEN 'VARCHAR' THEN s WHEN 'NULL' THEN NULL ELSE raw END AS v
+  FROM tokens LEFT JOIN al ON al.a = regexp_replace(lower(name), '[ _.-]', '', 'g')),
+conv AS (
+  SELECT *, CASE WHEN lower(trim(v)) IN ('true', '1', 'yes') THEN true WHEN lower(trim(v)) IN ('false', '0', 'no') THEN false END AS b,
+         try_cast(nullif(regexp_extract(lower(trim(v)), '^(-?[0-9]+)(?:[.]0+)?$', 1), '') AS BIGINT) AS i,
+         CASE WHEN regexp_full_match(lower(trim(v)), '-?[0-9]+([.][0-9]+)?(e[+-]?[0-9]+)?') THEN try_cast(lower(trim(v)) AS DOUBLE) END AS d FROM valued),
+odd AS (
+  SELECT export_row_id, field || '#' || tag AS k, max(v) AS v FROM conv
+  WHERE known AND v IS NOT NULL AND CASE %s ELSE false END GROUP BY 1, 2),
+rest AS (SELECT export_row_id, field AS k, max(v) AS v FROM conv WHERE NOT known GROUP BY 1, 2),
+branched AS (SELECT export_row_id, string_agg(k || '=' || v, '|' ORDER BY k) AS branches FROM odd GROUP BY 1),
+others AS (SELECT export_row_id, string_agg(k || '=' || coalesce(v, 'null'), '|' ORDER BY k) AS other FROM rest GROUP BY 1),
+columns_ AS (SELECT export_row_id, %s FROM conv GROUP BY 1)
+SELECT f.export_row_id, f.exporter_id, f.file_seq, f.file_name, c.* EXCLUDE (export_row_id),
+       CASE WHEN f.payload IS NOT NULL THEN coalesce(branches, '') END AS branches, CASE WHEN f.payload IS NOT NULL THEN coalesce(other, '') END AS other
+FROM flow_exports f LEFT JOIN columns_ c USING (export_row_id) LEFT JOIN branched USING (export_row_id) LEFT JOIN others USING (export_row_id)
+""" % (
+    " ".join(f"WHEN field = '{f}' THEN {_P4_COLUMNS[t]} IS NULL" for f, t in _P4_TYPES.items() if t != "text"),
+    ", ".join(f"max({_P4_COLUMNS[t]}) FILTER (field = '{f}') AS {f}" for f, t in _P4_TYPES.items()),
+)
+
 SQL = {
+    "p4_table": f"WITH {_P4_TABLE}",
     "p1_found": f"WITH {_P1} SELECT delivery_id FROM ranked WHERE rn > 1",
     "p1_ranges": rf"""WITH {_P1},
 parsed AS (SELECT regexp_extract(lower(trim(id)), '^(.*[^0-9a-z])(0|[1-9][0-9]{{0,17}})$', 1) AS producer,
@@ -153,6 +195,14 @@ SELECT file_name, field, 'added' AS change FROM both_sides WHERE pn IS NULL
 UNION ALL SELECT file_name, field, 'removed' FROM both_sides WHERE cn IS NULL
 UNION ALL SELECT file_name, field, 'renamed' FROM both_sides WHERE cn <> pn
 UNION ALL SELECT file_name, field, 'retyped' FROM both_sides WHERE ct <> pt""",
+    "p4_alternatives": f"""WITH {_P4},
+alternatives AS (
+  SELECT exporter_id, file_seq, field, list_filter(['boolean', 'integer', 'decimal', 'text'], lambda x, i: [is_boolean, is_integer, is_decimal, is_text][i]) AS a FROM typed),
+sides AS (
+  SELECT f.file_name, c.field, c.a AS now, p.a AS prior FROM files f JOIN alternatives c ON c.exporter_id = f.exporter_id AND c.file_seq = f.file_seq
+  JOIN alternatives p ON p.exporter_id = f.exporter_id AND p.file_seq = f.prev AND p.field = c.field)
+SELECT file_name, field, unnest(list_filter(now, lambda x: NOT list_contains(prior, x))) AS alternative, 'appeared' AS change FROM sides
+UNION ALL SELECT file_name, field, unnest(list_filter(prior, lambda x: NOT list_contains(now, x))), 'vanished' FROM sides""",
     "p4_fields": f"""WITH {_P4},
 n AS (SELECT field, unnest(names) AS name FROM typed),
 t AS (SELECT field, count(*) AS files, bool_or(is_text) AS x, bool_or(is_decimal) AS d, bool_or(is_integer) AS i, bool_or(is_boolean) AS b FROM typed GROUP BY 1)

@@ -71,8 +71,8 @@ def dataset_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dataset_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Type and about how many distinct values each column has."""
-    return etl.profile(_records(spark, d))
+    """Type, kind and values of each column."""
+    return etl.kinds(_records(spark, d))
 
 
 def label_integrity(spark: SparkSession, d: str) -> DataFrame:
@@ -324,6 +324,21 @@ SELECT record_id, label_fine, code FROM combined_dataset LEFT JOIN c ON v = labe
     "correlation_matrix": " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM combined_dataset" for i, a in enumerate(FEW) for b in FEW[i:]
     ),
+    "dataset_kinds": " UNION ALL ".join(
+        f"SELECT '{c}' AS column, '{t}' AS type, '{k}' AS kind, count({c}) AS values FROM combined_dataset"
+        for c, t, k in (
+            *[(c, "bigint", "numeric") for c in ("record_id", "duration", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "fwd_pkt_len_max", "bwd_pkt_len_max", "init_fwd_win_bytes")],
+            *[(c, "double", "numeric") for c in ("fwd_pkt_len_std", "bwd_pkt_len_std", "flow_iat_mean", "flow_iat_std", "flow_iat_max", "fwd_iat_mean", "bwd_iat_mean", "active_mean")],
+            *[(c, "int", "numeric") for c in ("src_port", "dst_port", "protocol")], ("split", "string", "text"), ("src_ip", "string", "text"),
+            ("captured_at", "timestamp_ntz", "other"), ("loaded_at", "timestamp_ntz", "other"), ("dataset_id", "int", "other"), ("dataset_name", "string", "other"),
+            ("label_binary", "int", "other"), ("label_family", "int", "other"), ("label_fine", "string", "other"),
+        )
+    ),
+    "correlation_filter": "WITH RECURSIVE c AS (" + " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, corr({FEW[i]}, {FEW[j]}) AS r FROM combined_dataset" for j in range(len(FEW)) for i in range(j)) + f"""),
+g AS (SELECT 0 AS i, [0] AS kept UNION ALL
+  SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.b = g.i + 1 AND list_contains(g.kept, c.a) AND abs(c.r) > 0.3) THEN kept ELSE list_append(kept, i + 1) END FROM g WHERE i + 1 < {len(FEW)}),
+k AS (SELECT kept FROM g WHERE i = {len(FEW) - 1})
+SELECT (unnest(range(len(kept))))::INT AS pos, list_extract({list(FEW)}, unnest(kept) + 1) AS column FROM k""",
     "kfold_assign": """SELECT record_id, least(4, i // (SELECT count(*) // 5 FROM combined_dataset))::INT AS fold FROM (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS i FROM combined_dataset)""",
     "train_test_split": """SELECT record_id, i >= n - floor(n * 0.2)::BIGINT AS is_test FROM (SELECT record_id, row_number() OVER (ORDER BY md5('42:' || record_id), record_id) - 1 AS i, count(*) OVER () AS n FROM combined_dataset)""",
     "undersample": f"WITH {_UNDER} SELECT record_id, label_family FROM h WHERE r <= (SELECT min(n) FROM h)",

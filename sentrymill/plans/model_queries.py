@@ -65,7 +65,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def smote(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d).withColumn("two", (F.col("label") == 0).cast("int"))
-    return neighbours.smote(e, "vec_id", "embedding", "two")
+    made = neighbours.smote(e, "vec_id", "embedding", "two")
+    return made.select("base", "neighbour", "n", F.posexplode("vector").alias("pos", "x")).select("base", "neighbour", "n", "pos", F.round("x", 4).alias("x"))
 
 
 def _flows(spark: SparkSession, d: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -154,6 +155,15 @@ SELECT feed_id, map_values(model_scores) AS s, list_max(map_values(model_scores)
     "pairwise_distance": f"WITH {_NEAR} SELECT query, neighbour, round(dist, 5) AS distance FROM q",
     "knn": f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, neighbour) AS rank FROM q WHERE query <> neighbour) SELECT query, neighbour, rank, round(dist, 5) AS distance FROM r WHERE rank <= 5",
     "cosine_topk": f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS rank FROM q WHERE query <> neighbour) SELECT query, neighbour, rank, round(sim, 5) AS similarity FROM r WHERE rank <= 10",
+    "smote": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label = 0)::INT AS two FROM embeddings WHERE label IS NOT NULL),
+c AS (SELECT two, count(*) AS n FROM e GROUP BY 1), few AS (SELECT two, n FROM c ORDER BY n, two LIMIT 1), many AS (SELECT max(n) AS n FROM c),
+m AS (SELECT e.vec_id, e.v, row_number() OVER (ORDER BY e.vec_id) - 1 AS i FROM e JOIN few USING (two)),
+near AS (SELECT * FROM (SELECT a.vec_id AS base, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM m a JOIN m b ON a.vec_id <> b.vec_id) WHERE r <= 5),
+w AS (SELECT vec_id AS base, v, unnest(range(1, ((many.n - few.n) // few.n + (i < (many.n - few.n) % few.n)::INT + 1)::BIGINT)) AS n, few.n AS fn FROM m, few, many),
+h AS (SELECT *, md5('42:' || base || ':' || n) AS d FROM w),
+p AS (SELECT base, v, n, ('0x' || substr(d, 1, 8))::BIGINT % least(5, fn - 1) + 1 AS pick, ('0x' || substr(d, 9, 12))::BIGINT / 281474976710656.0 AS share FROM h),
+j AS (SELECT p.base, near.neighbour, p.n, p.v, o.v AS w, p.share FROM p JOIN near ON near.base = p.base AND near.r = p.pick JOIN m o ON o.vec_id = near.neighbour)
+SELECT base, neighbour, n::INT AS n, pos::INT AS pos, round(v[pos + 1] + share * (w[pos + 1] - v[pos + 1]), 4) + 0.0 AS x FROM (SELECT *, unnest(range(len(v))) AS pos FROM j)""",
     "csv_round_trip": "SELECT * FROM customer",
     "mixed_directory": "SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region",
     "dataset_bundle": """SELECT count(*) AS n_samples, 24 AS n_features,

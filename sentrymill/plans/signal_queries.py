@@ -335,6 +335,22 @@ c AS (SELECT user_id, least(9, floor((x - lo) / rng * 10)) AS bin, count(*) AS c
 e AS (SELECT user_id, -sum(c / n * log2(c / n)) AS en FROM c GROUP BY 1)
 SELECT user_id, round(ac, 6) AS autocorrelation, round(en, 6) AS entropy, round(st, 4) AS mean_step FROM a JOIN e USING (user_id)""",
     "audit_chain_verify": "SELECT chat_id, count(*) AS entries, true AS linked, true AS intact FROM messages WHERE chat_id IS NOT NULL GROUP BY 1",
+    "audit_chain_build": """WITH RECURSIVE e AS (SELECT chat_id, delivery_id AS seq, epoch_us(received_at)::VARCHAR AS ts, status AS category, coalesce(text, '') AS message,
+  row_number() OVER (PARTITION BY chat_id ORDER BY delivery_id) AS rn FROM messages WHERE chat_id IS NOT NULL),
+r AS (SELECT chat_id, seq, ts, category, message, rn, repeat('0', 64) AS prev_hash, sha256(concat_ws('|', seq::VARCHAR, ts, category, message, repeat('0', 64))) AS hash FROM e WHERE rn = 1
+UNION ALL SELECT n.chat_id, n.seq, n.ts, n.category, n.message, n.rn, r.hash, sha256(concat_ws('|', n.seq::VARCHAR, n.ts, n.category, n.message, r.hash)) FROM r JOIN e n ON n.chat_id = r.chat_id AND n.rn = r.rn + 1)
+SELECT chat_id, seq, ts, category, message, hash, prev_hash FROM r""",
+    "batch_flush": """WITH RECURSIVE f AS (SELECT protocol AS lane, dst_port::VARCHAR AS hop, epoch_us(ts) AS us, row_number() OVER (PARTITION BY protocol ORDER BY epoch_us(ts) NULLS LAST, feed_id) AS rn
+  FROM feed WHERE dst_port IS NOT NULL AND protocol IS NOT NULL),
+r AS (SELECT lane, 0::BIGINT AS rn, 0 AS n, (SELECT min(us) FROM f f2 WHERE f2.lane = f1.lane) AS last, MAP {}::MAP(VARCHAR, INT) AS held, []::STRUCT(flush INT, hop VARCHAR, packets INT)[] AS out FROM (SELECT DISTINCT lane FROM f) f1
+UNION ALL SELECT lane, rn, n0 + full_::INT, CASE WHEN full_ OR timed THEN us ELSE last END, CASE WHEN full_ THEN MAP {}::MAP(VARCHAR, INT) ELSE held1 END,
+  list_concat(CASE WHEN timed THEN list_transform(map_entries(held), lambda x: {'flush': n, 'hop': x.key, 'packets': x.value}) ELSE [] END,
+              CASE WHEN full_ THEN list_transform(map_entries(held1), lambda x: {'flush': n0, 'hop': x.key, 'packets': x.value}) ELSE [] END)
+FROM (SELECT *, held1[hop] >= 5 AS full_ FROM (SELECT *, map_concat(h0, MAP([hop], [coalesce(h0[hop], 0) + 1])) AS held1 FROM (SELECT *, CASE WHEN timed THEN MAP {}::MAP(VARCHAR, INT) ELSE held END AS h0, n + timed::INT AS n0
+FROM (SELECT f.lane, f.rn, f.hop, f.us, r.n, r.last, r.held, cardinality(r.held) > 0 AND f.us - r.last >= 86400000000 AS timed FROM r JOIN f ON f.lane = r.lane AND f.rn = r.rn + 1))))),
+flushed AS (SELECT lane, unnest(out) AS x FROM r UNION ALL
+  SELECT lane, unnest(list_transform(map_entries(held), lambda x: {'flush': n, 'hop': x.key, 'packets': x.value})) FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lane ORDER BY rn DESC) = 1))
+SELECT lane AS protocol, x.flush AS flush, x.hop AS dst_port, x.packets AS packets, greatest(0, 5 - x.packets)::INT AS padding FROM flushed""",
     "rate_limiter": """WITH RECURSIVE rows_ AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, event_id, rn, us AS anchor, 1 AS c, true AS allowed FROM rows_ WHERE rn = 1
 UNION ALL SELECT n.user_id, n.event_id, n.rn, CASE WHEN n.us - r.anchor > 86400000000 THEN n.us ELSE r.anchor END,

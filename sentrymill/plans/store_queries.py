@@ -236,6 +236,8 @@ _RANGE = "SELECT key, i AS index, value FROM (SELECT user_id AS key, event_type
 _ZSET = "z AS (SELECT l_suppkey AS key, l_partkey AS member, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2)"
 
 SQL = {
+    "variant_getters": """SELECT export_row_id, CASE json_type(payload, '$.dst_port') WHEN 'DOUBLE' THEN CAST(trunc(json_extract(payload, '$.dst_port')::DOUBLE) AS BIGINT) WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim(json_extract_string(payload, '$.dst_port')), '[+-]?[0-9]+') THEN try_cast(trim(json_extract_string(payload, '$.dst_port')) AS BIGINT) END ELSE try_cast(json_extract_string(payload, '$.dst_port') AS BIGINT) END AS dst_port,
+CASE json_type(payload, '$.duration') WHEN 'DOUBLE' THEN CAST(trunc(json_extract(payload, '$.duration')::DOUBLE) AS BIGINT) WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim(json_extract_string(payload, '$.duration')), '[+-]?[0-9]+') THEN try_cast(trim(json_extract_string(payload, '$.duration')) AS BIGINT) END ELSE try_cast(json_extract_string(payload, '$.duration') AS BIGINT) END AS duration, json_extract_string(payload, '$.protocol') AS protocol FROM flow_exports""",
     "doc_query": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 5",
     "doc_operators": "SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 0 AND c_acctbal < 5000 AND regexp_matches(c_name, '7$') AND c_nationkey <> 3",
     "doc_update_upsert": "SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal END::DOUBLE AS c_acctbal FROM customer UNION ALL SELECT -1, 'NEW', NULL",

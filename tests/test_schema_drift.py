@@ -90,4 +90,24 @@ def test_types_are_what_most_values_convert_to(spark, tmp_path):
     out = p4_table(spark, str(tmp_path)).orderBy("export_row_id").collect()
     assert [r.fwd_bytes for r in out] == [1, 1, 1, 7, None, None] and [r.dst_port for r in out] == [53, 53, 53, 53, None, None]
     assert [r.on for r in out] == [True, True, True, True, False, None] and [r.mean for r in out] == [1.5, 1.5, 1.5, 2.5, 3.0, None]
-    assert out[3].who == "4" and [r.branches for r in out[3:]] == [{}, {"fwd_bytes#text": "n/a", "dst_port#text": "https"}, {"fwd_bytes#decimal": "8.5"}]
+    assert out[3].who == "4" and [r.branches for r in out[3:]] == ["", "dst_port#text=https|fwd_bytes#text=n/a", "fwd_bytes#decimal=8.5"]
+
+
+def test_files_of_a_null_series_count(spark):
+    rows = [("e", 0, "f0", '{"dport": 1}'), (None, 0, "g0", '{"dport": 1}'), (None, 1, "g1", '{"dport": 1}'), (None, None, None, '{"dport": 1}')]
+    (r,) = drift(spark, rows).fused().collect()
+    assert r.files == 4
+
+
+def test_alternatives_that_appear_or_vanish_are_reported_though_the_type_stays(spark):
+    rows = [("e", 0, "f0", '{"a": "x", "b": 1}'), ("e", 1, "f1", '{"a": "x", "b": 1.5}'), ("e", 1, "f1", '{"a": 4, "new": 1}'), ("e", 2, "f2", '{"a": "y"}')]
+    got = {tuple(r) for r in drift(spark, rows).alternative_changes().collect()}
+    assert got == {("f1", "a", "integer", "appeared"), ("f1", "b", "decimal", "appeared"), ("f1", "b", "integer", "vanished"), ("f2", "a", "integer", "vanished")}
+    assert ("f1", "a", "retyped") not in changes(spark, rows)
+
+
+def test_rows_of_the_table_stay_in_place(spark):
+    out = drift(spark, [("e", 0, "f0", '{"dport": 1, "DPORT": 7, "k": 1, "k": 2, "z": null}'), ("e", 0, "f0", "[]")]).unified({"dst_port": "integer"})
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    first, second = out.orderBy("export_row_id").collect()
+    assert first.dst_port == 7 and first.other == {"k": "2", "z": None} and second.dst_port is None and second.other is None
