@@ -1,19 +1,24 @@
-"""Models over the built-in distributed learners, with the documented settings of each estimator."""
+"""Searches over settings, a registry of models, and the built-in learners, whose splits are binned, as a quicker choice than exact ones."""
 
 from __future__ import annotations
 
+import json
+import random
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrymill.operators import trees
+from sentrymill.sources.tables import small_rows
+
 
 def assembled(df: DataFrame, columns: Sequence[str], label: str, key: str) -> DataFrame:
     """key, label, features: numeric columns as one vector, nulls as 0; rows without a label are left out."""
@@ -53,13 +58,45 @@ def importances(model, names: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values, strict=True)], "feature string, importance double")
 
 
-def grid_search(train: DataFrame, depths: Sequence[int] = (2, 5), k: int = 3):
-    """(best model, mean score of each setting) over a grid of tree depths; the first of equal scores wins."""
-    tree = DecisionTreeClassifier(seed=42)
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).build()
-    cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=k, seed=42, parallelism=2)
-    m = cv.fit(train)
-    return m.bestModel, list(zip(depths, m.avgMetrics, strict=True))
+def grid(**values: Sequence) -> list[dict]:
+    """Every combination of the values, the last name running fastest."""
+    return [dict(zip(values, own)) for own in product(*values.values())]
+
+
+def drawn(values: dict[str, Sequence], n: int, seed: int = 42) -> list[dict]:
+    """``n`` settings with each value drawn by itself."""
+    rng = random.Random(seed)
+    return [{name: rng.choice(list(own)) for name, own in values.items()} for _ in range(n)]
+
+
+def searched(rows: DataFrame, features: str, label: str, key: str, settings: Sequence[dict], k: int = 3, seed: int = 42) -> tuple[dict, list[tuple[dict, float]]]:
+    """(best settings, mean accuracy of each): exact trees over k folds of rows shuffled by a hash of their key; the first of equal settings wins."""
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k))
+    folded = rows.where(F.col(label).isNotNull()).select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"), fold.alias("fold")).persist()
+    try:
+        scores = []
+        for own in settings:
+            each = []
+            for i in range(k):
+                model = trees.fit_classifier(folded.where(F.col("fold") != i), "x", "y", **own)
+                each.append(folded.where(F.col("fold") == i).agg(F.avg((model.column(F.col("x")) == F.col("y")).cast("double"))).first()[0] or 0.0)
+            scores.append((own, sum(each) / k))
+        return max(scores, key=lambda s: s[1])[0], scores
+    finally:
+        folded.unpersist()
+
+
+def save_registry(spark: SparkSession, folder: str, models: dict[str, trees.Tree], scaler: dict[str, tuple[float, float]], metadata: dict) -> None:
+    """Named models, the scaler's mean and deviation of each feature and metadata, as one JSON row each."""
+    rows = [("model", n, m.to_json()) for n, m in models.items()] + [("scaler", n, json.dumps(v)) for n, v in scaler.items()] + [("metadata", n, json.dumps(v)) for n, v in metadata.items()]
+    numbered = [(i, *r) for i, r in enumerate(rows)]
+    spark.createDataFrame(numbered, "pos int, kind string, name string, body string").coalesce(1).write.mode("overwrite").json(folder)
+
+
+def load_registry(spark: SparkSession, folder: str, bound: int = 100_000) -> tuple[dict[str, trees.Tree], dict[str, tuple[float, float]], dict]:
+    rows = sorted(small_rows(spark.read.schema("pos int, kind string, name string, body string").json(folder), bound))
+    of = lambda kind, read: {name: read(body) for _, k, name, body in rows if k == kind}
+    return of("model", trees.Tree.from_json), of("scaler", lambda b: tuple(json.loads(b))), of("metadata", json.loads)
 
 
 def area(model, rows: DataFrame) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def event_positions(spark: SparkSession, d: str) -> DataFrame:
 def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "combined_dataset")
     train, test = (learn.assembled(c.where(x), MEASUREMENTS, "label_binary", "record_id") for x in ("split = 'train'", "split = 'valid'"))
-    model = learn.saved(learn.fitted("decision_tree", train), f"{shared_dir(spark)}/model")
+    model = learn.saved(learn.fitted("decision_tree", train), f"{shared_dir(spark)}/model-{uuid.uuid4().hex}")
     return learn.predictions(model, test, "record_id")
 
 

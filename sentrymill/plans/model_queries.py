@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.functions import vectors as v
-from sentrymill.operators import learn, neighbours
+from sentrymill.operators import learn, neighbours, network, prepare, trees
 from sentrymill.plans.views import MEASUREMENTS
 from sentrymill.sources import files
 from sentrymill.sources.tables import shared_dir, table
@@ -69,33 +69,100 @@ def smote(spark: SparkSession, d: str) -> DataFrame:
     return made.select("base", "neighbour", "n", F.posexplode("vector").alias("pos", "x")).select("base", "neighbour", "n", "pos", F.round("x", 4).alias("x"))
 
 
-def _flows(spark: SparkSession, d: str, label: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, d, "combined_dataset")
-    return tuple(learn.assembled(c.where(cond), MEASUREMENTS, label, "record_id") for cond in ("split = 'train'", "split = 'test'"))
+FIXTURE = [(i, [v, v], float(v > 4)) for i, v in enumerate((1.0, 1.5, 2.0, 2.5, 3.0, 5.0, 5.5, 6.0, 6.5, 7.0))]
+SURFACE = [(i, [a, b], y) for i, (a, b, y) in enumerate(((1.0, 1.0, 5.0), (2.0, 1.0, 7.0), (1.0, 2.0, 8.0), (3.0, 3.0, 15.0), (4.0, 2.0, 14.0), (2.0, 4.0, 16.0)))]
+BOUNDED = {"max_depth": 4}
 
 
-def _predicted(name: str, label: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        train, test = _flows(spark, d, label)
-        return learn.predictions(learn.fitted(name, train), test, "record_id")
+def _flows(spark: SparkSession, d: str, split: str) -> DataFrame:
+    c = table(spark, d, "combined_dataset").where(F.col("split") == split)
+    return c.select("record_id", "label_binary", "label_family", F.array(*[F.col(m).cast("double") for m in MEASUREMENTS]).alias("x"))
 
-    return run
+
+def _predicted(model, spark: SparkSession, d: str, label: str) -> DataFrame:
+    rows = _flows(spark, d, "test").where(F.col(label).isNotNull())
+    return rows.select("record_id", F.col(label).cast("double").alias("label"), model.column(F.col("x")).alias("prediction"))
+
+
+def decision_tree(spark: SparkSession, d: str) -> DataFrame:
+    return _predicted(trees.fit_classifier(_flows(spark, d, "train"), "x", "label_family", **BOUNDED), spark, d, "label_family")
+
+
+def decision_tree_regressor(spark: SparkSession, d: str) -> DataFrame:
+    return _predicted(trees.fit_regressor(_flows(spark, d, "train"), "x", "label_family", **BOUNDED), spark, d, "label_family")
+
+
+def random_forest(spark: SparkSession, d: str) -> DataFrame:
+    return _predicted(trees.fit_forest(_flows(spark, d, "train"), "x", "label_family", "record_id", trees=5, **BOUNDED), spark, d, "label_family")
+
+
+def gradient_boosting(spark: SparkSession, d: str) -> DataFrame:
+    return _predicted(trees.fit_boosted(_flows(spark, d, "train"), "x", "label_binary", rounds=4, max_depth=2), spark, d, "label_binary")
 
 
 def perceptron(spark: SparkSession, d: str) -> DataFrame:
-    e = learn.from_arrays(_embeddings(spark, d).withColumn("two", (F.col("label") == 0).cast("int")), "embedding", "two", "vec_id")
-    return learn.predictions(learn.fitted("perceptron", e), e, "vec_id")
+    e = _embeddings(spark, d).withColumn("two", (F.col("label") == 0).cast("int"))
+    model = network.fit_network(e, "embedding", "two", (16,), rate=0.01, epochs=60)
+    return network.probabilities(model, e, "vec_id", "embedding").select("vec_id", (F.col("probability") > 0.5).cast("double").alias("prediction"))
 
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    train, _ = _flows(spark, d, "label_family")
-    return learn.importances(learn.fitted("decision_tree", train), MEASUREMENTS, spark)
+    model = trees.fit_classifier(_flows(spark, d, "train"), "x", "label_family", **BOUNDED)
+    return spark.createDataFrame(list(zip(MEASUREMENTS, model.importances(len(MEASUREMENTS)))), "feature string, importance double")
+
+
+def best_split(spark: SparkSession, d: str) -> DataFrame:
+    """The best split of all training rows by the Gini impurity of label_binary: feature, threshold, rows to the left, score."""
+    model = trees.fit_classifier(_flows(spark, d, "train"), "x", "label_binary", max_depth=1)
+    root, left, right = model.nodes
+    score = (left.n * left.impurity + right.n * right.impurity) / root.n
+    return spark.createDataFrame([(MEASUREMENTS[root.feature], root.threshold, int(left.n), round(score, 9))], "feature string, threshold double, left_rows bigint, score double")
+
+
+def golden_models(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of every learner on small separable rows; the regression tree gives each of its rows back."""
+    two = spark.createDataFrame(FIXTURE, "i int, x array<double>, y double")
+    surface = spark.createDataFrame(SURFACE, "i int, x array<double>, y double")
+    x = F.col("x")
+    fitted = {
+        "tree": (two, trees.fit_classifier(two, "x", "y").column(x)),
+        "entropy": (two, trees.fit_classifier(two, "x", "y", "entropy").column(x)),
+        "forest": (two, trees.fit_forest(two, "x", "y", "i", trees=3, bootstrap=False).column(x)),
+        "boosted": (two, trees.fit_boosted(two, "x", "y", rounds=3).column(x)),
+        "regressor": (surface, trees.fit_regressor(surface, "x", "y").column(x)),
+    }
+    out = [df.select(F.lit(name).alias("model"), "i", F.round(c, 6).alias("prediction")) for name, (df, c) in fitted.items()]
+    net = network.probabilities(network.fit_network(two, "x", "y", (8,), rate=0.1, epochs=60), two, "i", "x")
+    out.append(net.select(F.lit("network").alias("model"), "i", (F.col("probability") > 0.5).cast("double").alias("prediction")))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    train, _ = _flows(spark, d, "label_binary")
-    _, scores = learn.grid_search(train)
-    return spark.createDataFrame([(depth, float(s)) for depth, s in scores], "max_depth int, f1 double")
+    _, scores = learn.searched(_flows(spark, d, "train"), "x", "label_binary", "record_id", learn.grid(max_depth=(1, 2), min_leaf=(1, 20)), k=2)
+    return spark.createDataFrame([(p["max_depth"], p["min_leaf"], float(s)) for p, s in scores], "max_depth int, min_leaf int, accuracy double")
+
+
+def random_search(spark: SparkSession, d: str) -> DataFrame:
+    settings = learn.drawn({"max_depth": (1, 2, 3), "min_leaf": (1, 5, 20)}, 2)
+    _, scores = learn.searched(_flows(spark, d, "train"), "x", "label_binary", "record_id", settings, k=2)
+    return spark.createDataFrame([(p["max_depth"], p["min_leaf"], float(s)) for p, s in scores], "max_depth int, min_leaf int, accuracy double")
+
+
+def model_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Six models with a scaler and metadata, saved, loaded again and voted with."""
+    train = _flows(spark, d, "train")
+    forest = trees.fit_forest(train, "x", "label_binary", "record_id", trees=6, max_depth=2)
+    names = ("lgbm_deep", "lgbm_wide", "lgbm_fast", "xgb_deep", "xgb_balanced", "cat_deep")
+    stats = prepare.column_stats(train.select(*[F.get("x", F.lit(i)).alias(m) for i, m in enumerate(MEASUREMENTS)]), MEASUREMENTS).collect()  # one row per feature
+    path = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    learn.save_registry(spark, path, dict(zip(names, forest.trees)), {r["column"]: (r["mean"], r["std"]) for r in stats}, {"features": list(MEASUREMENTS)})
+    models, scaler, metadata = learn.load_registry(spark, path)
+    votes = [m.column(F.col("x")) for m in models.values()]
+    rows = _flows(spark, d, "test")
+    return rows.select("record_id", F.lit(len(scaler)).alias("scaled"), F.lit(len(metadata["features"])).alias("features"), F.size(F.array(*votes)).alias("models"), F.round(sum(votes[1:], votes[0]) / len(votes), 4).alias("vote"))
 
 
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -124,12 +191,14 @@ def dataset_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     **{f.__name__: f for f in (vector_distances, normalize_rows, activations, softmax_scores, pairwise_distance, knn, cosine_topk, smote)},
-    "decision_tree": _predicted("decision_tree", "label_family"),
-    "decision_tree_regressor": _predicted("decision_tree_regressor", "label_family"),
-    "random_forest": _predicted("random_forest", "label_family"),
-    "gradient_boosting": _predicted("gradient_boosting", "label_binary"),
-    **{f.__name__: f for f in (perceptron, feature_importance, grid_search, csv_round_trip, mixed_directory, dataset_bundle)},
-}
+    **{
+        f.__name__: f
+        for f in (
+            decision_tree, decision_tree_regressor, random_forest, gradient_boosting, perceptron, feature_importance, best_split, golden_models, grid_search, random_search, model_registry,
+            csv_round_trip, mixed_directory, dataset_bundle,
+        )
+    },
+}
 
 _P = f"{PROBE}::DOUBLE[]"
 _E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -155,6 +224,21 @@ SELECT feed_id, map_values(model_scores) AS s, list_max(map_values(model_scores)
     "pairwise_distance": f"WITH {_NEAR} SELECT query, neighbour, round(dist, 5) AS distance FROM q",
     "knn": f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, neighbour) AS rank FROM q WHERE query <> neighbour) SELECT query, neighbour, rank, round(dist, 5) AS distance FROM r WHERE rank <= 5",
     "cosine_topk": f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS rank FROM q WHERE query <> neighbour) SELECT query, neighbour, rank, round(sim, 5) AS similarity FROM r WHERE rank <= 10",
+    "best_split": """WITH r AS (SELECT *, label_binary AS y FROM combined_dataset WHERE split = 'train' AND label_binary IS NOT NULL),
+long AS ("""
+    + " UNION ALL ".join(f"SELECT {i} AS f, '{m}' AS feature, coalesce({m}, 0)::DOUBLE AS v, y FROM r" for i, m in enumerate(MEASUREMENTS))
+    + """),
+c AS (SELECT f, feature, v, count(*) AS n, sum(y) AS p FROM long GROUP BY ALL),
+u AS (SELECT f, feature, v, sum(n) OVER w AS n, sum(p) OVER w AS p FROM c WINDOW w AS (PARTITION BY f ORDER BY v ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT count(*) AS tn, sum(y) AS tp FROM r),
+s AS (SELECT *, tn - n AS m, tp - p AS q FROM u, t WHERE n < tn),
+g AS (SELECT *, (n * (1 - (p / n) ** 2 - ((n - p) / n) ** 2) + m * (1 - (q / m) ** 2 - ((m - q) / m) ** 2)) / tn AS score FROM s)
+SELECT feature, v AS threshold, n::BIGINT AS left_rows, round(score, 9) AS score FROM g ORDER BY round(g.score, 12), f, v LIMIT 1""",
+    "golden_models": "SELECT model, i, prediction FROM (VALUES "
+    + ", ".join(
+        [f"('{m}', {i}, {y}::DOUBLE)" for m in ("tree", "entropy", "forest", "boosted", "network") for i, _, y in FIXTURE] + [f"('regressor', {i}, {y}::DOUBLE)" for i, _, y in SURFACE]
+    )
+    + ") AS g(model, i, prediction)",
     "smote": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label = 0)::INT AS two FROM embeddings WHERE label IS NOT NULL),
 c AS (SELECT two, count(*) AS n FROM e GROUP BY 1), few AS (SELECT two, n FROM c ORDER BY n, two LIMIT 1), many AS (SELECT max(n) AS n FROM c),
 m AS (SELECT e.vec_id, e.v, row_number() OVER (ORDER BY e.vec_id) - 1 AS i FROM e JOIN few USING (two)),
