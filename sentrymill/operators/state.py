@@ -5,10 +5,11 @@ The transition functions are plain Python on (state, row) and are shared with th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill.operators.fold import folded
+from sentrymill.sources.tables import small_rows
 
 # Tier scores, rolling window, hits that escalate, remembered hits, block time.
 TIER_SCORES = (0.92, 0.80, 0.65)
@@ -54,12 +55,44 @@ def tier_transition(state: dict | None, us: int, score: float, window_us: int =
     return s, out
 
 
-def response_tiers(scored: DataFrame, key: str, ts: str, score: str, order: str, window_us: int = WINDOW_US, block_us: int = BLOCK_US) -> DataFrame:
-    """Action log of every source: (key, us, action, tier, score, hits, blocked_tier); null and exempt sources take no part."""
+def control_transition(state: dict | None, us: int) -> tuple[dict | None, list[tuple]]:
+    """A source unblocked by hand: a block that has run out is lifted as such, one in force is removed; what is remembered of the source stays."""
+    if state is None or state["tier"] is None:
+        return state, []
+    over = state["until"] is not None and us >= state["until"]
+    action = (state["until"], "UNBLOCK", state["tier"], None, 0, None) if over else (us, "UNBLOCKED", state["tier"], 0.0, 0, None)
+    return state | {"tier": None, "until": None}, [action]
+
+
+def switched_on(at: Column, toggles: DataFrame | None, bound: int = 10_000) -> Column:
+    """Whether the engine is on at a time in microseconds: as the latest toggle (us, on) up to it says, on before the first. Toggles are few; more than ``bound`` raise."""
+    if toggles is None:
+        return F.lit(True)
+    rows = sorted(small_rows(toggles.select("us", "on"), bound))
+    if not rows:
+        return F.lit(True)
+    table = F.array(*[F.struct(F.lit(us).cast("bigint").alias("us"), F.lit(bool(on)).alias("on")) for us, on in rows])
+    upto = F.filter(table, lambda t: t["us"] <= at)
+    return F.coalesce(F.get(upto, F.size(upto) - 1)["on"], F.lit(True))
+
+
+def response_tiers(scored: DataFrame, key: str, ts: str, score: str, order: str, window_us: int = WINDOW_US, block_us: int = BLOCK_US, unblocks: DataFrame | None = None, toggles: DataFrame | None = None) -> DataFrame:
+    """Action log of every source: (key, us, action, tier, score, hits, blocked_tier); null and exempt sources take no part.
+
+    ``unblocks`` (k, us) removes blocks by hand, before scores of the same time; while the engine is off by ``toggles``
+    (us, on) scores are neither acted upon nor remembered.
+    """
     rows = scored.where(F.col(key).isNotNull() & ~F.col(key).isin(*NEVER_BLOCKED, "?", "") & F.col(score).isNotNull() & F.col(ts).isNotNull())
-    rows = rows.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(score).cast("double").alias("score"), F.col(order).alias("o"))
+    rows = rows.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(score).cast("double").alias("score"), F.col(order).cast("bigint").alias("o"))
+    if toggles is not None:
+        rows = rows.where(switched_on(F.col("us"), toggles))
+    if unblocks is not None:
+        rows = rows.unionByName(unblocks.where("k IS NOT NULL AND us IS NOT NULL").select("k", "us", F.lit(None).cast("double").alias("score"), F.lit(-1).cast("bigint").alias("o")))
 
     def step(state, row):
+        if row["score"] is None:
+            state, out = control_transition(state, row["us"])
+            return state, [(row["k"], *x) for x in out]
         state, out = tier_transition(state, row["us"], row["score"], window_us, block_us)
         return state, [(row["k"], *x) for x in out]
 
@@ -173,3 +206,9 @@ def padding_rates(scored: DataFrame, key: str, order: list[str], score: str, sta
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"k {kinds['k']}", *[f"o{i} {kinds[f'o{i}']}" for i in range(len(order))], "rate double"])
     return folded(rows, ["k"], [f"o{i}" for i in range(len(order))], step, schema).withColumnsRenamed({"k": key} | {f"o{i}": c for i, c in enumerate(order)})
+
+
+def key_care(stocks: DataFrame, key: str, signed_at: str, left: str, now: Column, threshold: int = 10, max_age_s: int = 7 * 24 * 3_600) -> DataFrame:
+    """(key, rotate, replenish): a signed key older than a week (strictly) or missing is due, a stock below the threshold or missing is to be filled."""
+    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(signed_at).cast("timestamp"))
+    return stocks.select(key, F.coalesce(age > max_age_s, F.lit(True)).alias("rotate"), F.coalesce(F.col(left) < threshold, F.lit(True)).alias("replenish"))

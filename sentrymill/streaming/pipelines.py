@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sentrymill.operators import state
+from sentrymill.operators.flows import FIN, RST, TCP, with_pair
 from sentrymill.operators.redelivery import KEY_SCHEMA, RANGE_SCHEMA, accept_once, merged_ranges
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -78,7 +79,7 @@ class TierProcessor(StatefulProcessor):
         out = []
         whole = pd.concat(list(rows)).sort_values(["us", "o"])
         for us, score in zip(whole["us"].tolist(), whole["score"].tolist()):
-            s, actions = state.tier_transition(s, us, score, self.window_us, self.block_us)
+            s, actions = state.control_transition(s, us) if score != score else state.tier_transition(s, us, score, self.window_us, self.block_us)  # no score: unblocked by hand
             out += [(key[0], *a) for a in actions]
         self.held.update((json.dumps(s),))
         columns = ["k", "us", "action", "tier", "score", "hits", "blocked_tier"]
@@ -118,8 +119,13 @@ def _keyed(df: DataFrame, key: str, ts: str, order: str, *more: Column) -> DataF
     )
 
 
-def response_tiers(scored: DataFrame, key: str, ts: str, score: str, order: str, window_us: int = state.WINDOW_US, block_us: int = state.BLOCK_US) -> DataFrame:
+def response_tiers(scored: DataFrame, key: str, ts: str, score: str, order: str, window_us: int = state.WINDOW_US, block_us: int = state.BLOCK_US, unblocks: DataFrame | None = None, toggles: DataFrame | None = None) -> DataFrame:
+    """As in batch; ``unblocks`` (k, us) is a stream like the scores, ``toggles`` a small table."""
     rows = _keyed(scored.where(~F.col(key).isin(*state.NEVER_BLOCKED, "?", "") & F.col(score).isNotNull()), key, ts, order, F.col(score).cast("double").alias("score"))
+    if toggles is not None:
+        rows = rows.where(state.switched_on(F.col("us"), toggles))
+    if unblocks is not None:
+        rows = rows.unionByName(unblocks.where("k IS NOT NULL AND us IS NOT NULL").select("k", "us", F.lit(-1).cast("bigint").alias("o"), F.lit(None).cast("double").alias("score")))
     out = rows.groupBy("k").transformWithStateInPandas(TierProcessor(window_us, block_us), f"k string, {state.TIER_SCHEMA}", "Append", "None")
     return out.withColumnRenamed("k", key)
 
@@ -130,6 +136,85 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: str, limit: int, w
     return out.withColumnsRenamed({"k": key, "o": order})
 
 
+FLOW_SCHEMA = "start_us bigint, last_us bigint, packets bigint, bytes bigint, fwd_packets bigint, close_reason string"
+
+
+class FlowProcessor(StatefulProcessor):
+    """The open flow of one pair of endpoints.
+
+    ``wall`` false: a packet more than the gap after the last one closes the flow before it, and a flow without
+    packets is closed when the watermark has passed its end by the gap. ``wall`` true: idle flows are looked for every
+    ``tick_s`` seconds by the clock and at no other time, so that a late packet may still extend one. Packets are
+    taken in order of time within a batch, or, with ``arrival``, as they came; the last one to arrive then sets the
+    time of the flow, and late ones are appended.
+    """
+
+    def __init__(self, gap_us: int, wall: bool, tick_s: int, arrival: bool):
+        self.gap_us, self.wall, self.tick_s, self.arrival = gap_us, wall, tick_s, arrival
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("flow", "state string")
+
+    def _out(self, key, closed: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame([(key[0], *c) for c in closed], columns=["pair", "start_us", "last_us", "packets", "bytes", "fwd_packets", "close_reason"])
+        return frame.astype({c: "Int64" for c in ("start_us", "last_us", "packets", "bytes", "fwd_packets")})
+
+    @staticmethod
+    def _closed(s: dict, reason: str) -> tuple:
+        return s["start"], s["last"], s["n"], s["bytes"], s["fwd"], reason
+
+    def _wait(self, timer_values, s: dict) -> None:
+        if self.wall:
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.tick_s * 1_000)
+        else:
+            self.handle.registerTimer((s["last"] + self.gap_us) // 1_000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        s = json.loads(self.held.get()[0]) if self.held.exists() else None
+        begun, closed = s is not None, []
+        whole = pd.concat(list(rows)).sort_values(["o"] if self.arrival else ["us", "o"])
+        for us, source, length, ends in zip(whole["us"].tolist(), whole["source"].tolist(), whole["length"].tolist(), whole["ends"].tolist()):
+            if s and not self.wall and us - s["last"] > self.gap_us:
+                closed.append(self._closed(s, "idle"))
+                s = None
+            s = s or {"start": us, "source": source, "n": 0, "bytes": 0, "fwd": 0}
+            s |= {"last": us, "n": s["n"] + 1, "bytes": s["bytes"] + int(length), "fwd": s["fwd"] + (source == s["source"])}
+            if ends:
+                closed.append(self._closed(s, "fin_rst"))
+                s = None
+        if s:
+            self.held.update((json.dumps(s),))
+            if not (self.wall and begun):
+                self._wait(timerValues, s)
+        elif begun:
+            self.held.clear()
+        yield self._out(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        s = json.loads(self.held.get()[0]) if self.held.exists() else None
+        if s:
+            now_us = (timerValues.getCurrentProcessingTimeInMs() if self.wall else timerValues.getCurrentWatermarkInMs()) * 1_000
+            if now_us - s["last"] > self.gap_us:
+                self.held.clear()
+                yield self._out(key, [self._closed(s, "idle")])
+            else:
+                self._wait(timerValues, s)
+
+    def close(self) -> None:
+        pass
+
+
+def flows(packets: DataFrame, gap_s: float, wall: bool = False, tick_s: int = 5, arrival: bool = False) -> DataFrame:
+    """(pair, times, packets, bytes, forward packets, close reason) of each flow when it closes; packets need an event time unless ``wall``."""
+    ends = (F.col("protocol") == TCP) & (F.col("flags").bitwiseAND(FIN | RST) != 0)
+    rows = with_pair(packets).select(
+        "ts", "pair", F.unix_micros("ts").alias("us"), F.col("seq").cast("bigint").alias("o"), F.concat_ws(":", "src_ip", "src_port").alias("source"), F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), F.coalesce(ends, F.lit(False)).alias("ends"),
+    )
+    processor = FlowProcessor(int(gap_s * 1_000_000), wall, tick_s, arrival)
+    return rows.groupBy("pair").transformWithStateInPandas(processor, f"pair string, {FLOW_SCHEMA}", "Append", "ProcessingTime" if wall else "EventTime")
+
+
 class DeliveryLedger:
     """Accepts each message once over micro-batches; seen ranges and malformed keys stand in a folder that is only appended to.
 
@@ -185,3 +270,12 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 def run_batches(stream: DataFrame, folder: str, each, mode: str = "append") -> None:
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_polled(stream: DataFrame, folder: str, each, seconds: float, polls_s: float, mode: str = "append") -> None:
+    """Asks the source again every ``seconds`` by the clock, for ``polls_s`` in all."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=f"{seconds} seconds").start()
+    try:
+        query.awaitTermination(polls_s)
+    finally:
+        query.stop()

@@ -81,3 +81,62 @@ def test_last_rows(spark, rows, tmp_path):
     n = []
     sp.run_batches(stream(spark, folder), str(tmp_path / "c"), lambda df, i: (keep(df, i), n.append(i)))
     same(spark.read.parquet(f"{tmp_path}/{max(n)}").select("o"), batch.orderBy(F.desc("ts"), F.desc("o")).limit(7))
+
+
+PACKETS = "seq long, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, length int, flags int, win int"
+
+
+@pytest.fixture(scope="module")
+def packets(spark, tmp_path_factory):
+    rng, data, t = random.Random(4), [], 0
+    for i in range(160):
+        t += rng.choice([1, 2, 9])
+        a, b = rng.choice([("10.0.0.1", "9.9.9.9"), ("9.9.9.9", "10.0.0.1"), ("10.0.0.2", "9.9.9.9")])
+        data.append((i, T + timedelta(seconds=t), a, b, 5 if a[0] == "1" else 443, 443 if a[0] == "1" else 5, 6, rng.randrange(90), rng.choice([16, 16, 16, 16, 17, 4]), 0))
+    data.append((999, T + timedelta(days=2), "10.0.0.9", "9.9.9.9", 5, 443, 17, 1, 0, 0))
+    folder = str(tmp_path_factory.mktemp("packets"))
+    for n in range(3):
+        spark.createDataFrame(data[n * 54 : n * 54 + 54], PACKETS).coalesce(1).write.mode("append").parquet(folder)
+    return spark.createDataFrame(data, PACKETS), folder
+
+
+def test_flows_close_as_in_batch(spark, packets, rocksdb, tmp_path):
+    from sentrymill.operators import flows as fl
+
+    batch, folder = packets
+    live = sp.with_event_time(sp.from_files(spark, folder, PACKETS), "ts", "1 second")
+    out = sp.run_once(sp.flows(live, 8), str(tmp_path))
+    whole = fl.flow_table(batch, 8).where("src_ip <> '10.0.0.9'")
+    same(out.select("pair", "start_us", "last_us", "packets", "fwd_packets", "close_reason"), whole.select("pair", "start_us", "last_us", F.col("n_all").alias("packets"), F.col("n_fwd").alias("fwd_packets"), "close_reason"))
+
+
+def test_flows_in_arrival_order_take_late_packets(spark, rocksdb, tmp_path):
+    rows = [(1, T + timedelta(seconds=5), "a", "b", 1, 2, 6, 7, 16, 0), (2, T, "b", "a", 2, 1, 6, 5, 16, 0), (3, T + timedelta(seconds=6), "a", "b", 1, 2, 6, 1, 17, 0)]
+    spark.createDataFrame(rows, PACKETS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = sp.with_event_time(sp.from_files(spark, f"{tmp_path}/in", PACKETS), "ts", "1 second")
+    (r,) = sp.run_once(sp.flows(live, 30, arrival=True), f"{tmp_path}/run").collect()
+    us = int(T.timestamp() * 1e6)
+    assert (r.packets, r.bytes, r.fwd_packets, r.close_reason, r.start_us - us, r.last_us - us) == (3, 13, 2, "fin_rst", 5_000_000, 6_000_000)
+
+
+def test_unblocked_by_hand_and_switched_off(spark, rows, rocksdb, tmp_path):
+    batch, folder = rows
+    us = int(T.timestamp() * 1e6)
+    unblocks = [("a", us + 400_000_000), ("b", us + 900_000_000), ("c", us + 10), (None, us)]
+    toggles = spark.createDataFrame([(us + 600_000_000, False), (us + 1_200_000_000, True)], "us long, on boolean")
+    by_hand = spark.createDataFrame(unblocks, "k string, us long")
+    log = state.response_tiers(batch, "k", "ts", "score", "o", unblocks=by_hand, toggles=toggles)
+    actions = {r.action for r in log.collect()}
+    assert "UNBLOCKED" in actions and log.where(f"us > {us + 600_000_000} AND us < {us + 1_200_000_000} AND score > 0").count() == 0
+    by_hand.coalesce(1).write.parquet(f"{tmp_path}/by_hand")
+    live = sp.from_files(spark, f"{tmp_path}/by_hand", "k string, us long")
+    whole = spark.createDataFrame(batch.collect(), SCHEMA).coalesce(1)
+    whole.write.parquet(f"{tmp_path}/scores")  # one batch, so that both streams are read in order of time
+    out = sp.run_once(sp.response_tiers(sp.from_files(spark, f"{tmp_path}/scores", SCHEMA), "k", "ts", "score", "o", unblocks=live, toggles=toggles), f"{tmp_path}/run")
+    same(out, log)
+
+
+def test_polled_by_the_clock(spark, rows, tmp_path):
+    seen = []
+    sp.run_polled(stream(spark, rows[1]), str(tmp_path), lambda df, i: seen.append(df.count()), 0.2, 6)
+    assert sum(seen) == 240
