@@ -123,6 +123,57 @@ class Database:
     def drop_index(self, name: str, index: str) -> None:
         del self.indexes[name][index]
 
+    def listed(self, spark) -> DataFrame:
+        """collection, index, fields: one row per index, and one without an index for a collection that has none."""
+        rows = [
+            (name, index, ",".join(f"{f}:{way}" for f, way in fields) if fields else None)
+            for name in self.names()
+            for index, fields in sorted(self.indexes[name].items()) or [(None, None)]
+        ]
+        return spark.createDataFrame(rows, "collection string, index string, fields string")
+
+    def info(self, spark, version: str = "1") -> DataFrame:
+        """Number of collections, indexes and documents."""
+        counts = [df.agg(F.count("*").alias("n")) for df in self.collections.values()]
+        total = reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("documents")) if counts else spark.range(1).select(F.lit(0).cast("bigint").alias("documents"))
+        return total.select(F.lit(len(self.collections)).alias("collections"), F.lit(sum(map(len, self.indexes.values()))).alias("indexes"), "documents", F.lit(version).alias("version"))
+
+
+class Users:
+    """Accounts as a table (name, role): names are unique, roles are from a fixed list."""
+
+    ROLES = ("admin", "read-write", "read-only")
+
+    def __init__(self, users: DataFrame):
+        self.users = users.select("name", "role")
+
+    def listed(self) -> DataFrame:
+        return self.users
+
+    def created(self, fresh: DataFrame) -> Users:
+        """With new accounts; of a name that is there, and of a role that isn't known, the row is left out."""
+        known = fresh.where(F.col("name").isNotNull() & F.col("role").isin(*self.ROLES)).groupBy("name").agg(F.min("role").alias("role"))
+        return Users(self.users.unionByName(known.join(self.users.select("name"), "name", "left_anti")))
+
+    def deleted(self, names: DataFrame) -> Users:
+        return Users(self.users.join(names.select("name"), "name", "left_anti"))
+
+    def with_roles(self, roles: DataFrame) -> Users:
+        """With the roles given (name, role) where they are known."""
+        fresh = roles.where(F.col("role").isin(*self.ROLES)).groupBy("name").agg(F.min("role").alias("fresh"))
+        return Users(self.users.join(fresh, "name", "left").select("name", F.coalesce("fresh", "role").alias("role")))
+
+
+def with_fallback(spark, read, fallback: DataFrame) -> DataFrame:
+    """What ``read(spark)`` gives, or the table held in memory where its store can't be reached."""
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    try:
+        return read(spark)
+    except (PySparkException, Py4JError, OSError):
+        return fallback
+
 
 def current(writes: DataFrame) -> DataFrame:
     """The live pairs of a write log (key, value, version): the highest version of each key, tombstones left out."""
@@ -223,6 +274,16 @@ def rank_range(zsets: DataFrame, start: int, stop: int) -> DataFrame:
     return placed.where(F.col("rank").between(F.greatest(at(start), F.lit(0)), at(stop))).select("key", "rank", "member", "score")
 
 
+def removed(zsets: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the members listed (key, member)."""
+    return zsets.join(gone.select("key", "member"), ["key", "member"], "left_anti")
+
+
+def scores(zsets: DataFrame, asked: DataFrame) -> DataFrame:
+    """Score of each member asked for (key, member), null for one that isn't there."""
+    return asked.select("key", "member").join(zsets.select("key", "member", "score"), ["key", "member"], "left")
+
+
 def score_range(zsets: DataFrame, low: float, high: float) -> DataFrame:
     return zsets.where(F.col("score").between(low, high))
 

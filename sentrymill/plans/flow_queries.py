@@ -117,6 +117,11 @@ gaps AS (
 """
 
 
+def ended_segments() -> str:
+    """The packets and their segments by gap, FIN and RST, as ``segd``."""
+    return _seg(_BY_END)
+
+
 def _sessions_sql(opened: str, reason: str) -> str:
     return f"""WITH {_seg(opened)}
 SELECT pair, segment, arg_min(src_ip, (us, seq)) AS src_ip, arg_min(src_port, (us, seq)) AS src_port, min(us) AS start_us, max(us) AS last_us, count(*) AS packets,

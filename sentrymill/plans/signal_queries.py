@@ -164,6 +164,14 @@ def response_tiers(spark: SparkSession, d: str) -> DataFrame:
     return state.response_tiers(table(spark, d, "feed"), "src_ip", "ts", "malicious_probability", "feed_id", 6 * 3_600_000_000, 86_400_000_000)
 
 
+def response_controls(spark: SparkSession, d: str) -> DataFrame:
+    """Response tiers with some sources unblocked by hand, and the engine switched off at times."""
+    b = table(spark, d, "blocks").where("ts IS NOT NULL").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    unblocks = b.where("block_id % 3 = 0").select(F.col("ip").alias("k"), (F.col("us") + 3 * 3_600_000_000).alias("us"))
+    toggles = b.where("block_id % 10 = 0").groupBy("us").agg(F.bool_or(F.col("block_id") % 20 == 0).alias("on"))
+    return state.response_tiers(table(spark, d, "feed"), "src_ip", "ts", "malicious_probability", "feed_id", 6 * 3_600_000_000, 86_400_000_000, unblocks, toggles)
+
+
 def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
     return state.rate_limited(table(spark, d, "events"), "user_id", "ts", "event_id", 5, 24 * 3_600_000_000)
 
@@ -211,7 +219,7 @@ QUERIES = {
     for f in (
         message_threat_scan, feed_votes, weighted_vote, traffic_scores, multi_signal_score, signal_health, signal_summary, ew_threat_score, signature_match,
         pattern_verdict, zscore_outliers, iat_beaconing, iat_anomaly_share, rapid_actions, threat_trend, last_n_history, rolling_detections_60s, feed_counters,
-        keystroke_stats, histogram_bins, autocorrelation, audit_chain_build, audit_chain_verify, response_tiers, rate_limiter, batch_flush, cas_replay,
+        keystroke_stats, histogram_bins, autocorrelation, audit_chain_build, audit_chain_verify, response_tiers, response_controls, rate_limiter, batch_flush, cas_replay,
         prekey_stock, block_expiry, policy_bands, padding_rates, flat_tree_predict,
     )
 }
@@ -377,6 +385,29 @@ a AS (
   UNION ALL SELECT src_ip, us, 'T1_ESCALATED', 1, score, hits, 1 FROM r WHERE NOT skip AND score >= 0.80 AND score < 0.92 AND hits >= 3
   UNION ALL SELECT src_ip, us, 'T3_TRACK', 3, score, hits, t0 FROM r WHERE NOT skip AND score >= 0.65 AND score < 0.80
   UNION ALL SELECT src_ip, us, 'T1_RATE', 1, score, hits, 1 FROM r WHERE NOT skip AND score >= 0.65 AND score < 0.80 AND hits >= 3)
+SELECT * FROM a""",
+    "response_controls": """WITH RECURSIVE toggles AS (SELECT epoch_us(ts) AS us, bool_or(block_id % 20 = 0) AS is_on FROM blocks WHERE block_id % 10 = 0 AND ts IS NOT NULL GROUP BY 1),
+scored AS (SELECT src_ip, epoch_us(ts) AS us, malicious_probability AS score, feed_id AS o FROM feed WHERE src_ip NOT IN ('127.0.0.1', '::1', '?', '') AND malicious_probability IS NOT NULL AND ts IS NOT NULL),
+allowed AS (SELECT s.* FROM scored s WHERE coalesce((SELECT arg_max(t.is_on, t.us) FROM toggles t WHERE t.us <= s.us), true)),
+both_ AS (SELECT *, false AS ctl FROM allowed UNION ALL SELECT ip, epoch_us(ts) + 10800000000, NULL, -1, true FROM blocks WHERE block_id % 3 = 0 AND ip IS NOT NULL AND ts IS NOT NULL),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY us, o) AS rn FROM both_),
+r AS (
+  SELECT src_ip, us, score, ctl, 0::BIGINT AS rn, []::BIGINT[] AS hist, NULL::INT AS tier, NULL::BIGINT AS until, NULL::INT AS lifted, NULL::BIGINT AS lifted_at, 0 AS hits, NULL::INT AS t0, true AS skip FROM rows_ WHERE rn = 1
+  UNION ALL
+  SELECT src_ip, us, score, ctl, rn, hist, CASE WHEN ctl THEN NULL WHEN skip THEN t0 WHEN score >= 0.92 OR (score >= 0.65 AND hits >= 3) THEN 1 WHEN score >= 0.80 THEN coalesce(t0, 2) ELSE t0 END,
+         CASE WHEN ctl THEN NULL WHEN skip THEN u0 WHEN score >= 0.92 OR (score >= 0.65 AND hits >= 3) OR (score >= 0.80 AND t0 IS NULL) THEN us + 86400000000 ELSE u0 END, lifted, lifted_at, hits, t0, skip
+  FROM (SELECT *, list_sum(list_transform(hist, lambda h: (us - h <= 21600000000)::INT))::INT AS hits FROM (
+    SELECT n.src_ip, n.us, n.score, n.ctl, n.rn, CASE WHEN up THEN NULL ELSE r.tier END AS t0, CASE WHEN up THEN NULL ELSE r.until END AS u0, CASE WHEN up THEN r.tier END AS lifted, CASE WHEN up THEN r.until END AS lifted_at,
+           n.ctl OR coalesce(NOT up AND r.tier = 1, false) AS skip, CASE WHEN n.ctl OR (NOT up AND r.tier = 1) THEN r.hist ELSE list_append(r.hist, n.us)[-50:] END AS hist
+    FROM r JOIN rows_ n ON n.src_ip = r.src_ip AND n.rn = r.rn + 1, LATERAL (SELECT coalesce(n.us >= r.until, false) AS up)))),
+a AS (
+  SELECT src_ip, lifted_at AS us, 'UNBLOCK' AS action, lifted AS tier, NULL::DOUBLE AS score, 0 AS hits, NULL::INT AS blocked_tier FROM r WHERE lifted IS NOT NULL
+  UNION ALL SELECT src_ip, us, 'UNBLOCKED', t0, 0.0, 0, NULL FROM r WHERE rn > 0 AND ctl AND t0 IS NOT NULL
+  UNION ALL SELECT src_ip, us, 'T1_BLOCK', 1, score, hits, 1 FROM r WHERE NOT skip AND score >= 0.92
+  UNION ALL SELECT src_ip, us, 'T2_RESET', 2, score, hits, coalesce(t0, 2) FROM r WHERE NOT skip AND score >= 0.80 AND score < 0.92
+  UNION ALL SELECT src_ip, us, 'T1_ESCALATED', 1, score, hits, 1 FROM r WHERE NOT skip AND score >= 0.80 AND score < 0.92 AND hits >= 3
+  UNION ALL SELECT src_ip, us, 'T3_TRACK', 3, score, hits, t0 FROM r WHERE NOT skip AND score >= 0.65 AND score < 0.80
+  UNION ALL SELECT src_ip, us, 'T1_RATE', 1, score, hits, 1 FROM r WHERE NOT skip AND score >= 0.65 AND score < 0.80 AND hits >= 3)
 SELECT * FROM a""",
     "prekey_stock": """WITH RECURSIVE rows_ AS (SELECT user_id, event_id, event_type IN ('view', 'signup') AS adds, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
 r AS (SELECT user_id, 0::BIGINT AS event_id, true AS adds, 0::BIGINT AS rn, []::BIGINT[] AS stock, NULL::BIGINT AS taken FROM rows_ WHERE rn = 1

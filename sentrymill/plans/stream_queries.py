@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.operators.state import BLOCK_US
 from sentrymill.plans.intake import ORDER
-from sentrymill.plans.views import GAP_SECONDS
+from sentrymill.plans.views import GAP_SECONDS, packets_of
 from sentrymill.sources.tables import shared_dir, table
 from sentrymill.streaming import pipelines as sp
 
@@ -102,20 +102,35 @@ def stream_last_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/last/{max(seen)}").select("feed_id")
 
 
+def stream_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Flows that FIN, RST, a gap or the watermark have closed; those still open at the end are not among them."""
+    events = _stream(spark, d, "events")
+    live = sp.with_event_time(packets_of(events), "ts", "0 seconds")
+    out = _stateful(spark, lambda: sp.run_once(sp.flows(live, GAP_SECONDS), _folder(spark)))
+    return out.select("pair", "start_us", "last_us", "packets", "bytes", "fwd_packets", "close_reason")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (stream_sessions, stream_dedup, stream_counts, stream_counters, stream_response, stream_rate_limiter, stream_ledger, stream_subscribers, stream_last_rows)
+    for f in (stream_sessions, stream_dedup, stream_counts, stream_counters, stream_response, stream_rate_limiter, stream_ledger, stream_subscribers, stream_last_rows, stream_flows)
 }
 
 
-def _batch_sql() -> tuple[str, str]:
+def _batch_sql() -> tuple[str, str, str]:
+    from sentrymill.plans.flow_queries import ended_segments
     from sentrymill.plans.signal_queries import SQL as S
 
-    return S["response_tiers"], S["rate_limiter"]
+    return S["response_tiers"], S["rate_limiter"], ended_segments()
 
 
-_RESPONSE, _LIMIT = _batch_sql()
+_RESPONSE, _LIMIT, _ENDED = _batch_sql()
 SQL = {
+    "stream_flows": f"""WITH {_ENDED},
+g AS (SELECT pair, segment, min(us) AS start_us, max(us) AS last_us, count(*) AS packets, CAST(sum(coalesce(length, 0)) AS BIGINT) AS bytes, arg_min(src_ip || ':' || src_port, (us, seq)) AS source,
+      CASE WHEN arg_max(term, (us, seq)) THEN 'fin_rst' ELSE 'idle' END AS close_reason FROM segd GROUP BY 1, 2),
+w AS (SELECT g.pair, g.segment, count(*) FILTER (s.src_ip || ':' || s.src_port = g.source) AS fwd_packets FROM g JOIN segd s ON s.pair = g.pair AND s.segment = g.segment GROUP BY 1, 2)
+SELECT g.pair, start_us, last_us, packets, bytes, fwd_packets, close_reason FROM g JOIN w ON w.pair = g.pair AND w.segment = g.segment
+WHERE close_reason = 'fin_rst' OR EXISTS (SELECT 1 FROM g n WHERE n.pair = g.pair AND n.segment = g.segment + 1) OR last_us + {GAP_SECONDS}000000 < (SELECT max(us) FROM packets)""",
     "stream_sessions": f"""WITH m AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {GAP_SECONDS}000000 THEN 0 ELSE 1 END AS f, ts, event_id FROM events),
 s AS (SELECT user_id, us, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(us) AS start_us, count(*) AS packets FROM s GROUP BY user_id, g""",
     "stream_dedup": "SELECT DISTINCT concat_ws('_', epoch_us(ts)::VARCHAR, concat_ws(':', src_ip, src_port)) AS key FROM feed WHERE ts IS NOT NULL",

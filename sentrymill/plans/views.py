@@ -16,7 +16,10 @@ MEASUREMENTS = (
 
 def packets(spark: SparkSession, d: str) -> DataFrame:
     """events as packets between a user and one server; views and clicks go out, other types come back."""
-    e = table(spark, d, "events")
+    return packets_of(table(spark, d, "events"))
+
+
+def packets_of(e: DataFrame) -> DataFrame:
     out = F.col("event_type").isin("view", "click")
     user = F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 256), F.lit("."), F.col("user_id") % 256)
     port, server, service = (F.lit(20_000) + F.col("user_id") % 1000).cast("int"), F.lit("192.0.2.1"), F.lit(443)

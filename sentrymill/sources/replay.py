@@ -1,8 +1,9 @@
 """A streaming source that replays a packet file in slices of time, as a capture would deliver them.
 
 ``spark.dataSource.register(PacketReplay)``, then ``readStream.format("packet_replay")`` with ``path`` (a
-Parquet file with the columns of ``SCHEMA``) and ``slice_seconds``. Live capture needs a capture library,
-which isn't assumed; a reader for one would replace ``_Reader.read``.
+Parquet file or folder with the columns of ``SCHEMA``) and ``slice_seconds``. As a batch, each row group is a
+partition; as a stream, one slice at a time is read, by the row groups that can hold it. Packets without a time are left out. Live capture needs a capture library,
+which isn't assumed; a reader for one would replace ``_slice``.
 """
 
 from __future__ import annotations
@@ -16,43 +17,68 @@ SCHEMA = "seq bigint, ts timestamp, src_ip string, dst_ip string, src_port int,
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def _micros(column):
-    import pyarrow as pa
+def _dataset(path: str):
+    import pyarrow.dataset as ds
 
-    kind = pa.timestamp("us", tz=column.type.tz)
-    return column.cast(kind).cast(pa.int64())
+    return ds.dataset(path.removeprefix("file:"), format="parquet")
 
 
-def _rows(path: str, begin: int | None = None, slice_us: int = 0) -> Iterator[tuple]:
-    import pyarrow.parquet as pq
+def _out(batch) -> Iterator[tuple]:
+    import pyarrow as pa
 
-    table = pq.read_table(path, columns=NAMES)
-    us = _micros(table["ts"]).to_pylist()
-    rows = sorted(zip(us, table.drop_columns(["ts"]).to_pylist()), key=lambda r: (r[0], r[1]["seq"]))
-    for at, row in rows:
-        if begin is None or begin <= at < begin + slice_us:
+    us = batch.column("ts").cast(pa.timestamp("us", tz=batch.schema.field("ts").type.tz)).cast(pa.int64()).to_pylist()
+    for at, row in zip(us, batch.drop_columns(["ts"]).to_pylist()):
+        if at is not None:
             yield tuple(datetime.fromtimestamp(at / 1_000_000, tz=timezone.utc) if n == "ts" else row[n] for n in NAMES)
 
 
+def _slice(path: str, begin: int, length: int) -> list[tuple]:
+    """The rows of one slice of time, in order; row groups outside it aren't read."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    data = _dataset(path)
+    kind = data.schema.field("ts").type
+    at = lambda us: pa.scalar(us, pa.timestamp("us", tz=kind.tz)).cast(kind)
+    table = data.to_table(columns=NAMES, filter=(pc.field("ts") >= at(begin)) & (pc.field("ts") < at(begin + length)))
+    return sorted((r for b in table.to_batches() for r in _out(b)), key=lambda r: (r[1], r[0]))
+
+
+class _Piece(InputPartition):
+    """One row group of one file."""
+
+    def __init__(self, file: str, group: int):
+        self.file, self.group = file, group
+
+
 class _Batch(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
 
     def partitions(self):
-        return [InputPartition(0)]
+        return [_Piece(f.path, g) for f in _dataset(self.path).get_fragments() for g in range(f.metadata.num_row_groups)] or [_Piece("", 0)]
 
     def read(self, partition):
-        yield from _rows(self.path)
+        import pyarrow.parquet as pq
+
+        if partition.file:
+            for batch in pq.ParquetFile(partition.file).iter_batches(row_groups=[partition.group], columns=NAMES):
+                yield from _out(batch)
 
 
 class _Stream(SimpleDataSourceStreamReader):
     def __init__(self, options):
+        import pyarrow as pa
         import pyarrow.compute as pc
-        import pyarrow.parquet as pq
 
         self.path, self.slice = options["path"], int(float(options.get("slice_seconds", "10")) * 1_000_000)
-        us = _micros(pq.read_table(self.path, columns=["ts"])["ts"])
-        self.first, self.last = (pc.min(us).as_py(), pc.max(us).as_py()) if len(us) else (0, -1)
+        self.first, self.last = 0, -1
+        found: list[int] = []
+        for b in _dataset(self.path).to_batches(columns=["ts"]):
+            ends = pc.min_max(b.column("ts").cast(pa.timestamp("us", tz=b.schema.field("ts").type.tz)).cast(pa.int64())).as_py()
+            found += [v for v in ends.values() if v is not None]
+        if found:
+            self.first, self.last = min(found), max(found)
 
     def initialOffset(self):
         return {"us": self.first}
@@ -60,10 +86,10 @@ class _Stream(SimpleDataSourceStreamReader):
     def read(self, start):
         if start["us"] > self.last:
             return iter([]), start
-        return iter(list(_rows(self.path, start["us"], self.slice))), {"us": start["us"] + self.slice}
+        return iter(_slice(self.path, start["us"], self.slice)), {"us": start["us"] + self.slice}
 
     def readBetweenOffsets(self, start, end):
-        return iter(list(_rows(self.path, start["us"], end["us"] - start["us"])))
+        return iter(_slice(self.path, start["us"], end["us"] - start["us"]))
 
     def commit(self, end):
         pass
