@@ -18,6 +18,7 @@ TCP, UDP = 6, 17
 HTTP_PORTS = (80, 443, 8080, 8443)
 FTP_PORTS = (20, 21)
 FLOW = ["pair", "segment"]
+ENDPOINTS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
 
 def parsed_packets(raw: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def segmented(packets: DataFrame, gap_seconds: float, terminators: bool = True)
         .withColumns({"us": micros("ts"), "ends": ends})
         .withColumn("opened", opened)
         .withColumn("segment", F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("is_fwd", source == F.first(source).over(first))
+        .withColumns({"is_fwd": source == F.first(source).over(first)} | {f"first_{c}": F.first(c).over(first) for c in ENDPOINTS})
         .drop("opened")
     )
 
@@ -63,6 +64,7 @@ def with_gaps(packets: DataFrame) -> DataFrame:
     merged = Window.partitionBy(*FLOW).orderBy("us", F.desc("is_fwd"), "seq")
     return packets.withColumns(
         {
+            "first_win": F.first("win").over(same),
             "gap_dir": (F.col("us") - F.lag("us").over(same)).cast("double"),
             "gap_flow": (F.col("us") - F.lag("us").over(merged)).cast("double"),
         }
@@ -70,16 +72,16 @@ def with_gaps(packets: DataFrame) -> DataFrame:
 
 
 def flow_table(packets: DataFrame, gap_seconds: float, terminators: bool = True) -> DataFrame:
-    """One row per flow: endpoints of the first packet, times, close reason and the base statistics."""
+    """One row per flow: endpoints of the first packet, times, close reason and the base statistics.
+
+    What the first packets have comes from the windows, so that only numbers are aggregated, by hash.
+    """
     p = with_gaps(segmented(packets, gap_seconds, terminators))
     fwd, bwd = F.col("is_fwd"), ~F.col("is_fwd")
-    at = F.struct("us", "seq")
-    first = lambda c, cond=None: F.min_by(F.col(c), at if cond is None else F.when(cond, at))
     flag = lambda m: F.count_if(F.col("flags").bitwiseAND(m) != 0)
     length = F.col("length").cast("double")
-    aggs: dict[str, Column] = {c: first(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")}
-    aggs |= {"start_us": F.min("us"), "last_us": F.max("us"), "n_fwd": F.count_if(fwd), "n_bwd": F.count_if(bwd), "n_all": F.count("*")}
-    aggs |= {"ended": F.max_by("ends", at)}
+    aggs: dict[str, Column] = {"start_us": F.min("us"), "last_us": F.max("us"), "n_fwd": F.count_if(fwd), "n_bwd": F.count_if(bwd), "n_all": F.count("*")}
+    aggs |= {"ended": F.max(F.col("ends").cast("int")) == 1}
     for name, value in (
         ("fwd", F.when(fwd, length)),
         ("bwd", F.when(bwd, length)),
@@ -93,10 +95,11 @@ def flow_table(packets: DataFrame, gap_seconds: float, terminators: bool = True)
     aggs |= {
         "fwd_psh": F.count_if(fwd & (F.col("flags").bitwiseAND(PSH) != 0)),
         "fwd_urg": F.count_if(fwd & (F.col("flags").bitwiseAND(URG) != 0)),
-        "fwd_win": F.greatest(F.coalesce(first("win", fwd), F.lit(0)), F.lit(0)),
-        "bwd_win": F.greatest(F.coalesce(first("win", bwd), F.lit(0)), F.lit(0)),
+        "fwd_win": F.greatest(F.coalesce(F.max(F.when(fwd, F.col("first_win"))), F.lit(0)), F.lit(0)),
+        "bwd_win": F.greatest(F.coalesce(F.max(F.when(bwd, F.col("first_win"))), F.lit(0)), F.lit(0)),
     }
-    return p.groupBy(*FLOW).agg(*[c.alias(n) for n, c in aggs.items()]).withColumn(
+    whole = p.groupBy(*FLOW, *[F.col(f"first_{c}").alias(c) for c in ENDPOINTS]).agg(*[c.alias(n) for n, c in aggs.items()])
+    return whole.select(*FLOW, *ENDPOINTS, *aggs).withColumn(
         "close_reason", F.when(F.col("ended"), F.lit("fin_rst")).otherwise(F.lit("idle"))
     )
 

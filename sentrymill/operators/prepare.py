@@ -1,14 +1,16 @@
 """Preparing feature matrices: statistics, imputation, scaling, encoding, selection, sampling, splitting.
 
 Statistics are population ones. Fitting is one aggregation over all columns at once; its single row is
-joined back as a broadcast, so fitting and applying stay one lazy plan. Quantiles are exact by default;
-``accuracy`` switches to bounded-memory approximate ones for columns with very many distinct values.
+joined back as a broadcast, so fitting and applying stay one lazy plan. Quantiles are fitted when the
+operator is called and stand in the plan as literals; they are exact, in bounded memory, unless ``accuracy`` is given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from sentrymill.operators.ordering import global_index, hashed_rank
 from sentrymill.sources.tables import bounded_broadcast
 
 TINY = 1e-10
+SKETCH = 10_000
 
 
 def _with(df: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -23,8 +26,43 @@ def _with(df: DataFrame, fitted: DataFrame) -> DataFrame:
     return df.join(F.broadcast(fitted))
 
 
-def quantile(c: str, p: float, accuracy: int | None = None) -> Column:
-    return F.percentile(F.col(c).cast("double"), p) if accuracy is None else F.percentile_approx(F.col(c).cast("double"), p, accuracy)
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int | None = None) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of the non-null values of each column, exact unless ``accuracy`` is given.
+
+    Exact ones take three aggregations of bounded memory: a sketch brackets each quantile, the rows below a bracket
+    are counted, and only values inside it, a few of ten thousand, are counted one by one and ranked. NaN is the greatest value.
+    """
+    v = {c: F.col(c).cast("double") for c in columns}
+    if not columns:
+        return {}
+    if accuracy is not None:
+        row = df.agg(*[F.percentile_approx(v[c], list(shares), accuracy).alias(c) for c in columns]).first()
+        return {c: list(row[c]) if row[c] is not None else [None] * len(shares) for c in columns}
+    around = sorted({min(1.0, max(0.0, p + d)) for p in shares for d in (-2 / SKETCH, 2 / SKETCH)})
+    sketch = df.agg(*[F.percentile_approx(v[c], around, SKETCH).alias(c) for c in columns], *[F.count(v[c]).alias(f"{c} n") for c in columns]).first()
+    brackets = []  # column, share index, low, high, ranks of the two neighbours, weight of the upper one
+    for c in columns:
+        n = sketch[f"{c} n"]
+        for i, p in enumerate(shares):
+            if n:
+                at = (n - 1) * p
+                low, high = (sketch[c][around.index(min(1.0, max(0.0, p + d)))] for d in (-2 / SKETCH, 2 / SKETCH))
+                brackets.append((c, i, low, high, int(at), min(n - 1, int(at) + 1), at - int(at)))
+    if not brackets:
+        return {c: [None] * len(shares) for c in columns}
+    below = df.agg(*[F.count_if(v[c] < low).alias(f"b{k}") for k, (c, _, low, *_) in enumerate(brackets)]).first()
+    held = F.array(*[F.when(v[c].between(low, high), F.struct(F.lit(k).alias("k"), v[c].alias("v"))) for k, (c, _, low, high, *_) in enumerate(brackets)])
+    inside = df.select(F.explode(F.filter(held, lambda x: x.isNotNull())).alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("n"))
+    upto = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v")))
+    spark = df.sparkSession
+    ranks = spark.createDataFrame([(k, side, b[at] - below[k]) for k, b in enumerate(brackets) for side, at in (("low", 4), ("high", 5))], "k int, side string, rank bigint")
+    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    found = {(r.k, r.side): r.v for r in upto.join(F.broadcast(ranks), "k").where(hit).select("k", "side", "v").collect()}  # two values per column and share
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    for k, (c, i, *_, weight) in enumerate(brackets):
+        a, b = found[(k, "low")], found[(k, "high")]
+        out[c][i] = a + (b - a) * weight if weight else a
+    return out
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -53,23 +91,26 @@ def minmax_scaled(df: DataFrame, columns: Sequence[str], low: float = 0.0, high:
 
 
 def robust_scaled(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """(x - median) / IQR with interpolated quantiles, IQR below 1e-10 as 1."""
-    fit = df.agg(*[quantile(c, p, accuracy).alias(f"__{n}_{c}") for c in columns for n, p in (("l", 0.25), ("m", 0.5), ("h", 0.75))])
-    iqr = lambda c: F.when(F.col(f"__h_{c}") - F.col(f"__l_{c}") < TINY, 1.0).otherwise(F.col(f"__h_{c}") - F.col(f"__l_{c}"))
-    out = _with(df, fit).withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / iqr(c) for c in columns})
-    return out.select(*df.columns)
+    """(x - median) / IQR with interpolated quantiles, IQR below 1e-10 as 1; a column without values stays null."""
+    fit = quantiles(df, columns, (0.25, 0.5, 0.75), accuracy)
+
+    def scaled(c: str) -> Column:
+        low, mid, high = fit[c]
+        return F.lit(None).cast("double") if mid is None else (F.col(c) - mid) / (high - low if high - low >= TINY else 1.0)
+
+    return df.withColumns({c: scaled(c) for c in columns}).select(*df.columns)
 
 
 def winsorized(df: DataFrame, columns: Sequence[str], reach: float = 3.0, accuracy: int | None = None) -> DataFrame:
     """Clipped to [q25 - reach * IQR, q75 + reach * IQR]; nulls stay null."""
-    fit = df.agg(*[quantile(c, p, accuracy).alias(f"__{n}_{c}") for c in columns for n, p in (("l", 0.25), ("h", 0.75))])
+    fit = quantiles(df, columns, (0.25, 0.75), accuracy)
 
     def clipped(c: str) -> Column:
-        low, high = F.col(f"__l_{c}"), F.col(f"__h_{c}")
+        low, high = fit[c]
         v = F.col(c).cast("double")
-        return F.when(v.isNotNull(), F.greatest(low - reach * (high - low), F.least(high + reach * (high - low), v)))
+        return v if low is None else F.when(v.isNotNull(), F.greatest(F.lit(low - reach * (high - low)), F.least(F.lit(high + reach * (high - low)), v)))
 
-    return _with(df, fit).withColumns({c: clipped(c) for c in columns}).select(*df.columns)
+    return df.withColumns({c: clipped(c) for c in columns}).select(*df.columns)
 
 
 def smallest_mode(df: DataFrame, column: str) -> DataFrame:
@@ -80,24 +121,24 @@ def smallest_mode(df: DataFrame, column: str) -> DataFrame:
 
 def imputed(df: DataFrame, numeric: Sequence[str], text: Sequence[str], unknown: str = "unknown", accuracy: int | None = None) -> DataFrame:
     """Numeric nulls become the median, text nulls the smallest mode, or ``unknown`` where there is none."""
-    medians = df.agg(*[quantile(c, 0.5, accuracy).alias(f"__{c}") for c in numeric]) if numeric else None
-    out = _with(df, medians) if medians is not None else df
+    medians = quantiles(df, numeric, (0.5,), accuracy)
+    out = df
     for c in text:
         out = _with(out, smallest_mode(df, c).withColumnRenamed("mode", f"__{c}"))
-    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in numeric} | {c: F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(unknown)) for c in text})
+    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0]).cast("double")) for c in numeric} | {c: F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(unknown)) for c in text})
     return out.select(*df.columns)
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """value, code: classes in sorted order from 0. The window is over the distinct classes only."""
+    """value, code: classes in sorted order from 0."""
     classes = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return classes.withColumn("code", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("value")) - 1).cast("int"))
+    return global_index(classes, [F.col("value")], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def first_seen_codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """value, code: classes in the order of their first row."""
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("o"))
-    return first.select("value", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o")) - 1).cast("int").alias("code"))
+    return global_index(first, [F.col("o"), F.col("value")], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def frequency_codes(df: DataFrame, column: str) -> DataFrame:
@@ -119,18 +160,39 @@ def varying(df: DataFrame, columns: Sequence[str], threshold: float = 0.0) -> Da
     return df.agg(F.array(*[entry(c) for c in columns]).alias("cs")).select(F.inline("cs")).withColumn("kept", F.coalesce(F.col("variance") > threshold, F.lit(False)))
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, r for each pair of columns i <= j, one aggregation; 0 where a deviation is below 1e-10. Rows with both values count."""
-    v = lambda c: F.col(c).cast("double")
+def _moments(width: int, pivots: Sequence[float]):
+    """Per task one row for each pair of columns: rows with both values, and sums, squares and products of their distances from the pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], axis=1) if b.num_rows else np.zeros((0, width))
+            held = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float) if b.num_rows else x
+            z = np.where(held > 0, x - np.asarray(pivots), 0.0)
+            total += np.stack([held.T @ held, z.T @ held, (z * z).T @ held, z.T @ z])
+        i, j = np.triu_indices(width)
+        columns = [i, j, total[0][i, j], total[1][i, j], total[1][j, i], total[2][i, j], total[2][j, i], total[3][i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
-    def entry(a: str, b: str) -> Column:
-        both = v(a).isNotNull() & v(b).isNotNull()
-        x, y = F.when(both, v(a)), F.when(both, v(b))
-        r = F.when((F.stddev_pop(x) < TINY) | (F.stddev_pop(y) < TINY), 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
+    return run
 
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return df.agg(F.array(*[entry(a, b) for a, b in pairs]).alias("cs")).select(F.inline("cs"))
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b, r for each pair of columns i <= j; 0 where a deviation is below 1e-10, null without a row with both values.
+
+    One aggregation takes the means as pivots, then each task sums products of its rows as matrices.
+    """
+    v = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    means = df.select(*v).agg(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)) for i in range(len(columns))]).first()
+    fields = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = df.select(*v).mapInArrow(_moments(len(columns), list(means)), "i bigint, j bigint, " + ", ".join(f"{f} double" for f in fields))
+    t = parts.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields])
+    n = F.col("n")
+    dev = lambda s, ss: F.sqrt(F.greatest(F.lit(0.0), F.col(ss) / n - (F.col(s) / n) * (F.col(s) / n)))
+    x, y = dev("sx", "sxx"), dev("sy", "syy")
+    r = F.when(n > 0, F.when((x < TINY) | (y < TINY), 0.0).otherwise((F.col("sxy") / n - (F.col("sx") / n) * (F.col("sy") / n)) / (x * y)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return t.select(F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), r.alias("r"))
 
 
 def uncorrelated(df: DataFrame, columns: Sequence[str], threshold: float) -> list[str]:

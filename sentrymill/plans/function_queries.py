@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.functions import scalars as sc
 from sentrymill.operators import chat, learn, matrices, scoring, typing_rhythm
 from sentrymill.plans.views import MEASUREMENTS
-from sentrymill.sources.tables import shared_dir, table
+from sentrymill.sources.tables import scratch, table
 
 
 def display_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +116,7 @@ def event_positions(spark: SparkSession, d: str) -> DataFrame:
 def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "combined_dataset")
     train, test = (learn.assembled(c.where(x), MEASUREMENTS, "label_binary", "record_id") for x in ("split = 'train'", "split = 'valid'"))
-    model = learn.saved(learn.fitted("decision_tree", train), f"{shared_dir(spark)}/model-{uuid.uuid4().hex}")
+    model = learn.saved(learn.fitted("decision_tree", train), scratch(spark, "model"))
     return learn.predictions(model, test, "record_id")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from sentrymill.functions import vectors as v
 from sentrymill.operators import learn, neighbours, network, prepare, trees
 from sentrymill.plans.views import MEASUREMENTS
 from sentrymill.sources import files
-from sentrymill.sources.tables import shared_dir, table
+from sentrymill.sources.tables import scratch, table
 
 PROBE = [round(0.01 * i, 2) for i in range(64)]
 
@@ -157,7 +155,7 @@ def model_registry(spark: SparkSession, d: str) -> DataFrame:
     forest = trees.fit_forest(train, "x", "label_binary", "record_id", trees=6, max_depth=2)
     names = ("lgbm_deep", "lgbm_wide", "lgbm_fast", "xgb_deep", "xgb_balanced", "cat_deep")
     stats = prepare.column_stats(train.select(*[F.get("x", F.lit(i)).alias(m) for i, m in enumerate(MEASUREMENTS)]), MEASUREMENTS).collect()  # one row per feature
-    path = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    path = scratch(spark, "registry")
     learn.save_registry(spark, path, dict(zip(names, forest.trees)), {r["column"]: (r["mean"], r["std"]) for r in stats}, {"features": list(MEASUREMENTS)})
     models, scaler, metadata = learn.load_registry(spark, path)
     votes = [m.column(F.col("x")) for m in models.values()]
@@ -168,14 +166,14 @@ def model_registry(spark: SparkSession, d: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """customer written as CSV and read again with its schema."""
     c = table(spark, d, "customer")
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     c.write.option("header", True).csv(path)
     return files.read_csv(spark, path, c.schema, skip_bad=True)
 
 
 def mixed_directory(spark: SparkSession, d: str) -> DataFrame:
     """nation as Parquet and region as CSV in one folder, read together."""
-    path = f"{shared_dir(spark)}/mixed-{uuid.uuid4().hex}"
+    path = scratch(spark, "mixed")
     table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).write.parquet(f"{path}/a.parquet")
     table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).write.option("header", True).csv(f"{path}/b.csv")
     return files.read_directory(spark, path)
@@ -183,7 +181,7 @@ def mixed_directory(spark: SparkSession, d: str) -> DataFrame:
 
 def dataset_bundle(spark: SparkSession, d: str) -> DataFrame:
     """combined_dataset written as a bundle partitioned by data set; its metadata read again."""
-    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    path = scratch(spark, "bundle")
     files.write_bundle(table(spark, d, "combined_dataset"), path, "dataset_id")
     m = spark.read.json(f"{path}/metadata")
     return m.select("n_samples", "n_features", F.array_join("feature_names", ",").alias("feature_names"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +10,13 @@ from sentrymill.functions import scalars as sc
 from sentrymill.operators import layers, state, store
 from sentrymill.plans.views import MEASUREMENTS
 from sentrymill.sources import files, replay
-from sentrymill.sources.tables import shared_dir, table
+from sentrymill.sources.tables import scratch, table
 
 NOW = "2025-03-01 00:00:00"
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def output_formats(spark: SparkSession, d: str) -> DataFrame:

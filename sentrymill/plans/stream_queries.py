@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.operators.state import BLOCK_US
 from sentrymill.plans.intake import ORDER
 from sentrymill.plans.views import GAP_SECONDS, packets_of
-from sentrymill.sources.tables import shared_dir, table
+from sentrymill.sources.tables import scratch, table
 from sentrymill.streaming import pipelines as sp
 
 LATE = "400 days"
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:

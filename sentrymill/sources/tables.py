@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,29 @@ def small_rows(df: DataFrame, max_rows: int = 10_000) -> list:
     return rows
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, which is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+_MOVING = {"Join", "Aggregate", "Sort", "Window", "Distinct", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Deduplicate", "Intersect", "Except", "GlobalLimit"}
+
+
+def _moves_rows(plan) -> bool:
+    """Whether a logical plan has a node that exchanges rows."""
+    open_ = [plan]
+    while open_:
+        node = open_.pop()
+        if node.nodeName() in _MOVING:
+            return True
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return False
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` repartitioned to the cores at hand if it is a plain scan of fewer partitions, before costly work per row.
 
@@ -63,6 +87,6 @@ def spread(df: DataFrame) -> DataFrame:
     inputs of more partitions than cores nothing moves.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if _moves_rows(df._jdf.queryExecution().optimizedPlan()):
         return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
