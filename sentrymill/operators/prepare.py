@@ -29,7 +29,7 @@ def _with(df: DataFrame, fitted: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int | None = None) -> dict[str, list[float | None]]:
     """Interpolated quantiles of the non-null values of each column, exact unless ``accuracy`` is given.
 
-    Exact ones take three aggregations of bounded memory: a sketch brackets each quantile, the rows below a bracket
+    Exact ones take four aggregations of bounded memory: rows are counted, a sketch brackets each quantile, the rows below a bracket
     are counted, and only values inside it, a few of ten thousand, are counted one by one and ranked. NaN is the greatest value.
     """
     v = {c: F.col(c).cast("double") for c in columns}
@@ -38,15 +38,18 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], ac
     if accuracy is not None:
         row = df.agg(*[F.percentile_approx(v[c], list(shares), accuracy).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(shares) for c in columns}
-    around = sorted({min(1.0, max(0.0, p + d)) for p in shares for d in (-2 / SKETCH, 2 / SKETCH)})
-    sketch = df.agg(*[F.percentile_approx(v[c], around, SKETCH).alias(c) for c in columns], *[F.count(v[c]).alias(f"{c} n") for c in columns]).first()
+    counts = df.agg(*[F.count(v[c]).alias(c) for c in columns]).first()
+    reach = max(2 / SKETCH, 2 / max(1, min((n for n in counts if n), default=1)))  # the neighbour in rank is inside a bracket as well
+    ends = lambda p: (max(0.0, p - reach), min(1.0, p + reach))
+    around = sorted({e for p in shares for e in ends(p)})
+    sketch = df.agg(*[F.percentile_approx(v[c], around, SKETCH).alias(c) for c in columns]).first()
     brackets = []  # column, share index, low, high, ranks of the two neighbours, weight of the upper one
     for c in columns:
-        n = sketch[f"{c} n"]
+        n = counts[c]
         for i, p in enumerate(shares):
             if n:
                 at = (n - 1) * p
-                low, high = (sketch[c][around.index(min(1.0, max(0.0, p + d)))] for d in (-2 / SKETCH, 2 / SKETCH))
+                low, high = (sketch[c][around.index(e)] for e in ends(p))
                 brackets.append((c, i, low, high, int(at), min(n - 1, int(at) + 1), at - int(at)))
     if not brackets:
         return {c: [None] * len(shares) for c in columns}

@@ -45,7 +45,7 @@ def softmax_scores(spark: SparkSession, d: str) -> DataFrame:
 def pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
     """Distances of the query rows (ids divisible by 20) to all rows."""
     e = _embeddings(spark, d)
-    n = neighbours.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", e.count(), skip_self=False)
+    n = neighbours.Neighbours(e, "vec_id", "embedding").distances(e.where("vec_id % 20 = 0"))
     return n.select("query", "neighbour", F.round("distance", 5).alias("distance"))
 
 
@@ -61,6 +61,15 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return n.select("query", "neighbour", "rank", F.round("similarity", 5).alias("similarity"))
 
 
+def knn_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact neighbours the index finds by probing three quarters of its cells; these vectors have hardly any clusters."""
+    e = _embeddings(spark, d)
+    queries, index = e.where("vec_id % 20 = 0"), neighbours.Neighbours(e, "vec_id", "embedding")
+    exact = index.nearest(queries, 10).select("query", "neighbour")
+    quick = index.nearest(queries, 10, exact=False, probes=-(-3 * len(index.cells.centres) // 4)).select("query", "neighbour", F.lit(1).alias("hit"))
+    return exact.join(quick, ["query", "neighbour"], "left").agg(F.count("*").alias("n"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def smote(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d).withColumn("two", (F.col("label") == 0).cast("int"))
     made = neighbours.smote(e, "vec_id", "embedding", "two")
@@ -188,7 +197,7 @@ def dataset_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    **{f.__name__: f for f in (vector_distances, normalize_rows, activations, softmax_scores, pairwise_distance, knn, cosine_topk, smote)},
+    **{f.__name__: f for f in (vector_distances, normalize_rows, activations, softmax_scores, pairwise_distance, knn, cosine_topk, knn_recall, smote)},
     **{
         f.__name__: f
         for f in (
@@ -246,6 +255,7 @@ h AS (SELECT *, md5('42:' || base || ':' || n) AS d FROM w),
 p AS (SELECT base, v, n, ('0x' || substr(d, 1, 8))::BIGINT % least(5, fn - 1) + 1 AS pick, ('0x' || substr(d, 9, 12))::BIGINT / 281474976710656.0 AS share FROM h),
 j AS (SELECT p.base, near.neighbour, p.n, p.v, o.v AS w, p.share FROM p JOIN near ON near.base = p.base AND near.r = p.pick JOIN m o ON o.vec_id = near.neighbour)
 SELECT base, neighbour, n::INT AS n, pos::INT AS pos, round(v[pos + 1] + share * (w[pos + 1] - v[pos + 1]), 4) + 0.0 AS x FROM (SELECT *, unnest(range(len(v))) AS pos FROM j)""",
+    "knn_recall": "SELECT 10 * count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "csv_round_trip": "SELECT * FROM customer",
     "mixed_directory": "SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region",
     "dataset_bundle": """SELECT count(*) AS n_samples, 24 AS n_features,

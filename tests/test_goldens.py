@@ -158,6 +158,44 @@ def test_neighbours_match_brute_force(spark):
         assert [r.neighbour for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)] == [j for _, j in dist]
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_neighbours_in_clusters_with_a_crowded_cell_ties_and_zero_vectors(spark, metric):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 3)) * 0.1, rng.normal(size=(60, 3)) * 0.1 + 5, np.repeat([[5.0, 5.0, 5.0]], 4, 0), np.zeros((3, 3))]).round(3)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "k int, v array<double>")
+    ix = neighbours.Neighbours(df, "k", "v", metric, size=32)
+    got = {}
+    for r in ix.nearest(df.where("k % 9 = 0"), 5).collect():
+        got.setdefault(r.query, {})[r["rank"]] = r[2]
+    norm = np.linalg.norm(x, axis=1)
+    for q in range(0, len(x), 9):
+        if metric == "cosine":
+            away = np.array([0.0 if norm[q] < 1e-10 or norm[j] < 1e-10 else -(x[q] @ x[j]) / (norm[q] * norm[j]) for j in range(len(x))])
+        else:
+            away = np.linalg.norm(x - x[q], axis=1)
+        away[q] = np.inf
+        want = np.sort(away)[:5] * (-1 if metric == "cosine" else 1)
+        assert np.allclose([got[q][i] for i in range(1, 6)], want, atol=1e-9)
+    assert ix.distances(df.where("k < 3")).count() == 3 * len(x)
+
+
+def test_neighbours_of_empty_sets(spark):
+    none = spark.createDataFrame([], "k int, v array<double>")
+    df = spark.createDataFrame([(1, [1.0]), (2, [3.0])], "k int, v array<double>")
+    assert neighbours.nearest(none, df, "k", "v", 2).count() == 0 and neighbours.nearest(df, none, "k", "v", 2).count() == 0
+    assert {(r.query, r.neighbour) for r in neighbours.nearest(df, df, "k", "v", 5).collect()} == {(1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40_000])
+def test_quantiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.lognormal(3, 2, n) if n > 7 else rng.integers(0, 3, n).astype(float)
+    df = spark.createDataFrame([(float(v), None) for v in x] + [(None, None)], "a double, b double")
+    got = prepare.quantiles(df, ["a", "b"], (0.0, 0.25, 0.5, 0.75, 0.999, 1.0))
+    assert np.allclose(got["a"], np.quantile(x, [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]), rtol=1e-12) and got["b"] == [None] * 6
+    assert prepare.quantiles(df.where("a < -1"), ["a"], (0.5,)) == {"a": [None]}
+
+
 def test_global_order_without_one_task(spark):
     df = spark.range(1000).repartition(7)
     got = running_sum(global_index(df, [F.desc("id")], "i"), [F.col("i")], F.col("id"), "s").orderBy("i").collect()
