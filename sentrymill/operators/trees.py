@@ -34,6 +34,8 @@ CUTS = 63
 PURE = 1e-7
 CLASS_BOUND = 1_000
 LOSS_EVERY, LOSS_ENOUGH = 10, 1e-4
+#: Chances of at most 0, 1, ... 7 copies of a row, for a Poisson number with mean 1.
+POISSON = tuple(sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(8))
 
 
 @dataclass
@@ -213,13 +215,10 @@ def fit_regressor(df: DataFrame, features: str, label: str, **settings) -> Tree:
 
 def poisson_copies(key: str, tree: int, seed: int) -> Column:
     """How often a row is drawn for a tree: Poisson with mean 1, by a hash of its key."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(tree), key), 11).cast("double") / float(1 << 53)
-    bounds, p, upto = [], math.exp(-1.0), 0.0
-    for k in range(8):
-        upto += p
-        bounds.append(upto)
-        p /= k + 1
-    return sum((F.when(u >= b, 1.0).otherwise(0.0) for b in bounds[1:]), F.when(u >= bounds[0], 1.0).otherwise(0.0))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.lit(tree), F.col(key).cast("string")))
+    u = F.conv(F.substring(drawn, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    first, *rest = POISSON
+    return sum((F.when(u >= b, 1.0).otherwise(0.0) for b in rest), F.when(u >= first, 1.0).otherwise(0.0))
 
 
 @dataclass

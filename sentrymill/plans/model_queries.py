@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions import vectors as v
 from sentrymill.operators import learn, neighbours, network, prepare, trees
+from sentrymill.plans import tree_sql
 from sentrymill.plans.views import MEASUREMENTS
 from sentrymill.sources import files
 from sentrymill.sources.tables import scratch, table
@@ -79,6 +80,7 @@ def smote(spark: SparkSession, d: str) -> DataFrame:
 FIXTURE = [(i, [v, v], float(v > 4)) for i, v in enumerate((1.0, 1.5, 2.0, 2.5, 3.0, 5.0, 5.5, 6.0, 6.5, 7.0))]
 SURFACE = [(i, [a, b], y) for i, (a, b, y) in enumerate(((1.0, 1.0, 5.0), (2.0, 1.0, 7.0), (1.0, 2.0, 8.0), (3.0, 3.0, 15.0), (4.0, 2.0, 14.0), (2.0, 4.0, 16.0)))]
 BOUNDED = {"max_depth": 4}
+GRID, DRAWN = learn.grid(max_depth=(1, 2), min_leaf=(1, 20)), learn.drawn({"max_depth": (1, 2, 3), "min_leaf": (1, 5, 20)}, 2)
 
 
 def _flows(spark: SparkSession, d: str, split: str) -> DataFrame:
@@ -88,7 +90,7 @@ def _flows(spark: SparkSession, d: str, split: str) -> DataFrame:
 
 def _predicted(model, spark: SparkSession, d: str, label: str) -> DataFrame:
     rows = _flows(spark, d, "test").where(F.col(label).isNotNull())
-    return rows.select("record_id", F.col(label).cast("double").alias("label"), model.column(F.col("x")).alias("prediction"))
+    return rows.select("record_id", F.col(label).cast("double").alias("label"), F.round(model.column(F.col("x")), 6).alias("prediction"))
 
 
 def decision_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +117,7 @@ def perceptron(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     model = trees.fit_classifier(_flows(spark, d, "train"), "x", "label_family", **BOUNDED)
-    return spark.createDataFrame(list(zip(MEASUREMENTS, model.importances(len(MEASUREMENTS)))), "feature string, importance double")
+    return spark.createDataFrame([(m, round(v, 6)) for m, v in zip(MEASUREMENTS, model.importances(len(MEASUREMENTS)))], "feature string, importance double")
 
 
 def best_split(spark: SparkSession, d: str) -> DataFrame:
@@ -148,14 +150,13 @@ def golden_models(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    _, scores = learn.searched(_flows(spark, d, "train"), "x", "label_binary", "record_id", learn.grid(max_depth=(1, 2), min_leaf=(1, 20)), k=2)
-    return spark.createDataFrame([(p["max_depth"], p["min_leaf"], float(s)) for p, s in scores], "max_depth int, min_leaf int, accuracy double")
+    _, scores = learn.searched(_flows(spark, d, "train"), "x", "label_binary", "record_id", GRID, k=2)
+    return spark.createDataFrame([(p["max_depth"], p["min_leaf"], round(s, 6)) for p, s in scores], "max_depth int, min_leaf int, accuracy double")
 
 
 def random_search(spark: SparkSession, d: str) -> DataFrame:
-    settings = learn.drawn({"max_depth": (1, 2, 3), "min_leaf": (1, 5, 20)}, 2)
-    _, scores = learn.searched(_flows(spark, d, "train"), "x", "label_binary", "record_id", settings, k=2)
-    return spark.createDataFrame([(p["max_depth"], p["min_leaf"], float(s)) for p, s in scores], "max_depth int, min_leaf int, accuracy double")
+    _, scores = learn.searched(_flows(spark, d, "train"), "x", "label_binary", "record_id", DRAWN, k=2)
+    return spark.createDataFrame([(p["max_depth"], p["min_leaf"], round(s, 6)) for p, s in scores], "max_depth int, min_leaf int, accuracy double")
 
 
 def model_registry(spark: SparkSession, d: str) -> DataFrame:
@@ -222,6 +223,14 @@ q AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_distance(a.v, b.v) A
 """
 
 SQL = {
+    "decision_tree": tree_sql.predicted("label_family", "gini", 4),
+    "decision_tree_regressor": tree_sql.predicted("label_family", "mse", 4).replace("value AS prediction", "round(value, 6) AS prediction"),
+    "random_forest": tree_sql.forest("label_family", 5, 4),
+    "gradient_boosting": tree_sql.boosted("label_binary", 4, 2, 0.1),
+    "feature_importance": tree_sql.importances("label_family", 4),
+    "grid_search": tree_sql.searched("label_binary", GRID, 2),
+    "random_search": tree_sql.searched("label_binary", DRAWN, 2),
+    "model_registry": tree_sql.voted("label_binary", 6, 2, len(MEASUREMENTS)),
     "vector_distances": f"""WITH {_E} SELECT vec_id, round(sqrt(list_inner_product(v, v)), 5) AS norm, round(list_distance(v, {_P}), 5) AS euclidean,
 round(list_sum(list_transform(v, lambda x, i: abs(x - ({_P})[i]))), 4) AS manhattan, round(list_cosine_similarity(v, {_P}), 5) AS cosine FROM e""",
     "normalize_rows": f"WITH {_E}, n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS l, unnest(range(len(v)))::INT AS pos FROM e) SELECT vec_id, pos, round(v[pos + 1] / CASE WHEN l < 1e-10 THEN 1 ELSE l END, 5) AS x FROM n",
