@@ -37,7 +37,6 @@ and the text has no content.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,7 +46,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.llm.residue_text import BARE, MANY, START, Leaf, leaf, marked, masked, place, segments
 from sentrymill.llm.residue_words import CONTENT, JUNK, UNSURE, verdict
-from sentrymill.sources.tables import checkpointed, shared_dir, spread
+from sentrymill.sources.tables import checkpointed, scratch, spread
 
 SLOT_SHARE = 0.4
 QUOTED_SHARE = 0.5
@@ -81,16 +80,20 @@ def _scan(key_type: pa.DataType):
         through: Counter = Counter()
         slotted: Counter = Counter()
         templates: Counter = Counter()
+        passed: Counter = Counter()  # segments, whose nodes are counted when the counts are written
         known: dict[str, tuple] = {}
         start_of_text, many = _hash(START), _hash(MANY)
         chars = 0
         document = TaskContext.get().partitionId() << 33  # a number of its own for each document, since keys can be null or repeated
 
         def held() -> list[tuple]:
+            for keys, n in passed.items():
+                for k in keys:
+                    through[k] += n
             rows = [("tree", None, h, n, slotted.get(h, 0), None) for h, n in through.items()]
             rows += [("tree", None, h, 0, n, None) for h, n in slotted.items() if h not in through]
             rows += [("segment", None, h, n, _hash(leaf(t.split(" "))), t) for (h, t), n in templates.items()]
-            for c in (through, slotted, templates):
+            for c in (through, slotted, templates, passed):
                 c.clear()
             return rows
 
@@ -99,7 +102,7 @@ def _scan(key_type: pa.DataType):
             if found is None:
                 template, keys, at = masked(segment)
                 after = place(template)
-                found = (_hash(template), template, [_hash(k) for k in keys], [_hash(k) for k in at if k != BARE], BARE in at, after and _hash(after))
+                found = (_hash(template), template, tuple(_hash(k) for k in keys), [_hash(k) for k in at if k != BARE], BARE in at, after and _hash(after))
                 if len(segment) <= _KNOWN_CHARS:
                     if len(known) >= _HELD:
                         known.clear()
@@ -119,7 +122,7 @@ def _scan(key_type: pa.DataType):
                     for segment in segments(marked(text)):
                         h, template, keys, at, alone, after = looked_up(segment)
                         own[h] = template
-                        through.update(keys)
+                        passed[keys] += 1
                         if at:
                             slotted.update(at)
                             lookups.update(at)
@@ -140,7 +143,7 @@ def _scan(key_type: pa.DataType):
                     chars += sum(map(len, own.values()))
                     rows += [("document", key, h, None, document, None) for h in own]
                     rows += [("slot", key, h, None, None, None) for h in lookups]
-                if len(through) + len(templates) > _HELD or chars > _HELD_CHARS:
+                if len(through) + len(passed) + len(templates) > _HELD or chars > _HELD_CHARS:
                     rows += held()
                     chars = 0
                 if rows:
@@ -209,7 +212,7 @@ class Residue:
         self.key = key
         kind = documents.schema[key].dataType
         texts = documents.where(F.length(F.trim(F.col(text))) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
-        path = f"{shared_dir(spark)}/residue-{uuid.uuid4().hex}"
+        path = scratch(spark, "residue")
         schema = _PARTS.format(kind=kind.simpleString())
         spread(texts).mapInArrow(_scan(to_arrow_type(kind)), schema).write.partitionBy("part").parquet(path)
         self._parts = spark.read.schema(schema).parquet(path)

@@ -89,7 +89,9 @@ _TAG = re.compile(
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
 _QUOTED = re.compile(r"\"[^\"\n]*+\"|„[^„“”\n]*+[“”]|“[^“”\n]*+”")
 _URL = re.compile(r"://\S+|(?<![\w>\]})%:/])/\S+|(?<!\w)[A-Za-z]:\\\S+|(?:\$HOME|%USERPROFILE%|%APPDATA%)[/\\]\S*")
-_BREAK = re.compile(r"[\n\r\t]+|(?<=[.!?。।؟…])\s+|(?<=[:;])\s+|(?<=[。।؟])|(?<=</p>)")
+_END = re.compile(r"([.!?。।؟…:;])\s+")
+_UNSPACED = re.compile(r"([。।؟])(?=[^\n])")
+_BREAK = re.compile(r"[\n\r\t]+")
 _SPACES = re.compile(r"\s+")
 _SLOTTED = re.compile(rf"[\w.,\-]*{SLOT}[\w\-]*(?:[^\w\s()\[\]]{SLOT}[\w\-]*)*")
 _VALUED = re.compile(r"(?<![^\s()\[\]:;,=])[^\s()\[\]:;,=\d。।؟]*\d[^\s()\[\];,=。।؟]*?(?=[)\].,;:!?…]{0,8}(?:\s|$)|[()\[\];,=。।؟])")
@@ -126,6 +128,10 @@ def marked(text: str) -> str:
 
 
 def segments(text: str) -> list[str]:
+    """Sentences, labels and lines: cut after their signs and at line ends and tabs."""
+    text = _END.sub(r"\1\n", text)
+    if "。" in text or "।" in text or "؟" in text:
+        text = _UNSPACED.sub(r"\1\n", text)
     return [s for p in _BREAK.split(text) if (s := p.strip())]
 
 
