@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrymill.operators.ordering import global_index
+
 
 def threads(contacts: DataFrame, messages: DataFrame, me: str) -> DataFrame:
     """Every contact with its last text and time, unread count and whether a timer is pending; contacts without messages stay.
@@ -30,7 +32,19 @@ def last_by_either(contacts: DataFrame, messages: DataFrame) -> DataFrame:
 
 def indexed(index: DataFrame, rows: DataFrame, key: str, ids: str, id_column: str) -> DataFrame:
     """Rows listed in an id array per key, in the array's order (pos); ids without a row are left out."""
-    places = index.select(key, F.posexplode(ids).alias("pos", id_column))
+    return placed(index.select(key, F.posexplode(ids).alias("pos", id_column)), rows, key, id_column)
+
+
+def order_index(rows: DataFrame, key: str, order: list[str], id_column: str) -> DataFrame:
+    """(key, pos, id): the index of every key as one row per entry, in order. A key with very many entries is sorted by several tasks."""
+    at = [F.col(c).asc_nulls_first() for c in order]
+    numbered = global_index(rows.where(F.col(key).isNotNull()).select(key, *order, *([id_column] if id_column not in order else [])), [F.col(key), *at], "__i")
+    first = numbered.groupBy(F.col(key).alias("__k")).agg(F.min("__i").alias("__first"))
+    return numbered.join(first, F.col(key) == F.col("__k")).select(key, (F.col("__i") - F.col("__first")).cast("int").alias("pos"), id_column)
+
+
+def placed(places: DataFrame, rows: DataFrame, key: str, id_column: str) -> DataFrame:
+    """Rows at their places (key, pos, id); ids without a row are left out."""
     return places.join(rows.drop(key) if key in rows.columns else rows, id_column).select(key, "pos", *[c for c in rows.columns if c != key])
 
 

@@ -163,55 +163,74 @@ def rolling_count(df: DataFrame, keys: list[str], ts: str, seconds: int) -> Data
     return df.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("hits", F.count("*").over(w))
 
 
-def nearest_index(sorted_values: Column, percent: int) -> Column:
-    """The value at index floor(n * percent / 100) of a sorted array."""
-    return F.get(sorted_values, F.floor(F.size(sorted_values) * percent / 100).cast("int"))
+def binned(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """The equal bin between two extremes that a value is in, the last one closed; a range of 0 counts as 1."""
+    width = F.when(high == low, F.lit(1.0)).otherwise(high - low)
+    return F.least(F.lit(bins - 1), F.floor((value - low) / width * bins).cast("int"))
 
 
-def bin_counts(values: Column, bins: int) -> Column:
-    """Counts of an array's values in equal bins between its extremes, the last closed; a range of 0 counts as 1."""
-    low, high = F.array_min(values), F.array_max(values)
-    width = F.when(high == low, F.lit(1.0)).otherwise(high - low)
-    index = lambda x: F.least(F.lit(bins - 1), F.floor((x - low) / width * bins).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.size(F.filter(values, lambda x: index(x) == i)).cast("double"))
-
-
-def rhythm(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Statistics of ``values``, an array of doubles per row in order; rows of typing or other timings."""
-    v, n = F.col("values"), F.size("values")
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    s = series.where(n > 0).withColumn("mean", total / n).withColumn("sorted", F.array_sort("values"))
-    power = lambda k: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x - F.col("mean"), F.lit(k)))
-    s = s.withColumn("std", F.sqrt(power(2) / n))
-    mid = F.floor(n / 2).cast("int")
-    median = lambda a: F.when(n % 2 == 1, F.get(a, mid)).otherwise((F.get(a, mid - 1) + F.get(a, mid)) / 2)
-    head, tail = F.slice(v, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(v, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    products = F.aggregate(F.zip_with(head, tail, lambda a, b: (a - F.col("mean")) * (b - F.col("mean"))), F.lit(0.0), lambda a, x: a + x)
-    squares = F.aggregate(head, F.lit(0.0), lambda a, x: a + F.pow(x - F.col("mean"), F.lit(2)))
-    steps = F.aggregate(F.zip_with(head, tail, lambda a, b: F.abs(b - a)), F.lit(0.0), lambda a, x: a + x)
-    moment = lambda k: F.when(F.col("std") > 0, F.try_divide(power(k) / n, F.pow("std", F.lit(k)))).otherwise(0.0)
-    s = s.withColumn("median", median(F.col("sorted")))
-    deviations = F.array_sort(F.transform(v, lambda x: F.abs(x - F.col("median"))))
-    return s.select(
+def _at_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key the values at the ranks of the median and of both nearest quartiles."""
+    w = Window.partitionBy(*keys)
+    placed = rows.select(*keys, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    mid = F.floor(F.col("n") / 2)
+    at = lambda r: F.max(F.when(F.col("r") == r, F.col("v")))
+    picked = placed.groupBy(*keys).agg(
+        at(mid).alias("upper"), at(mid - 1).alias("lower"), at(F.floor(F.col("n") * 25 / 100)).alias("p25"), at(F.floor(F.col("n") * 75 / 100)).alias("p75"), F.max("n").alias("n")
+    )
+    median = F.when(F.col("n") % 2 == 1, F.col("upper")).otherwise((F.col("lower") + F.col("upper")) / 2)
+    return picked.select(*keys, median.alias("median"), "p25", "p75")
+
+
+def rhythm(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Statistics per key of a series of doubles, one row per value: typing or other timings in order. Null values and keys are left out.
+
+    Moments, bins and steps are sums taken per task before rows move; ranks and the value before are windows. No
+    series is gathered into an array.
+    """
+    present = rows.where(F.col(value).isNotNull())
+    for k in keys:
+        present = present.where(F.col(k).isNotNull())
+    v = F.col("v")
+    s = present.select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"))
+    base = s.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt")
+    )
+    ranks = _at_ranks(s, keys, "v")
+    fits = base.join(ranks, keys)
+    beside = s.withColumn("before", F.lag("v").over(Window.partitionBy(*keys).orderBy(*[f"__o{i}" for i in range(len(order))]))).join(fits, keys)
+    head, here, m = F.col("before"), F.when(F.col("before").isNotNull(), v), F.col("mean")
+    counts = lambda bins, at: F.count_if(binned(v, F.col("min"), F.col("max"), bins) == at).cast("double")
+    sums = beside.groupBy(*keys).agg(
+        F.coalesce(F.sum((head - m) * (here - m)), F.lit(0.0)).alias("products"),
+        F.coalesce(F.sum((head - m) * (head - m)), F.lit(0.0)).alias("squares"),
+        F.coalesce(F.avg(F.abs(here - head)), F.lit(0.0)).alias("mean_step"),
+        F.count_if(v > m).alias("above"),
+        F.array(*[counts(10, i) for i in range(10)]).alias("tenths"),
+        F.array(*[counts(5, i) for i in range(5)]).alias("fifths"),
+    )
+    deviations = _at_ranks(beside.select(*keys, F.abs(v - F.col("median")).alias("d")), keys, "d").select(*keys, F.col("median").alias("mad"))
+    spread_out = F.col("std") > 0
+    return fits.join(sums, keys).join(deviations, keys).select(
         *keys,
-        n.alias("n"),
+        F.col("n").cast("int").alias("n"),
         "mean",
         "std",
-        F.array_min("values").alias("min"),
-        F.array_max("values").alias("max"),
+        "min",
+        "max",
         "median",
-        nearest_index(F.col("sorted"), 25).alias("p25"),
-        nearest_index(F.col("sorted"), 75).alias("p75"),
-        moment(3).alias("skewness"),
-        F.when(F.col("std") > 0, moment(4) - 3).otherwise(0.0).alias("kurtosis"),
-        (nearest_index(F.col("sorted"), 75) - nearest_index(F.col("sorted"), 25)).alias("iqr"),
-        median(deviations).alias("mad"),
-        (F.size(F.filter(v, lambda x: x > F.col("mean"))) / n).alias("above_mean"),
+        "p25",
+        "p75",
+        F.when(spread_out, F.col("skew")).otherwise(0.0).alias("skewness"),
+        F.when(spread_out, F.col("kurt")).otherwise(0.0).alias("kurtosis"),
+        (F.col("p75") - F.col("p25")).alias("iqr"),
+        "mad",
+        (F.col("above") / F.col("n")).alias("above_mean"),
         ratio(F.col("std"), F.col("mean")).alias("cv"),
-        ratio(products, squares).alias("autocorrelation"),
-        F.when(n > 1, steps / (n - 1)).otherwise(0.0).alias("mean_step"),
-        entropy_of(bin_counts(v, 10)).alias("entropy"),
-        F.transform(bin_counts(v, 5), lambda c: c / n).alias("bins"),
+        ratio(F.col("products"), F.col("squares")).alias("autocorrelation"),
+        "mean_step",
+        entropy_of(F.col("tenths")).alias("entropy"),
+        F.transform("fifths", lambda c: c / F.col("n")).alias("bins"),
     )
 
 

@@ -123,26 +123,23 @@ def feed_counters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _timings(spark: SparkSession, d: str) -> DataFrame:
-    g = signals.with_gap(table(spark, d, "events"), ["user_id"], ["event_id"], "ts")
-    minutes = F.round(F.col("gap") / 60_000_000, 3)
-    return g.where("gap > 0").groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", minutes.alias("m")))), lambda x: x["m"]).alias("values")
-    )
+def _rhythm(spark: SparkSession, d: str) -> DataFrame:
+    g = signals.with_gap(table(spark, d, "events"), ["user_id"], ["event_id"], "ts").where("gap > 0")
+    return signals.rhythm(g.withColumn("minutes", F.round(F.col("gap") / 60_000_000, 3)), ["user_id"], ["us", "event_id"], "minutes")
 
 
 def keystroke_stats(spark: SparkSession, d: str) -> DataFrame:
-    r = signals.rhythm(_timings(spark, d), ["user_id"])
+    r = _rhythm(spark, d)
     return r.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in r.dtypes if c not in ("bins", "autocorrelation", "entropy", "mean_step")])
 
 
 def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
-    r = signals.rhythm(_timings(spark, d), ["user_id"])
+    r = _rhythm(spark, d)
     return r.select("user_id", F.posexplode("bins").alias("bin", "share")).select("user_id", "bin", F.round("share", 6).alias("share"))
 
 
 def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
-    r = signals.rhythm(_timings(spark, d), ["user_id"])
+    r = _rhythm(spark, d)
     return r.select("user_id", F.round("autocorrelation", 6).alias("autocorrelation"), F.round("entropy", 6).alias("entropy"), F.round("mean_step", 4).alias("mean_step"))
 
 

@@ -161,8 +161,8 @@ def contact_theta_last(spark: SparkSession, d: str) -> DataFrame:
 
 def chat_messages_ordered(spark: SparkSession, d: str) -> DataFrame:
     m = _messages(spark, d)
-    index = m.where("chat_id IS NOT NULL").groupBy("chat_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("received_at", "delivery_id"))), lambda x: x["delivery_id"]).alias("ids"))
-    return chat.indexed(index, m.where("text IS NOT NULL"), "chat_id", "ids", "delivery_id").select("chat_id", "pos", "delivery_id", "text")
+    places = chat.order_index(m, "chat_id", ["received_at", "delivery_id"], "delivery_id")
+    return chat.placed(places, m.where("text IS NOT NULL"), "chat_id", "delivery_id").select("chat_id", "pos", "delivery_id", "text")
 
 
 def contact_search(spark: SparkSession, d: str) -> DataFrame:

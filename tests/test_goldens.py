@@ -249,7 +249,7 @@ def test_chain_breaks_where_it_was_changed(spark):
 
 
 def test_rhythm_of_a_short_series(spark):
-    (r,) = signals.rhythm(spark.createDataFrame([("u", [1.0, 2.0, 3.0, 4.0])], "u string, values array<double>"), ["u"]).collect()
+    (r,) = signals.rhythm(spark.createDataFrame([("u", i, float(i)) for i in (1, 2, 3, 4)] + [("u", 9, None), (None, 1, 1.0)], "u string, o int, x double"), ["u"], ["o"], "x").collect()
     assert (r.mean, r.median, r.p25, r.p75, r.iqr, r.mad, r.above_mean, r.mean_step) == (2.5, 2.5, 2, 4, 2, 1, 0.5, 1) and r.bins == [0.25, 0.25, 0, 0.25, 0.25]
 
 
