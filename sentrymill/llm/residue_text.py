@@ -94,7 +94,7 @@ _UNSPACED = re.compile(r"([。।؟])(?=[^\n])")
 _BREAK = re.compile(r"[\n\r\t]+")
 _SPACES = re.compile(r"\s+")
 _SLOTTED = re.compile(rf"[\w.,\-]*{SLOT}[\w\-]*(?:[^\w\s()\[\]]{SLOT}[\w\-]*)*")
-_VALUED = re.compile(r"(?<![^\s()\[\]:;,=])[^\s()\[\]:;,=\d。।؟]*\d[^\s()\[\];,=。।؟]*?(?=[)\].,;:!?…]{0,8}(?:\s|$)|[()\[\];,=。।؟])")
+_VALUED = re.compile(r"(?<![^\s()\[\]:;,=])[^\s()\[\]:;,=\d。।؟]*+\d[^\s()\[\];,=。।؟]*?(?=[)\].,;:!?…]{0,8}(?:\s|$)|[()\[\];,=。।؟])")
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 
 
