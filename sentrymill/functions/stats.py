@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -46,23 +44,47 @@ def entropy_of(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda s, n: s - F.when(n > 0, (n / total) * F.log2(n / total)).otherwise(0.0))
 
 
+_CHARS = 2_000_000
+
+
+def _row_entropies(texts: list[str]) -> np.ndarray:
+    """Entropies of texts by counting the characters of all at once: narrow alphabets in a table, others sorted."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    wide = np.zeros(len(texts), bool)
+    wide[row[points >= 128]] = True
+    out = np.zeros(len(texts))
+    narrow = ~wide[row]
+    counts = np.bincount(row[narrow] * 128 + points[narrow], minlength=128 * len(texts)).reshape(-1, 128)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = counts / np.maximum(lengths, 1)[:, None]
+        out -= np.where(share > 0, share * np.log2(share), 0.0).sum(axis=1)
+    if wide.any():
+        key, n = np.unique((row[~narrow] << 21) | points[~narrow], return_counts=True)
+        share = n / lengths[key >> 21]
+        out[wide] = np.bincount(key >> 21, weights=-share * np.log2(share), minlength=len(texts))[wide]
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def _entropies(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> float:
-        if not text:
-            return 0.0
-        counts = np.fromiter(Counter(text).values(), dtype=float)
-        share = counts / counts.sum()
-        return float(-(share * np.log2(share)).sum())
-
-    return texts.map(one, na_action=None).astype(float)
+    plain = texts.fillna("").tolist()
+    out, start, held = [np.zeros(0)], 0, 0
+    for i, t in enumerate(plain):
+        held += len(t)
+        if held >= _CHARS or i - start >= 4_096:
+            out.append(_row_entropies(plain[start : i + 1]))
+            start, held = i + 1, 0
+    out.append(_row_entropies(plain[start:]) if start < len(plain) else np.zeros(0))
+    return pd.Series(np.concatenate(out))
 
 
 def text_entropy(text: Column) -> Column:
     """Character entropy of a text, 0 for an empty or null one.
 
     Counting characters in the JVM takes a lambda call per character or a scan per distinct one; this
-    counts in Arrow batches, which is about 20 times faster.
+    counts the characters of many texts at once, in Arrow batches.
     """
     return F.coalesce(_entropies(text), F.lit(0.0))
 

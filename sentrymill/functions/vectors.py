@@ -78,3 +78,8 @@ DERIVATIVES: dict[str, Callable[[Column], Column]] = {
     "leaky_relu": lambda x: F.when(x > 0, 1.0).otherwise(0.01),
     "elu": lambda x: F.when(x > 0, 1.0).otherwise(F.exp(F.least(x, F.lit(0.0)))),
 }
+
+
+def applied(vector: Column, f: Callable[[Column], Column]) -> Column:
+    """Every value of a vector by a function of columns, in the JVM."""
+    return F.transform(vector, f)

@@ -102,3 +102,38 @@ def load_registry(spark: SparkSession, folder: str, bound: int = 100_000) -> tup
 
 def area(model, rows: DataFrame) -> float:
     return BinaryClassificationEvaluator().evaluate(model.transform(rows))
+
+
+class Estimator:
+    """A learner with settings: ``fit`` and ``score`` on rows (features, label); ``set_params`` gives a new one."""
+
+    FITS = {
+        "tree": lambda rows, own: trees.fit_classifier(rows, "x", "y", **own),
+        "regressor": lambda rows, own: trees.fit_regressor(rows, "x", "y", **own),
+        "forest": lambda rows, own: trees.fit_forest(rows, "x", "y", "key", **own),
+        "boosted": lambda rows, own: trees.fit_boosted(rows, "x", "y", **own),
+    }
+
+    def __init__(self, kind: str, **params):
+        if kind not in self.FITS:
+            raise ValueError(f"no learner {kind}")
+        self.kind, self.params, self.model = kind, params, None
+
+    def set_params(self, **params) -> Estimator:
+        return Estimator(self.kind, **(self.params | params))
+
+    def fit(self, rows: DataFrame) -> Estimator:
+        """``rows`` has x, y and, for forests, key."""
+        self.model = self.FITS[self.kind](rows, self.params)
+        return self
+
+    def score(self, rows: DataFrame) -> float:
+        """Accuracy; of a regressor the share of variance explained. 0 without rows."""
+        if self.model is None:
+            raise ValueError("fit first")
+        kept = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col("y").cast("double").alias("y"), self.model.column(F.col("x")).alias("p"))
+        if self.kind == "regressor":
+            out = kept.agg((1 - F.try_divide(F.sum((F.col("y") - F.col("p")) ** 2), F.count("*") * F.var_pop("y"))).alias("s"))
+        else:
+            out = kept.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("s"))
+        return out.first()["s"] or 0.0

@@ -86,6 +86,11 @@ def affected(docs: DataFrame, where: Mapping[str, Any]) -> DataFrame:
     return docs.agg(F.count_if(_hit(where)).alias("affected"))
 
 
+def exists(docs: DataFrame, where: Mapping[str, Any]) -> DataFrame:
+    """One row: whether any document meets the condition. Reading stops at the first."""
+    return docs.where(_hit(where)).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
 def duplicates(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Values that break a unique index, with their count; nulls don't collide."""
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])

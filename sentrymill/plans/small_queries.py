@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions import codec
 from sentrymill.functions import scalars as sc
-from sentrymill.operators import layers, state, store
+from sentrymill.functions import vectors as v
+from sentrymill.operators import layers, learn, state, store
 from sentrymill.plans.views import MEASUREMENTS
 from sentrymill.sources import files, replay
 from sentrymill.sources.tables import scratch, table
@@ -141,17 +142,40 @@ def packet_replay(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.format("packet_replay").option("path", path).load().select("seq", F.unix_micros("ts").alias("us"), "src_ip", "dst_ip", "dst_port", "length")
 
 
+def doc_exists(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    asked = {"open": {"o_orderstatus": "O"}, "none": {"o_orderstatus": "?"}}
+    found = [store.exists(o, where).select(F.lit(name).alias("name"), "found") for name, where in asked.items()]
+    return found[0].unionByName(found[1])
+
+
+def tensor_apply(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    squashed = v.applied(F.col("embedding").cast("array<double>"), lambda x: x / (1 + F.abs(x)))
+    return e.select("vec_id", F.posexplode(squashed).alias("pos", "x")).select("vec_id", "pos", F.round("x", 5).alias("x"))
+
+
+def estimator_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of learners on their own separable rows."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0], float(i > 4)) for i in range(10)], "key int, x array<double>, y double")
+    out = [(kind, float(learn.Estimator(kind, max_depth=1).set_params(max_depth=2, **more).fit(rows).score(rows))) for kind, more in (("tree", {}), ("regressor", {}), ("forest", {"trees": 2, "bootstrap": False}), ("boosted", {"rounds": 2}))]
+    return spark.createDataFrame(out, "kind string, score double")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         output_formats, header_codec, stable_ids, exponential_delays, batch_norm, batch_norm_running, dropout_residual, optimizer_steps, bandit_arms, key_care, zset_scores, index_list, store_info,
-        user_accounts, preprocessed_bundle, fallback_store, packet_replay,
+        user_accounts, preprocessed_bundle, fallback_store, packet_replay, doc_exists, tensor_apply, estimator_scores,
     )
 }
 
 _LE = lambda e, n: "(" + " || ".join(f"lpad(lower(to_hex((({e})::BIGINT >> {8 * i}) & 255)), 2, '0')" for i in range(n)) + ")"
 
 SQL = {
+    "doc_exists": "SELECT 'open' AS name, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O') AS found UNION ALL SELECT 'none', EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = '?')",
+    "tensor_apply": "SELECT vec_id, pos, round(x / (1 + abs(x)), 5) + 0.0 AS x FROM (SELECT vec_id, unnest(range(len(embedding)))::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)",
+    "estimator_scores": "SELECT kind, 1.0::DOUBLE AS score FROM (VALUES ('tree'), ('regressor'), ('forest'), ('boosted')) AS t(kind)",
     "output_formats": """WITH w AS (SELECT greatest(max(length(n_nationkey::VARCHAR)), 11) AS a, greatest(max(length(n_name)), 6) AS b, greatest(max(length(n_regionkey::VARCHAR)), 11) AS c FROM nation)
 SELECT n_nationkey, '| ' || rpad(n_nationkey::VARCHAR, a::INT, ' ') || ' | ' || rpad(n_name, b::INT, ' ') || ' | ' || rpad(n_regionkey::VARCHAR, c::INT, ' ') || ' |' AS line,
 to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR AS json, n_name AS raw FROM nation, w""",

@@ -249,6 +249,38 @@ class DeliveryLedger:
         return merged_ranges(spark.read.schema(RANGE_SCHEMA).parquet(f"{self.folder}/ranges/*"))
 
 
+class Callbacks:
+    """Callables by key of a stream: each gets the rows of its key in every batch that has some. For ``run_batches``.
+
+    A callable is called with a DataFrame, so what it does with the rows is done where they are.
+    """
+
+    def __init__(self, key: str):
+        self.key, self.calls = key, {}
+
+    def subscribe(self, value, call) -> None:
+        self.calls.setdefault(value, []).append(call)
+
+    def unsubscribe(self, value) -> None:
+        self.calls.pop(value, None)
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        if not self.calls:
+            return
+        rows.persist()
+        try:
+            for (value,) in rows.where(F.col(self.key).isin(*self.calls)).select(self.key).distinct().collect():  # at most one row per subscription
+                for call in self.calls[value]:
+                    call(rows.where(F.col(self.key) == value), batch)
+        finally:
+            rows.unpersist()
+
+
+def on_flow_closed(packets: DataFrame, gap_s: float, call, folder: str, **settings) -> None:
+    """Calls ``call(flows, batch)`` with the flows that each micro-batch closes."""
+    run_batches(flows(packets, gap_s, **settings), folder, call)
+
+
 class LastRows:
     """A sink that keeps the newest n rows of everything seen, as a versioned table."""
 
