@@ -6,8 +6,8 @@ with its right neighbour. The smallest rank is found by scanning, its right boun
 the two ranks next to it are refreshed, until no neighbours can be joined. For words of more than
 ``SCAN_LIMIT`` bytes the scan would be quadratic, so that the same merges are taken from a heap.
 
-Words repeat, so each Python worker keeps the ids of those it has met, up to a bound. The vocabulary
-is read once on the driver and broadcast: its size is fixed (under 1 MB).
+Words repeat, so each Python worker keeps the ids of those it has met, up to a bound, from task to task. The
+vocabulary is read once on the driver and broadcast: its size is fixed (under 1 MB).
 
 Defined results: null and empty texts give the empty list; blank texts give the ids of their blanks;
 strings that look like special tokens are ordinary text; texts of any length are encoded whole;
@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterator
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,35 +97,53 @@ class BytePairEncoder:
             i = after[i]
         return out
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word that isn't held yet."""
+        ids = tuple(self.encode_bytes(word.encode()))
+        if len(word) <= _CACHED_LENGTH:
+            if len(self.cache) >= _CACHED_WORDS:
+                self.cache.clear()
+            self.cache[word] = ids
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
         if not text:
-            return out
-        cache, extend = self.cache, out.extend
-        for word in self.words(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = tuple(self.encode_bytes(word.encode()))
-                if len(word) <= _CACHED_LENGTH:
-                    if len(cache) >= _CACHED_WORDS:
-                        cache.clear()
-                    cache[word] = ids
-            extend(ids)
-        return out
+            return []
+        known, fresh = self.cache.get, self._word
+        return list(chain.from_iterable([known(w) or fresh(w) for w in self.words(text)]))
+
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        known, fresh = self.cache.get, self._word
+        return sum([len(known(w) or fresh(w)) for w in self.words(text)])
+
+
+#: The encoder of the vocabulary and pattern used last, for the tasks that a Python worker runs one after the other.
+_LAST: dict[tuple[bytes, str], BytePairEncoder] = {}
+
+
+def shared_encoder(content: bytes, pattern: str) -> BytePairEncoder:
+    key = (sha256(content).digest(), pattern)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = BytePairEncoder(read_ranks(content), pattern)
+    return _LAST[key]
 
 
 def _batches(vocabulary, pattern: str, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BytePairEncoder(read_ranks(vocabulary.value), pattern)
+        encoder = shared_encoder(vocabulary.value, pattern)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                rows = [encoder.encode(t) for t in b.column(1).to_pylist()]
-                lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
                 if counts_only:
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths)], names=["key", "n_tokens"])
+                    counts = pa.array([encoder.count(t) for t in b.column(1).to_pylist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0), counts], names=["key", "n_tokens"])
                     continue
-                flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=int(lengths.sum()))
+                rows = [encoder.encode(t) for t in b.column(1).to_pylist()]
+                lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+                flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(lengths.sum()))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["key", "ids"])
