@@ -25,7 +25,7 @@ the distinct segments of each document. Mining exchanges the distinct segments b
 leaf as a sorted stream, so repeats of a hot segment cost one row per task. All later steps are joins
 and sums on 8-byte hashes, in which those with more than a ``HOT``-th of all rows are salted. Only
 documents that have junk at all take part in the propagation, each as one row with its distinct
-templates. Nothing is collected.
+segments. Nothing is collected.
 
 Defined results: null, empty and blank texts are never found; texts and segments of any length are
 read whole; repeated documents get the same verdict and count each; documents with a null or repeated key are
@@ -165,7 +165,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, n, k in members:
             docs[k] += n
         texts = [" ".join(t) for t in tree.templates]
-        ids, verdicts = [_hash(f"{at} {k} {t}") for k, t in enumerate(texts)], [verdict(t) for t in texts]
+        ids, verdicts = [_hash(f"{at} {k} {t}") for k, t in enumerate(texts)], [verdict(t, list(m.values())) for t, m in zip(texts, tree.masked)]
         rows = [(h, n, ids[k], docs[k], verdicts[k]) for h, n, k in members]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["h", "n", "t", "docs", "verdict"])
 
@@ -245,10 +245,11 @@ class Residue:
         near = _with_templates(edges.join(with_junk, "document", "left_semi"), segments, total)
         has = lambda v: F.exists("templates", lambda t: t["verdict"] == v)
         by_document = checkpointed(
-            near.groupBy("document").agg(F.first("key").alias("key"), F.collect_set(F.struct("t", "docs", "verdict")).alias("templates"))
+            near.groupBy("document").agg(F.first("key").alias("key"), F.collect_set(F.struct("t", "docs", "verdict", "h")).alias("templates"))
             .select("key", "document", "templates", (~has(CONTENT)).alias("clean"))
         )
-        # What a template is, by the documents it stands in: quoted, or in unsure ones real content.
+        # What a template is, by the documents it stands in: quoted, or in unsure ones real content. A document counts
+        # once for each of its segments, as it does in docs.
         standing = by_document.select("clean", F.explode("templates").alias("t")).select("t.*", F.col("clean").cast("int").alias("clean")).where(F.col("verdict").isin(JUNK, UNSURE))
         means = standing.groupBy("t").agg(F.max("docs").alias("docs"), F.avg("clean").alias("share"), F.sum("clean").alias("clean"), F.max("verdict").alias("verdict"))
         means = means.select(

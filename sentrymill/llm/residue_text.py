@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from sentrymill.llm.residue_words import VALUE, WILD
+from sentrymill.llm.residue_words import VALUE, WILD, word_kinds
 
 SLOT = ""
 DEPTH = 4
@@ -203,6 +203,7 @@ class Leaf:
 
     def __init__(self) -> None:
         self.templates: list[list[str]] = []
+        self.masked: list[dict[int, int]] = []  # per template the classes of the words behind each wildcard
         self._at: dict[tuple[int, str], list[int]] = {}
 
     def add(self, segment: str) -> int:
@@ -219,12 +220,18 @@ class Leaf:
                     best, most = k, shared[k]
             if most >= ALIKE * n:
                 template = self.templates[best]
+                masked = self.masked[best]
                 for j, t in enumerate(tokens):
-                    if template[j] != t and template[j] != WILD:
+                    if template[j] == WILD:
+                        masked[j] = masked[j] and (k := word_kinds(t)) and masked[j] | k
+                    elif template[j] != t:
+                        a, b = word_kinds(template[j]), word_kinds(t)
+                        masked[j] = a | b if a and b else 0
                         self._at[(j, template[j])].remove(best)
                         template[j] = WILD
                 return best
             for key in enumerate(tokens):
                 self._at.setdefault(key, []).append(len(self.templates))
         self.templates.append(tokens)
+        self.masked.append({})
         return len(self.templates) - 1

@@ -14,6 +14,7 @@ Verdicts: JUNK, NEUTRAL (title, furniture), UNSURE (the documents it stands in d
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 VALUE = "<*>"
@@ -52,8 +53,8 @@ LEXICON = {
     THING: (
         "page pages= site= website web file files= link links= address url server connection request session document resource account login log-in sign-in token database service services= host gateway content record access permission "
         "right= rights= article item application app= apps= peer network system folder directory feed console upstream backend proxy machine device socket certificate domain query password username user= operation action "
-        "chart map= image video= form= module plugin status= code= id= ref= reference= http https port= socket method route endpoint object key= argument variable index= line= stack trace memory disk time= limit rate= entry room= "
-        "report= brief= "
+        "chart map= image video= form= module plugin status= code= id= ref= reference= http https port= socket method route endpoint object key= argument variable index= line= header queue stack trace memory disk time= limit rate= entry room= "
+        "report= brief= konsole consola "
         "seite datei verbindung anfrage sitzung anmeldung dienst zugriff inhalt rechte= adresse anwendung konto bericht= server "
         "fichier connexion requête serveur accès contenu lien droits= compte "
         "página pagina archivo conexión solicitud sesión servidor acceso contenido permiso enlace sitio recurso cuenta "
@@ -114,11 +115,11 @@ LEXICON = {
         "yesterday noon= night nights= morning evening week weeks= month monday tuesday wednesday thursday friday saturday sunday team crew shift they= he= she= his= her= their= them= who= whose= because= after= since= therefore= then= "
         "gestern nacht= morgens team danach= weil= deshalb= hier= matin soir équipe parce= puis= ensuite= ayer noche mañana equipo porque después ieri notte squadra perché gisteren ploeg вчера потом команд"
     ),
-    MANNER: "internal general unknown= some= any= more= most= going= went= being= been= happen occur aufgetreten survenu producid interner interne interno something= nada algo= etwas quelque qualcosa iets что-то anything= everything= valid= different= another= other= full= several= next= previous= old= new= unexpected= home= inconvenience apolog looks= ocorreu ocurrid inesperad inactivity logged= date=  seems= appear= ",
+    MANNER: "internal general unknown= some= any= more= most= going= went= being= been= happen occur aufgetreten survenu producid interner interne interno something= nada algo= etwas quelque qualcosa iets что-то anything= everything= valid= different= another= other= full= several= next= previous= old= new= unexpected= home= inconvenience apolog looks= ocorreu ocurrid inesperad inactivity logged= date= reason=  seems= appear= ",
 }
 #: Function words; they neither make nor unmake a message.
 FUNCTION_WORDS = frozenset(
-    "the a an and or of to in on at by for from with as is are was were be been being it its it's that's there this that these those if but so do does did has have had will would can could may might must shall should than just also into over out up about your you we our get got gets give gave behind before between under through see saw "
+    "the a an and or of to in on at by for from with as is are was were be been being it its it's that's there this that these those if but so do does did has have had will would can could may might must shall should than just also into over out up about your you we our get got gets give gave behind before between under through see saw came still "
     "der die das den dem des ein eine einen einem einer und oder von zu zum zur im in am an auf bei für mit aus ist sind war waren wird werden wurde wurden hat haben kann können es sie er wir dass wenn um vor nach noch nur über als auch sich dann sobald vor sein "
     "le la les l un une des du de d et ou à au aux en dans par pour sur avec est sont était été être a ont avait sera il elle on que qui se s y c'est cela si mais plus ce cette avant "
     "el los las una unos unas del al y o en por para con es son fue ha han había será se lo que si pero más como antes "
@@ -139,6 +140,9 @@ _NONCE = frozenset("foo bar baz qux quux corge test dummy blah bla lala xxx xyz
 _CLASSIC = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua".split())  # the customary filler passage
 
 
+FUTURE = frozenset("will wird werden sera seront será serán sarà zal будет будут".split())
+
+
 def _stems() -> tuple[dict[str, int], dict[str, int], int]:
     whole: dict[str, int] = {}
     begun: dict[str, int] = {}
@@ -205,12 +209,18 @@ def _meaningless(words: list[str]) -> bool:
     return _latin(words)
 
 
-def _core(bits: int, words: list[str], known: int, other: float) -> bool:
+def word_kinds(token: str) -> int:
+    """The classes of the word in a token of a template, 0 if there is none."""
+    found = _WORD.search(token)
+    return kinds(found.group().lower().replace("’", "'")) if found else 0
+
+
+def _core(bits: int, words: list[str], known: int, other: float, ended: bool) -> bool:
     """Whether classes make the frame of an error, a request after one, a notice or filler."""
     has = lambda *kinds_: all(bits & k for k in kinds_)
     return (
         bits & FAULT != 0
-        or has(NEG, STATE) and (bits & (THING | YOU | TECH) != 0 or len(words) <= 4)
+        or has(NEG, STATE) and (bits & (THING | YOU | TECH | LATER) != 0 or len(words) <= 6)
         or has(NEG, THING)
         or has(NEG, HERE) and bits & (THING | PART) != 0
         or has(ACT, YOU, THING)
@@ -220,7 +230,10 @@ def _core(bits: int, words: list[str], known: int, other: float) -> bool:
         or bits & SAMPLE != 0
         or has(FILL, HERE) and bits & (LATER | YOU | PART) != 0
         or has(FILL, PART)
-        or bits & FILL != 0 and words[:2] == ["to", "be"]
+        or has(FILL, LATER)
+        or bits & FILL != 0 and (("to", "be") in zip(words, words[1:]) or not FUTURE.isdisjoint(words))
+        or has(PART, HERE) and len(words) <= 4
+        or has(ASK, THING) and not other and ended
         or bits & LATER != 0 and known >= 2 and not other and len(words) <= 4
         or kinds(words[0]) & PART != 0 and words[1:2] == ["of"] and len(words) <= 5 and other <= 1
         or has(PART, LATER)
@@ -231,8 +244,9 @@ def _core(bits: int, words: list[str], known: int, other: float) -> bool:
     )
 
 
-def verdict(template: str) -> int:
-    """JUNK, NEUTRAL, UNSURE or CONTENT, by the words of a template."""
+def verdict(template: str, masked: Sequence[int] = ()) -> int:
+    """JUNK, NEUTRAL, UNSURE or CONTENT, by the words of a template; ``masked`` has the classes of the words
+    that its wildcards stand for, 0 where one of them is in none."""
     values, wild = template.count(VALUE), template.count(WILD)
     words = [w.lower().replace("’", "'") for w in _WORD.findall(_MASKS.sub(" ", template))]
     if not words:
@@ -251,11 +265,17 @@ def verdict(template: str) -> int:
             known += 1
         elif k == 0 and (len(w) > 1 and w not in FUNCTION_WORDS):
             other += 1
+    for k in masked:
+        bits |= k
+        if k & ~(NARRATED | HERE | YOU):
+            known += 1
+            wild -= 1
     if wild or values > 1:
         other += 0.25 * wild + 0.5 * (values - 1 if values > 1 else 0)  # places of values, not words
     other += narrated
     cover = known / (known + other) if known + other else 0.0
-    if _core(bits, words, known, other):
+    ended = _END.search(template) is not None
+    if _core(bits, words, known, other, ended):
         if len(words) == 1 and not bits & (FAULT | SAMPLE):
             return NEUTRAL
         if cover >= SURE_COVER:
@@ -263,7 +283,7 @@ def verdict(template: str) -> int:
         return UNSURE if cover >= UNSURE_COVER or len(words) <= 3 else CONTENT
     if len(words) <= 3 or _RULES.search(template) and len(words) <= 12:
         return NEUTRAL
-    if words[0] != template[:1].lower() and len(words) <= 7 and not _END.search(template):
+    if words[0] != template[:1].lower() and len(words) <= 7 and not ended:
         return NEUTRAL
     if cover >= SURE_COVER:
         return UNSURE
