@@ -28,6 +28,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrymill.operators.scoring import FlatTree
 from sentrymill.sources.tables import checkpointed, small_rows
 
 CUTS = 63
@@ -76,6 +77,12 @@ class Tree:
     def to_json(self) -> str:
         return json.dumps([asdict(n) for n in self.nodes])
 
+    def flattened(self) -> FlatTree:
+        """The tree in the arrays of a flat ensemble."""
+        no = [n.feature is None for n in self.nodes]
+        pick = lambda what, empty: tuple(empty if leaf else getattr(n, what) for n, leaf in zip(self.nodes, no))
+        return FlatTree(pick("feature", -1), pick("threshold", 0.0), pick("left", 0), pick("right", 0), tuple(n.value if leaf else 0.0 for n, leaf in zip(self.nodes, no)))
+
     @staticmethod
     def from_json(text: str) -> Tree:
         return Tree([Node(**n) for n in json.loads(text)])

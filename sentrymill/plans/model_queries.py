@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.functions import vectors as v
-from sentrymill.operators import learn, neighbours, network, prepare, trees
+from sentrymill.operators import learn, neighbours, network, prepare, scoring, trees
 from sentrymill.plans import tree_sql
 from sentrymill.plans.views import MEASUREMENTS
 from sentrymill.sources import files
@@ -120,6 +120,15 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(m, round(v, 6)) for m, v in zip(MEASUREMENTS, model.importances(len(MEASUREMENTS)))], "feature string, importance double")
 
 
+def converted_model(spark: SparkSession, d: str) -> DataFrame:
+    """A fitted tree converted to a flat ensemble, through its JSON, and predicted with."""
+    tree = trees.fit_classifier(_flows(spark, d, "train"), "x", "label_family", **BOUNDED)
+    flat, weights = scoring.forest_from_json(scoring.forest_to_json([tree.flattened()], [1.0]))
+    rows = _flows(spark, d, "test").where("label_family IS NOT NULL")
+    x = [F.coalesce(F.get("x", F.lit(i)), F.lit(0.0)) for i in range(len(MEASUREMENTS))]
+    return rows.select("record_id", F.col("label_family").cast("double").alias("label"), scoring.forest_score(flat, weights, x).alias("prediction"))
+
+
 def best_split(spark: SparkSession, d: str) -> DataFrame:
     """The best split of all training rows by the Gini impurity of label_binary: feature, threshold, rows to the left, score."""
     model = trees.fit_classifier(_flows(spark, d, "train"), "x", "label_binary", max_depth=1)
@@ -202,7 +211,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            decision_tree, decision_tree_regressor, random_forest, gradient_boosting, perceptron, feature_importance, best_split, golden_models, grid_search, random_search, model_registry,
+            decision_tree, decision_tree_regressor, random_forest, gradient_boosting, perceptron, feature_importance, converted_model, best_split, golden_models, grid_search, random_search, model_registry,
             csv_round_trip, mixed_directory, dataset_bundle,
         )
     },
@@ -223,6 +232,7 @@ q AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_distance(a.v, b.v) A
 """
 
 SQL = {
+    "converted_model": tree_sql.predicted("label_family", "gini", 4),
     "decision_tree": tree_sql.predicted("label_family", "gini", 4),
     "decision_tree_regressor": tree_sql.predicted("label_family", "mse", 4).replace("value AS prediction", "round(value, 6) AS prediction"),
     "random_forest": tree_sql.forest("label_family", 5, 4),

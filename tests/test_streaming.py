@@ -140,3 +140,17 @@ def test_polled_by_the_clock(spark, rows, tmp_path):
     seen = []
     sp.run_polled(stream(spark, rows[1]), str(tmp_path), lambda df, i: seen.append(df.count()), 0.2, 6)
     assert sum(seen) == 240
+
+
+def test_callables_get_what_closes_and_their_own_keys(spark, packets, rows, rocksdb, tmp_path):
+    closed = []
+    live = sp.with_event_time(sp.from_files(spark, packets[1], PACKETS), "ts", "1 second")
+    sp.on_flow_closed(live, 8, lambda flows, batch: closed.append(flows.count()), str(tmp_path / "a"))
+    assert sum(closed) > 10
+    got = {"a": 0, "b": 0}
+    calls = sp.Callbacks("k")
+    for name in got:
+        calls.subscribe(name, lambda df, batch, name=name: got.__setitem__(name, got[name] + df.count()))
+    calls.unsubscribe("b")
+    sp.run_batches(stream(spark, rows[1]), str(tmp_path / "b"), calls)
+    assert got == {"a": rows[0].where("k = 'a'").count(), "b": 0}
