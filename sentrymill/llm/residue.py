@@ -74,12 +74,19 @@ def _scan(key_type: pa.DataType):
         columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    def edges(part: str, keys: list, hashes: list[int], documents: list[int] | None) -> pa.RecordBatch:
+        n = len(hashes)
+        other = pa.array(documents, pa.int64()) if documents is not None else pa.nulls(n, pa.int64())
+        columns = [pa.repeat(pa.scalar(part), n), pa.array(keys, key_type), pa.array(hashes, pa.int64()), pa.nulls(n, pa.int64()), other, pa.nulls(n, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         through: Counter = Counter()
         slotted: Counter = Counter()
-        templates: Counter = Counter()
+        counted: Counter = Counter()  # documents of each distinct segment, by hash, and its text
+        text_of: dict[int, str] = {}
         passed: Counter = Counter()  # segments, whose nodes are counted when the counts are written
         known: dict[str, tuple] = {}
         start_of_text, many = _hash(START), _hash(MANY)
@@ -92,8 +99,8 @@ def _scan(key_type: pa.DataType):
                     through[k] += n
             rows = [("tree", None, h, n, slotted.get(h, 0), None) for h, n in through.items()]
             rows += [("tree", None, h, 0, n, None) for h, n in slotted.items() if h not in through]
-            rows += [("segment", None, h, n, _hash(leaf(t.split(" "))), t) for (h, t), n in templates.items()]
-            for c in (through, slotted, templates, passed):
+            rows += [("segment", None, h, n, _hash(leaf(text_of[h].split(" "))), text_of[h]) for h, n in counted.items()]
+            for c in (through, slotted, counted, text_of, passed):
                 c.clear()
             return rows
 
@@ -112,7 +119,7 @@ def _scan(key_type: pa.DataType):
         for whole in batches:
             for start in range(0, whole.num_rows, 1_024):
                 b = whole.slice(start, 1_024)
-                rows: list[tuple] = []
+                at_keys, at_hashes, at_documents, slot_keys, slot_hashes = [], [], [], [], []
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     document += 1
                     own: dict[int, str] = {}
@@ -139,18 +146,25 @@ def _scan(key_type: pa.DataType):
                         lookups.update(bare)
                         if all(verdict(own[h]) != CONTENT for h in worded):
                             lookups.add(many)
-                    templates.update(own.items())
-                    chars += sum(map(len, own.values()))
-                    rows += [("document", key, h, None, document, None) for h in own]
-                    rows += [("slot", key, h, None, None, None) for h in lookups]
-                if len(through) + len(passed) + len(templates) > _HELD or chars > _HELD_CHARS:
-                    rows += held()
-                    chars = 0
-                if rows:
-                    yield block(rows)
+                    counted.update(own.keys())
+                    for h, template in own.items():
+                        if h not in text_of:
+                            text_of[h] = template
+                            chars += len(template)
+                    at_keys += [key] * len(own)
+                    at_hashes += own
+                    at_documents += [document] * len(own)
+                    slot_keys += [key] * len(lookups)
+                    slot_hashes += lookups
+                yield edges("document", at_keys, at_hashes, at_documents)
+                yield edges("slot", slot_keys, slot_hashes, None)
+                if len(through) + len(passed) + len(counted) > _HELD or chars > _HELD_CHARS:
+                    rest, chars = held(), 0
+                    for first in range(0, len(rest), 20_000):
+                        yield block(rest[first : first + 20_000])
         rest = held()
-        for start in range(0, len(rest), 20_000):
-            yield block(rest[start : start + 20_000])
+        for first in range(0, len(rest), 20_000):
+            yield block(rest[first : first + 20_000])
 
     return run
 
