@@ -49,7 +49,7 @@ LEAST_AGREEING = 13
 TOLERANCE = 0.01
 GRAM = 4
 CELL = 0.1
-PAIR_BOUND = 200_000
+PAIR_BOUND = 50_000
 #: Measurements that a sketch has room for; of further ones it says nothing.
 SKETCHED = 16
 _LOWEST = 0x1111111111111111
