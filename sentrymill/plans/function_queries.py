@@ -114,10 +114,13 @@ def event_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a model predicts the same after it was saved and loaded."""
     c = table(spark, d, "combined_dataset")
     train, test = (learn.assembled(c.where(x), MEASUREMENTS, "label_binary", "record_id") for x in ("split = 'train'", "split = 'valid'"))
-    model = learn.saved(learn.fitted("decision_tree", train), scratch(spark, "model"))
-    return learn.predictions(model, test, "record_id")
+    fitted = learn.fitted("decision_tree", train)
+    loaded = learn.saved(fitted, scratch(spark, "model"))
+    again = loaded.transform(fitted.transform(test).select("record_id", "label", "features", F.col("prediction").alias("before")))
+    return again.select("record_id", "label", (F.col("before") == F.col("prediction")).alias("same"))
 
 
 QUERIES = {
@@ -136,6 +139,7 @@ s AS (SELECT d.user_id, d.event_id, d.t0 AS pressed, u.t0 AS released FROM n d L
 """
 
 SQL = {
+    "model_round_trip": "SELECT record_id, label_binary::DOUBLE AS label, true AS same FROM combined_dataset WHERE split = 'valid' AND label_binary IS NOT NULL",
     "display_codes": """WITH h AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(username, ''), lambda c: unicode(c)::BIGINT)), lambda h, u: (h * 31 + u) % 4294967296) AS h FROM contacts WHERE username IS NOT NULL)
 SELECT id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash, 'CODE-' || substr(lpad(upper(to_hex(h % 2147483648)), 8, '0'), 1, 4) || '-' || substr(lpad(upper(to_hex(h % 2147483648)), 8, '0'), 5, 4) AS code, 'user:' || id AS key FROM h""",
     "time_formats": """SELECT feed_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, ((epoch_us(ts) // 1000000) % 4000 // 60) || 'm ' || ((epoch_us(ts) // 1000000) % 4000 % 60) || 's' AS elapsed, epoch_us(ts) // 1000 AS ms FROM feed WHERE ts IS NOT NULL""",

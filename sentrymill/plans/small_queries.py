@@ -173,6 +173,17 @@ QUERIES = {
 _LE = lambda e, n: "(" + " || ".join(f"lpad(lower(to_hex((({e})::BIGINT >> {8 * i}) & 255)), 2, '0')" for i in range(n)) + ")"
 
 SQL = {
+    "bandit_arms": """WITH RECURSIVE f AS (SELECT src_ip, feed_id, malicious_probability::DOUBLE AS p, row_number() OVER (PARTITION BY src_ip ORDER BY feed_id) AS i,
+  [CASE WHEN malicious_probability > 0.9 THEN -100 ELSE (1 - malicious_probability) * 10 END, CASE WHEN malicious_probability > 0.9 + 1.0 / 100 THEN -100 ELSE (1 - malicious_probability * 0.6) * 10 - 1 END,
+   CASE WHEN malicious_probability > 0.9 + 2.0 / 100 THEN -100 ELSE (1 - malicious_probability * 0.2) * 10 - 2 END]::DOUBLE[] AS rewards FROM feed WHERE malicious_probability IS NOT NULL AND src_ip IS NOT NULL),
+r AS (SELECT src_ip, 0::BIGINT AS feed_id, 0::BIGINT AS i, 0 AS arm, 0.0::DOUBLE AS reward, [{'a': 1.0::DOUBLE, 'b': 0.0::DOUBLE, 'c': 1.0::DOUBLE, 'u': 0.0::DOUBLE, 'v': 0.0::DOUBLE} for k in range(3)] AS arms FROM (SELECT DISTINCT src_ip FROM f)
+UNION ALL SELECT src_ip, feed_id, i, arm, rewards[arm + 1], list_transform(arms, lambda x, k: CASE WHEN k = arm + 1 THEN
+    {'a': x.a - (x.a + x.b * p) ** 2 / q, 'b': x.b - (x.a + x.b * p) * (x.b + x.c * p) / q, 'c': x.c - (x.b + x.c * p) ** 2 / q, 'u': x.u + rewards[k], 'v': x.v + rewards[k] * p} ELSE x END)
+FROM (SELECT *, 1 + (arms[arm + 1].a + arms[arm + 1].b * p) + p * (arms[arm + 1].b + arms[arm + 1].c * p) AS q FROM (
+  SELECT *, list_position(bounds, list_max(bounds)) - 1 AS arm FROM (
+    SELECT f.*, r.arms, list_transform(r.arms, lambda x: round(x.u * (x.a + x.b * f.p) + x.v * (x.b + x.c * f.p) + sqrt(greatest(0.0, (x.a + x.b * f.p) + f.p * (x.b + x.c * f.p))), 12)) AS bounds
+    FROM r JOIN f ON f.src_ip = r.src_ip AND f.i = r.i + 1))))
+SELECT src_ip, feed_id, arm::INT AS arm, round(reward, 6) AS reward FROM r WHERE i > 0""",
     "doc_exists": "SELECT 'open' AS name, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O') AS found UNION ALL SELECT 'none', EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = '?')",
     "tensor_apply": "SELECT vec_id, pos, round(x / (1 + abs(x)), 5) + 0.0 AS x FROM (SELECT vec_id, unnest(range(len(embedding)))::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)",
     "estimator_scores": "SELECT kind, 1.0::DOUBLE AS score FROM (VALUES ('tree'), ('regressor'), ('forest'), ('boosted')) AS t(kind)",
