@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.operators import trees
@@ -104,6 +104,14 @@ def area(model, rows: DataFrame) -> float:
     return BinaryClassificationEvaluator().evaluate(model.transform(rows))
 
 
+def f1_weights(models: dict[str, Column], rows: DataFrame, label: str) -> dict[str, float]:
+    """F1 of each model's predictions (columns of 0 and 1) over labelled rows, from one aggregation; 0 where nothing is found."""
+    y = F.col(label) > 0.5
+    counts = [F.struct(F.count_if(y & (c > 0.5)).alias("tp"), F.count_if(~y & (c > 0.5)).alias("fp"), F.count_if(y & ~(c > 0.5)).alias("fn")).alias(n) for n, c in models.items()]
+    row = rows.where(F.col(label).isNotNull()).agg(*counts).first()
+    return {n: 2 * row[n].tp / d if (d := 2 * row[n].tp + row[n].fp + row[n].fn) else 0.0 for n in models}
+
+
 class Estimator:
     """A learner with settings: ``fit`` and ``score`` on rows (features, label); ``set_params`` gives a new one."""
 

@@ -129,6 +129,15 @@ def converted_model(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", F.col("label_family").cast("double").alias("label"), scoring.forest_score(flat, weights, x).alias("prediction"))
 
 
+def f1_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """Seven models weighted by their F1 on the validation split; positive above 0.5."""
+    forest = trees.fit_forest(_flows(spark, d, "train"), "x", "label_binary", "record_id", trees=7, max_depth=2)
+    models = {f"m{i}": t.column(F.col("x")) for i, t in enumerate(forest.trees)}
+    weights = learn.f1_weights(models, _flows(spark, d, "valid"), "label_binary")
+    score = F.round(scoring.weighted_vote(models, weights), 6)
+    return _flows(spark, d, "test").select("record_id", score.alias("score"), (score > 0.5).alias("malicious"))
+
+
 def best_split(spark: SparkSession, d: str) -> DataFrame:
     """The best split of all training rows by the Gini impurity of label_binary: feature, threshold, rows to the left, score."""
     model = trees.fit_classifier(_flows(spark, d, "train"), "x", "label_binary", max_depth=1)
@@ -211,7 +220,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            decision_tree, decision_tree_regressor, random_forest, gradient_boosting, perceptron, feature_importance, converted_model, best_split, golden_models, grid_search, random_search, model_registry,
+            decision_tree, decision_tree_regressor, random_forest, gradient_boosting, perceptron, feature_importance, converted_model, f1_ensemble, best_split, golden_models, grid_search, random_search, model_registry,
             csv_round_trip, mixed_directory, dataset_bundle,
         )
     },
@@ -232,6 +241,7 @@ q AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_distance(a.v, b.v) A
 """
 
 SQL = {
+    "f1_ensemble": tree_sql.f1_weighted("label_binary", 7, 2),
     "converted_model": tree_sql.predicted("label_family", "gini", 4),
     "decision_tree": tree_sql.predicted("label_family", "gini", 4),
     "decision_tree_regressor": tree_sql.predicted("label_family", "mse", 4).replace("value AS prediction", "round(value, 6) AS prediction"),

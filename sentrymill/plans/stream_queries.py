@@ -108,6 +108,13 @@ def stream_flows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("pair", "start_us", "last_us", "packets", "bytes", "fwd_packets", "close_reason")
 
 
+def stream_publish(spark: SparkSession, d: str) -> DataFrame:
+    """Messages published by chat as JSON and read again from the channels."""
+    out = _stream(spark, d, "messages").where("chat_id IS NOT NULL").select("chat_id", "delivery_id", "text")
+    place = sp.publish(out, "chat_id", _folder(spark))
+    return spark.read.schema("delivery_id bigint, text string, chat_id string").json(place).select("chat_id", "delivery_id", F.length("text").alias("characters"))
+
+
 def stream_callbacks(spark: SparkSession, d: str) -> DataFrame:
     """Rows that the callables of two event types were given."""
     given: list[tuple[str, int]] = []
@@ -121,7 +128,7 @@ def stream_callbacks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_sessions, stream_dedup, stream_counts, stream_counters, stream_response, stream_rate_limiter, stream_ledger, stream_subscribers, stream_last_rows, stream_flows, stream_callbacks)
+    for f in (stream_sessions, stream_dedup, stream_counts, stream_counters, stream_response, stream_rate_limiter, stream_ledger, stream_subscribers, stream_last_rows, stream_flows, stream_callbacks, stream_publish)
 }
 
 
@@ -140,6 +147,7 @@ g AS (SELECT pair, segment, min(us) AS start_us, max(us) AS last_us, count(*) AS
 w AS (SELECT g.pair, g.segment, count(*) FILTER (s.src_ip || ':' || s.src_port = g.source) AS fwd_packets FROM g JOIN segd s ON s.pair = g.pair AND s.segment = g.segment GROUP BY 1, 2)
 SELECT g.pair, start_us, last_us, packets, bytes, fwd_packets, close_reason FROM g JOIN w ON w.pair = g.pair AND w.segment = g.segment
 WHERE close_reason = 'fin_rst' OR EXISTS (SELECT 1 FROM g n WHERE n.pair = g.pair AND n.segment = g.segment + 1) OR last_us + {GAP_SECONDS}000000 < (SELECT max(us) FROM packets)""",
+    "stream_publish": "SELECT chat_id, delivery_id, length(text)::INT AS characters FROM messages WHERE chat_id IS NOT NULL",
     "stream_callbacks": "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1",
     "stream_sessions": f"""WITH m AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {GAP_SECONDS}000000 THEN 0 ELSE 1 END AS f, ts, event_id FROM events),
 s AS (SELECT user_id, us, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(us) AS start_us, count(*) AS packets FROM s GROUP BY user_id, g""",

@@ -83,6 +83,18 @@ te AS (SELECT record_id AS id, {_X} AS x FROM combined_dataset WHERE split = 'te
 SELECT t.id AS record_id, {features} AS scaled, {features} AS features, {trees} AS models, round(avg(value), 4) AS vote FROM g_t{depth} t JOIN g_v USING (tree, node) GROUP BY 1"""
 
 
+def f1_weighted(label: str, trees: int, depth: int) -> str:
+    """Votes of a forest's trees, weighted by their F1 on the validation split, for every test row."""
+    g = grown("g", "tr", "te", "gini", CLASSES[label], depth)
+    return f"""WITH r AS ({rows_of('train', label)}), tr AS (SELECT tree, id, x, y, {copies('tree')} AS w FROM r, range({trees}) AS s(tree)),
+te AS (SELECT record_id AS id, {_X} AS x, split, {label} AS label FROM combined_dataset WHERE split IN ('valid', 'test')),
+{g},
+p AS (SELECT t.id, tree, value, te.split, te.label FROM g_t{depth} t JOIN g_v USING (tree, node) JOIN te ON te.id = t.id),
+c AS (SELECT tree, count(*) FILTER (label = 1 AND value = 1) AS tp, count(*) FILTER (label = 0 AND value = 1) AS fp, count(*) FILTER (label = 1 AND value = 0) AS fn FROM p WHERE split = 'valid' AND label IS NOT NULL GROUP BY 1),
+f AS (SELECT tree, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c)
+SELECT id AS record_id, round(sum(value * f1) / sum(f1), 6) AS score, round(sum(value * f1) / sum(f1), 6) > 0.5 AS malicious FROM p JOIN f USING (tree) WHERE split = 'test' GROUP BY 1"""
+
+
 def importances(label: str, depth: int) -> str:
     """Impurity taken away by the splits of each feature, as shares."""
     names = [f"s{i}" for i in CLASSES[label]]

@@ -299,6 +299,14 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def publish(stream: DataFrame, channel: str, folder: str, fmt: str = "json", **options) -> str:
+    """Writes what arrives to a sink with one place per channel, each row once; returns the place. ``fmt`` is any sink format of the session that takes a path."""
+    writer = stream.writeStream.format(fmt).outputMode("append").partitionBy(channel).options(**options)
+    query = writer.option("path", f"{folder}/published").option("checkpointLocation", f"{folder}/published-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return f"{folder}/published"
+
+
 def run_batches(stream: DataFrame, folder: str, each, mode: str = "append") -> None:
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
