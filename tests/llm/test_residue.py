@@ -258,6 +258,13 @@ def test_repeated_documents_count_each_and_rest_is_kept(spark):
     assert {r.doc_id for r in without_residue(df).collect()} == set(range(5, 10))
 
 
+def test_null_repeated_and_text_keys_are_judged_each(spark):
+    rng = random.Random(9)
+    rows = [(f"k{i}", t) for i, t in enumerate(reports(8, rng))] + [(None, "Page not found."), (None, reports(1, rng)[0]), ("twice", "Please enable JavaScript."), ("twice", reports(1, rng)[0])]
+    df = spark.createDataFrame(rows, "doc string, body string")
+    assert {r.doc for r in Residue(df, "doc", "body").found().collect()} == {None, "twice"}
+
+
 def test_code_quotes_and_addresses_hide_slots():
     for t in ("set `{{host}}` first", '"{name}" is the key', "asked for /index?id={0} twice", "```\nexport A=${B}\n```"):
         assert SLOT not in marked(t), t
