@@ -8,6 +8,7 @@ which isn't assumed; a reader for one would replace ``_slice``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -72,6 +73,7 @@ class _Stream(SimpleDataSourceStreamReader):
         import pyarrow.compute as pc
 
         self.path, self.slice = options["path"], int(float(options.get("slice_seconds", "10")) * 1_000_000)
+        self.retries, self.pause = int(options.get("retries", "3")), float(options.get("pause_seconds", "1"))
         self.first, self.last = 0, -1
         found: list[int] = []
         for b in _dataset(self.path).to_batches(columns=["ts"]):
@@ -83,13 +85,24 @@ class _Stream(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"us": self.first}
 
+    def _tried(self, begin: int, length: int) -> list[tuple]:
+        """A slice; a read that fails is begun again, up to ``retries`` times."""
+        for left in range(self.retries, -1, -1):
+            try:
+                return _slice(self.path, begin, length)
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(self.pause)
+        return []
+
     def read(self, start):
         if start["us"] > self.last:
             return iter([]), start
-        return iter(_slice(self.path, start["us"], self.slice)), {"us": start["us"] + self.slice}
+        return iter(self._tried(start["us"], self.slice)), {"us": start["us"] + self.slice}
 
     def readBetweenOffsets(self, start, end):
-        return iter(_slice(self.path, start["us"], end["us"] - start["us"]))
+        return iter(self._tried(start["us"], end["us"] - start["us"]))
 
     def commit(self, end):
         pass

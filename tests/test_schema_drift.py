@@ -111,3 +111,10 @@ def test_rows_of_the_table_stay_in_place(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     first, second = out.orderBy("export_row_id").collect()
     assert first.dst_port == 7 and first.other == {"k": "2", "z": None} and second.dst_port is None and second.other is None
+
+
+def test_no_aliases_and_no_rows(spark):
+    d = drift(spark, [("e", 0, "f0", '{"a": 1}')], [])
+    (r,) = d.unified({}).collect()
+    assert r.other == {"a": "1"} and r.branches == {} and d.converting_types().count() == 0
+    assert drift(spark, []).unified({"dst_port": "integer"}).count() == 0 and drift(spark, []).alternative_changes().count() == 0

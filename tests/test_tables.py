@@ -75,6 +75,29 @@ def test_replayed_packets_come_in_slices(spark, tmp_path):
     assert sum(sizes) == 6 and max(sizes) <= 2
 
 
+def test_a_failed_read_of_the_capture_is_begun_again(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from sentrymill.sources import replay
+
+    spark.createDataFrame([(1, datetime(2025, 1, 1), "a", "b", 1, 2, 6, 10, 0, 0)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "p"))
+    whole, failures = replay._slice, []
+
+    def shaky(*args):
+        if len(failures) < 2:
+            failures.append(1)
+            raise OSError("gone")
+        return whole(*args)
+
+    monkeypatch.setattr(replay, "_slice", shaky)
+    stream = replay._Stream({"path": str(tmp_path / "p"), "pause_seconds": "0"})
+    rows, after = stream.read(stream.initialOffset())
+    assert len(list(rows)) == 1 and len(failures) == 2 and list(stream.read(after)[0]) == []
+    failures.clear()
+    with pytest.raises(OSError):
+        replay._Stream({"path": str(tmp_path / "p"), "pause_seconds": "0", "retries": "1"}).read(stream.initialOffset())
+
+
 def test_matrices(spark):
     import numpy as np
 
