@@ -39,7 +39,7 @@ ALIAS_BOUND = 10_000
 
 def folded_name(c: Column) -> Column:
     """A field name without letter case, spaces, underscores, dots and hyphens."""
-    return F.regexp_replace(F.lower(c), r"[ _.\-]", "")
+    return F.translate(F.lower(c), " _.-", "")
 
 
 def _unquoted(token: Column) -> Column:
