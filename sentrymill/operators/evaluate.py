@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions.stats import clip, ratio, zero
 from sentrymill.operators.ordering import running_sum
+from sentrymill.sources.tables import bounded_broadcast
 
 
 def confusion(df: DataFrame, truth: Column, predicted: Column, threshold: float = 0.5) -> DataFrame:
@@ -66,23 +67,22 @@ def class_impurity(df: DataFrame, groups: list[str], label: str) -> DataFrame:
 
 
 def value_impurity(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Variance about the mean, and mean absolute distance from the upper median, per group.
+    """Variance about the mean, and mean absolute distance from the upper median, per group; without groups of all rows.
 
     The upper median is the smallest value with more than half of the rows at or below it, taken from
-    the counts of distinct values.
+    running counts of the distinct values over all groups, so that no task holds a group.
     """
-    from pyspark.sql import Window
-
-    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("v"))
-    counted = rows.groupBy(*groups, "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*groups)
-    placed = counted.withColumns({"upto": F.sum("c").over(w.orderBy("v")), "n": F.sum("c").over(w)})
-    median = placed.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*groups).agg(F.min("v").alias("median"))
-    mid = counted.join(median, groups).groupBy(*groups).agg(
-        F.sum("c").alias("n"), (F.sum(F.abs(F.col("v") - F.col("median")) * F.col("c")) / F.sum("c")).alias("mae"), F.max("median").alias("median")
-    )
-    mse = rows.groupBy(*groups).agg(F.var_pop("v").alias("mse"))
-    return mid.join(mse, groups).select(*groups, "n", "median", zero(F.col("mse")).alias("mse"), "mae")
+    g = F.struct(*groups) if groups else F.lit(0)
+    rows = df.where(F.col(value).isNotNull()).select(g.alias("g"), F.col(value).cast("double").alias("v"))
+    counted = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
+    running = running_sum(counted, [F.col("g"), F.col("v")], F.col("c"), "upto")
+    whole = running.groupBy(F.col("g").alias("k")).agg(F.min(F.col("upto") - F.col("c")).alias("before"), F.sum("c").alias("n"))
+    same = F.col("g").eqNullSafe(F.col("k"))
+    half = F.col("upto") - F.col("before") > F.floor(F.col("n") / 2)
+    median = running.join(bounded_broadcast(whole), same).where(half).groupBy("k", "n").agg(F.min("v").alias("median"))
+    mae = counted.join(bounded_broadcast(median), same).groupBy("k", "n", "median").agg((F.sum(F.abs(F.col("v") - F.col("median")) * F.col("c")) / F.sum("c")).alias("mae"))
+    mse = rows.groupBy("g").agg(F.var_pop("v").alias("mse"))
+    return mae.join(mse, same).select(*[F.col(f"g.{c}").alias(c) for c in groups], "n", "median", zero(F.col("mse")).alias("mse"), "mae")
 
 
 def split_score(left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:

@@ -137,11 +137,14 @@ class Database:
         ]
         return spark.createDataFrame(rows, "collection string, index string, fields string")
 
+    def ping(self) -> str:
+        return "PONG"
+
     def info(self, spark, version: str = "1") -> DataFrame:
         """Number of collections, indexes and documents."""
         counts = [df.agg(F.count("*").alias("n")) for df in self.collections.values()]
         total = reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("documents")) if counts else spark.range(1).select(F.lit(0).cast("bigint").alias("documents"))
-        return total.select(F.lit(len(self.collections)).alias("collections"), F.lit(sum(map(len, self.indexes.values()))).alias("indexes"), "documents", F.lit(version).alias("version"))
+        return total.select(F.lit(len(self.collections)).alias("collections"), F.lit(sum(map(len, self.indexes.values()))).alias("indexes"), "documents", F.lit(version).alias("version"), F.lit(self.ping()).alias("answer"))
 
 
 class Users:

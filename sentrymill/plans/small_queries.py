@@ -217,7 +217,7 @@ SELECT sender, coalesce(epoch_us(TIMESTAMP '{NOW}') // 1000000 - CAST(floor(epoc
 a AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS member FROM lineitem WHERE l_suppkey <= 3)
 SELECT a.key, a.member, CASE WHEN p.p_size > 25 THEN NULL ELSE z.score END AS score FROM a LEFT JOIN z USING (key, member) LEFT JOIN part p ON p.p_partkey = a.member""",
     "index_list": "SELECT * FROM (VALUES ('customers', 'by_key', 'c_custkey:1'), ('customers', 'by_place', 'c_nationkey:1,c_acctbal:-1'), ('orders', NULL, NULL), ('spare', NULL, NULL)) AS t(collection, index, fields)",
-    "store_info": "SELECT 3 AS collections, 1 AS indexes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM region) AS documents, '1' AS version",
+    "store_info": "SELECT 3 AS collections, 1 AS indexes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM region) AS documents, '1' AS version, 'PONG' AS answer",
     "user_accounts": """WITH u AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'read-only' END WHEN c_custkey % 3 = 0 AND c_custkey % 9 <> 0 THEN 'read-write' END AS role FROM customer)
 SELECT name, CASE WHEN k % 5 = 0 THEN 'read-write' ELSE role END AS role FROM u WHERE role IS NOT NULL AND k % 7 <> 0""",
     "preprocessed_bundle": f"SELECT record_id, label_binary, {', '.join(f'round({m}::FLOAT::DOUBLE, 0) AS {m}' for m in MEASUREMENTS[:3])} FROM combined_dataset",

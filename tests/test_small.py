@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions import codec
 from sentrymill.functions.stats import _row_entropies
-from sentrymill.operators import layers, learn, state, store
+from sentrymill.operators import evaluate, layers, learn, state, store
 
 
 def test_headers_are_little_endian_and_come_back(spark):
@@ -111,3 +111,12 @@ def test_searches_and_estimators(spark):
     assert abs(learn.Estimator("regressor", max_depth=0).fit(df).score(df)) < 1e-12 and learn.Estimator("tree").set_params(max_depth=1).fit(df).score(df.where("key < 0")) == 0.0
     with pytest.raises(ValueError):
         learn.Estimator("tree").score(df)
+
+
+def test_value_impurity_with_and_without_groups(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", 9.0), (None, 5.0), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: (r.n, r.median, r.mse, r.mae) for r in evaluate.value_impurity(df, ["k"], "x").collect()}
+    assert got == {"a": (4, 4.0, np.var([1, 2, 4, 9]), 2.5), None: (1, 5.0, 0.0, 0.0)}
+    (r,) = evaluate.value_impurity(df, [], "x").collect()
+    assert (r.n, r.median) == (5, 4.0) and np.isclose(r.mae, 2.2) and evaluate.value_impurity(df.where("x > 99"), [], "x").count() == 0
