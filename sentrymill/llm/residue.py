@@ -283,5 +283,7 @@ class Residue:
 
 
 def without_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that aren't residue, whole."""
-    return documents.join(Residue(documents, key, text).found(), key, "left_anti")
+    """The documents that aren't residue, whole. Of documents with a null or repeated key only those whose own text is residue are left out."""
+    whole = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text"))
+    gone = Residue(documents.select(whole.alias("__d"), F.col(text).alias("text")), "__d", "text").found()
+    return documents.join(gone, whole.eqNullSafe(gone["__d"]), "left_anti")

@@ -263,6 +263,8 @@ def test_null_repeated_and_text_keys_are_judged_each(spark):
     rows = [(f"k{i}", t) for i, t in enumerate(reports(8, rng))] + [(None, "Page not found."), (None, reports(1, rng)[0]), ("twice", "Please enable JavaScript."), ("twice", reports(1, rng)[0])]
     df = spark.createDataFrame(rows, "doc string, body string")
     assert {r.doc for r in Residue(df, "doc", "body").found().collect()} == {None, "twice"}
+    kept = [r.body for r in without_residue(df, "doc", "body").collect()]
+    assert sorted(kept) == sorted(t for _, t in rows if t not in ("Page not found.", "Please enable JavaScript."))
 
 
 def test_code_quotes_and_addresses_hide_slots():
