@@ -242,12 +242,16 @@ class DriftingFiles:
 
         named = read.withColumn("pairs", F.transform("pairs", entry))
         typed = named.withColumn("pairs", F.transform("pairs", lambda e: e.withField("kind", F.element_at(kind_of, e["field"]) if known else F.lit(None).cast("string"))))
+        own_fields = F.transform("pairs", lambda e: e["field"])
+        once = F.size(F.array_distinct(own_fields)) == F.size("pairs")
+        typed = typed.withColumn("by_field", F.when(once, F.map_from_entries(F.transform("pairs", lambda e: F.struct(e["field"], e)))))
 
         def column(name: str) -> Column:
             kind = canonical.get(name, "text")
             own = F.filter("pairs", lambda e: e["field"] == name)
             value = lambda e: e["value"] if kind == "text" else _converted(e["value"], e["tag"], kind).cast(kinds[kind])
-            return F.array_max(F.transform(own, value)).alias(name)
+            single = value(F.element_at("by_field", name))
+            return F.when(F.col("by_field").isNotNull(), single).otherwise(F.array_max(F.transform(own, value))).alias(name)
 
         def fits(e: Column) -> Column:
             held = [F.when(e["kind"] == k, _converted(e["value"], e["tag"], k).isNotNull()) for k in ("boolean", "integer", "decimal")]
