@@ -22,8 +22,14 @@ from sentrymill.operators.redelivery import KEY_SCHEMA, RANGE_SCHEMA, accept_onc
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def from_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def from_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1, bytes_per_batch: int | None = None) -> DataFrame:
+    """Files of a folder in micro-batches of so many files, or of so many bytes if those are given; without either, all that is there is one micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    elif files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -65,6 +71,17 @@ def for_subscribers(published: DataFrame, subscriptions: DataFrame) -> DataFrame
     return published.join(subscriptions.select("subscriber", F.explode("channels").alias("channel")), "channel")
 
 
+def receivers(subscriptions: DataFrame) -> DataFrame:
+    """(channel, copies, subscribers) of (subscriber, channels array): rows that ``for_subscribers`` makes of one row of the channel, and the different subscribers."""
+    each = subscriptions.select("subscriber", F.explode("channels").alias("channel"))
+    return each.groupBy("channel").agg(F.count("*").alias("copies"), F.count_distinct("subscriber").alias("subscribers"))
+
+
+def with_receivers(published: DataFrame, receiving: DataFrame) -> DataFrame:
+    """Stream-static join with ``receivers``: each row of a channel that has subscribers once, however many they are."""
+    return published.join(receiving, "channel")
+
+
 class TierProcessor(StatefulProcessor):
     """Response tiers of one source; its state is the transition's state as one JSON value."""
 

@@ -154,3 +154,20 @@ def test_callables_get_what_closes_and_their_own_keys(spark, packets, rows, rock
     calls.unsubscribe("b")
     sp.run_batches(stream(spark, rows[1]), str(tmp_path / "b"), calls)
     assert got == {"a": rows[0].where("k = 'a'").count(), "b": 0}
+
+
+def test_messages_are_kept_once_however_many_subscribe(spark, tmp_path, monkeypatch):
+    from sentrymill.plans import stream_queries
+
+    data = [(i, "ab"[i % 2], f"s{i % 8}") for i in range(40)] + [(40, "c", None), (41, None, "s1")]
+    spark.createDataFrame(data, "delivery_id long, chat_id string, sender string").repartition(3).write.parquet(f"{tmp_path}/messages.parquet")
+    kept, run_once = [], sp.run_once
+
+    def watched(*args):
+        kept.append(run_once(*args))
+        return kept[-1]
+
+    monkeypatch.setattr(sp, "run_once", watched)
+    got = stream_queries.stream_subscribers(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("a", 80, 4), ("b", 80, 4)]
+    assert kept[0].count() == 40
