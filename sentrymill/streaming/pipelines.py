@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,8 @@ def with_receivers(published: DataFrame, receiving: DataFrame) -> DataFrame:
 class TierProcessor(StatefulProcessor):
     """Response tiers of one source; its state is the transition's state as one JSON value."""
 
+    COLUMNS = {"us": "Int64", "action": "object", "tier": "Int32", "score": "Float64", "hits": "Int32", "blocked_tier": "Int32"}
+
     def __init__(self, window_us: int, block_us: int):
         self.window_us, self.block_us = window_us, block_us
 
@@ -94,14 +97,14 @@ class TierProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = json.loads(self.held.get()[0]) if self.held.exists() else None
         out = []
-        whole = pd.concat(list(rows)).sort_values(["us", "o"])
-        for us, score in zip(whole["us"].tolist(), whole["score"].tolist()):
+        us_of, o_of, score_of = (np.concatenate(c) for c in zip(*[[f[c].to_numpy() for c in ("us", "o", "score")] for f in rows]))
+        order = np.lexsort((o_of, us_of))
+        for us, score in zip(us_of[order].tolist(), score_of[order].tolist()):
             s, actions = state.control_transition(s, us) if score != score else state.tier_transition(s, us, score, self.window_us, self.block_us)  # no score: unblocked by hand
-            out += [(key[0], *a) for a in actions]
+            out += actions
         self.held.update((json.dumps(s),))
-        columns = ["k", "us", "action", "tier", "score", "hits", "blocked_tier"]
-        frame = pd.DataFrame(out, columns=columns).astype({"tier": "Int32", "hits": "Int32", "blocked_tier": "Int32", "us": "Int64"})
-        yield frame
+        if out:
+            yield pd.DataFrame({"k": key[0]} | {n: pd.array(c, dtype=kind) for (n, kind), c in zip(self.COLUMNS.items(), zip(*out))})
 
     def close(self) -> None:
         pass

@@ -171,3 +171,13 @@ def test_messages_are_kept_once_however_many_subscribe(spark, tmp_path, monkeypa
     got = stream_queries.stream_subscribers(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("a", 80, 4), ("b", 80, 4)]
     assert kept[0].count() == 40
+
+
+def test_response_takes_files_that_are_not_in_order_of_time(spark, rows, tmp_path):
+    from sentrymill.plans import stream_queries
+
+    feed = rows[0].select(F.col("o").alias("feed_id"), F.col("k").alias("src_ip"), "ts", F.col("score").alias("malicious_probability"))
+    for part in range(4):
+        feed.where(F.col("feed_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed.parquet")
+    got = stream_queries.stream_response(spark, str(tmp_path))
+    same(got, state.response_tiers(feed, "src_ip", "ts", "malicious_probability", "feed_id", 6 * 3_600_000_000, 288 * state.BLOCK_US))
