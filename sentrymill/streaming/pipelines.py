@@ -319,9 +319,21 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def publish(stream: DataFrame, channel: str, folder: str, fmt: str = "json", **options) -> str:
-    """Writes what arrives to a sink with one place per channel, each row once; returns the place. ``fmt`` is any sink format of the session that takes a path."""
-    writer = stream.writeStream.format(fmt).outputMode("append").partitionBy(channel).options(**options)
+def place_of(channel: Column, places: int) -> Column:
+    """The place of a channel where ``publish`` shares places."""
+    return F.pmod(F.xxhash64(channel), F.lit(places)).cast("int")
+
+
+def publish(stream: DataFrame, channel: str, folder: str, fmt: str = "json", places: int | None = None, **options) -> str:
+    """Writes what arrives to a sink with one place per channel, each row once; returns the place. ``fmt`` is any sink format of the session that takes a path.
+
+    With ``places`` the channels share so many by their hash (partition column ``place``) and rows keep their channel: for many channels, since
+    a folder and a file each cost more than their rows. Rows of a place meet in one task, so that a micro-batch adds one file to it.
+    """
+    if places:
+        stream = stream.withColumn("place", place_of(F.col(channel), places))
+    by = "place" if places else channel
+    writer = stream.repartition(by).writeStream.format(fmt).outputMode("append").partitionBy(by).options(**options)
     query = writer.option("path", f"{folder}/published").option("checkpointLocation", f"{folder}/published-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return f"{folder}/published"

@@ -181,3 +181,27 @@ def test_response_takes_files_that_are_not_in_order_of_time(spark, rows, tmp_pat
         feed.where(F.col("feed_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed.parquet")
     got = stream_queries.stream_response(spark, str(tmp_path))
     same(got, state.response_tiers(feed, "src_ip", "ts", "malicious_probability", "feed_id", 6 * 3_600_000_000, 288 * state.BLOCK_US))
+
+
+def test_files_published_are_no_more_than_places(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from sentrymill.plans import stream_queries
+
+    data = [(i, f"chat-{i % 200}" if i % 200 else "", f"t {i}\n", f"s{i}") for i in range(1200)] + [(1200, None, "x", "s")]
+    messages = spark.createDataFrame(data, "delivery_id long, chat_id string, text string, sender string")
+    messages.repartition(3).write.parquet(f"{tmp_path}/messages.parquet")
+    places, publish = [], sp.publish
+
+    def watched(*args, **settings):
+        places.append(publish(*args, **settings))
+        return places[-1]
+
+    monkeypatch.setattr(sp, "publish", watched)
+    got = stream_queries.stream_publish(spark, str(tmp_path))
+    same(got, messages.where("chat_id IS NOT NULL").select("chat_id", "delivery_id", F.length("text").alias("characters")))
+    assert len(list(Path(places[0].removeprefix("file:")).rglob("*.json"))) <= stream_queries.PLACES
+    own = spark.read.schema("delivery_id bigint, chat_id string").json(places[0]).where((F.col("place") == sp.place_of(F.lit("chat-7"), stream_queries.PLACES)) & (F.col("chat_id") == "chat-7"))
+    assert own.count() == 6
+    by_channel = publish(sp.from_files(spark, f"{tmp_path}/messages.parquet", messages.schema, None).where("chat_id LIKE 'chat-1_'"), "chat_id", str(tmp_path / "each"))
+    assert len(list(Path(by_channel).glob("chat_id=*/*.json"))) == 10 and spark.read.json(by_channel).count() == 60
