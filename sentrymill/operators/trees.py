@@ -2,7 +2,8 @@
 
 Trees grow level by level. A level is one pass over all rows, for all trees at once: rows are placed in
 their open node by the splits so far (an expression, no row is rewritten), reduced to one row per node,
-feature and distinct value before the shuffle, and summed up along the values. The running sums have two
+feature and distinct value before the shuffle, and summed up along the values. On many rows, classifiers first rule out
+ranges of values that can't hold the best split (``tree_ranges``), which takes a pass more and leaves few values. The running sums have two
 levels: values fall into up to ``CUTS`` + 1 ranges of their feature, sums are taken inside a range, and
 the ranges' totals are added. So every distinct value is tried as a threshold (``x <= t`` goes left) and no
 task holds a node. The driver holds the trees and, per level, one best split for each open node.
@@ -28,12 +29,15 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrymill.operators import tree_ranges as ranges
 from sentrymill.operators.scoring import FlatTree
 from sentrymill.sources.tables import checkpointed, small_rows
 
 CUTS = 63
 PURE = 1e-7
 CLASS_BOUND = 1_000
+#: Rows of all trees up to which all their values are tried at once.
+DIRECT = 1_000_000
 LOSS_EVERY, LOSS_ENOUGH = 10, 1e-4
 #: Chances of at most 0, 1, ... 7 copies of a row, for a Poisson number with mean 1.
 POISSON = tuple(sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(8))
@@ -149,7 +153,12 @@ def candidate_splits(placed: DataFrame, totals: DataFrame, criterion: Criterion,
     ranges = by_value.groupBy(*own, "range").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
     before = ranges.select(*own, "range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"b_{c}") for c in ("n", *names)])
     upto = by_value.select(*own, "range", "v", *[F.sum(c).over(inside).alias(c) for c in ("n", *names)]).join(before, [*own, "range"])
-    left = upto.select(*own, "v", *[(F.col(c) + F.col(f"b_{c}")).alias(c) for c in ("n", *names)])
+    return _scored(upto.select(*own, "v", *[(F.col(c) + F.col(f"b_{c}")).alias(c) for c in ("n", *names)]), totals, criterion, min_leaf)
+
+
+def _scored(left: DataFrame, totals: DataFrame, criterion: Criterion, min_leaf: int) -> DataFrame:
+    """Allowed splits with their score, of (tree, node, f, v) with the sums of the rows up to v."""
+    own, names = ["tree", "node", "f"], [f"s{i}" for i in range(criterion.size)]
     both = left.join(F.broadcast(totals.select("tree", "node", *[F.col(c).alias(f"t_{c}") for c in ("n", *names)])), ["tree", "node"])  # one row per open node
     other = {c: F.col(f"t_{c}") - F.col(c) for c in ("n", *names)}
     allowed = both.where((F.col("n") >= min_leaf) & (other["n"] >= min_leaf))
@@ -157,8 +166,26 @@ def candidate_splits(placed: DataFrame, totals: DataFrame, criterion: Criterion,
     return allowed.select(*own, "v", "n", *names, F.round(score, 12).alias("score"))
 
 
-def grow(rows: DataFrame, criterion: Criterion, weights: list[Column], cuts: list[list[float]], max_depth: int = 10, min_split: int = 2, min_leaf: int = 1) -> list[Tree]:
-    """One tree per weight column, all levels at once for all trees."""
+def _promising_splits(rows: DataFrame, level: ranges.Level, totals: DataFrame, criterion: Criterion, min_leaf: int) -> DataFrame:
+    """As ``candidate_splits``, without those that can't be best, of rows (x, y, ws)."""
+    spark, names = rows.sparkSession, [f"s{i}" for i in range(criterion.size)]
+    found, values = ranges.promising(rows, level)
+    own, sums = ["tree", "node", "f", "range"], ["n", *names]
+    kinds = "tree int, node int, f int, range int, "
+    doubles = lambda of: ", ".join(f"{c} double" for c in of)
+    before = spark.createDataFrame([(*level.open_[r.slot], r.f, r.r, sum(r.before), *r.before) for r in found], kinds + doubles([f"b_{c}" for c in sums]))
+    known = spark.createDataFrame([(*level.open_[r.slot], r.f, r.r, r.v, sum(r.own), *r.own) for r in found if r.v is not None], kinds + doubles(["v", *sums]))
+    slots = F.broadcast(spark.createDataFrame([(i, *o) for i, o in enumerate(level.open_)], "slot int, tree int, node int"))  # one row per open node
+    parts = [F.sum(F.when(F.col("c") == i, F.col("w")).otherwise(F.lit(0.0))).alias(n) for i, n in enumerate(names)]
+    by_value = values.groupBy("slot", "f", F.col("r").alias("range"), "v").agg(F.sum("w").alias("n"), *parts).join(slots, "slot").select(*own, "v", *sums).unionByName(known)
+    inside = Window.partitionBy(*own).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_value.select(*own, "v", *[F.sum(c).over(inside).alias(c) for c in sums]).join(before, own)
+    left = upto.select("tree", "node", "f", "v", *[(F.col(c) + F.col(f"b_{c}")).alias(c) for c in sums])
+    return _scored(left, totals, criterion, min_leaf)
+
+
+def grow(rows: DataFrame, criterion: Criterion, weights: list[Column], cuts: list[list[float]] | None = None, max_depth: int = 10, min_split: int = 2, min_leaf: int = 1) -> list[Tree]:
+    """One tree per weight column, all levels at once for all trees. Classes of more than DIRECT rows have their values tried only where ``tree_ranges`` can't rule them out."""
     spark = rows.sparkSession
     x, y = F.col("x"), F.col("y")
     sums = [F.struct(F.coalesce(F.sum(w), F.lit(0.0)), *[F.coalesce(F.sum(p), F.lit(0.0)) for p in criterion.parts(y, w)]) for w in weights]
@@ -172,6 +199,15 @@ def grow(rows: DataFrame, criterion: Criterion, weights: list[Column], cuts: lis
     open_ = {(t, 0) for t in range(len(trees))}
     wanted = lambda node: node.depth < max_depth and node.n >= min_split and node.impurity >= PURE
     open_ = {(t, i) for t, i in open_ if wanted(trees[t].nodes[i])}
+    fine, weighted = None, rows
+    if criterion.kind != "mse" and criterion.size <= ranges.MOST_CLASSES and sum(t.nodes[0].n for t in trees) > DIRECT:
+        shortest, width = rows.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
+        if shortest == width > 0:
+            # One pass of few tasks: each of them sums up all ranges.
+            weighted = rows.select("x", "y", F.array(*[w.cast("double") for w in weights]).alias("ws")).coalesce(spark.sparkContext.defaultParallelism)
+            fine = ranges.fine_cuts(weighted, width)
+    if not fine and cuts is None:
+        cuts = _cuts(rows)
     while open_:
         at = [
             F.struct(F.lit(t).alias("tree"), tree.column(x, lambda i, _, t=t: F.lit(i) if (t, i) in open_ else F.lit(None).cast("int")).alias("node"), w.cast("double").alias("w"))
@@ -183,7 +219,10 @@ def grow(rows: DataFrame, criterion: Criterion, weights: list[Column], cuts: lis
         known = spark.createDataFrame(
             [(t, i, float(trees[t].nodes[i].n), *map(float, trees[t].nodes[i].sums)) for t, i in sorted(open_)], "tree int, node int, " + ", ".join(f"{c} double" for c in names)
         )
-        splits = candidate_splits(placed, known, criterion, cuts, min_leaf)
+        if fine:
+            splits = _promising_splits(weighted, ranges.Level(trees, sorted(open_), fine, criterion.kind, criterion.classes, min_leaf), known, criterion, min_leaf)
+        else:
+            splits = candidate_splits(placed, known, criterion, cuts, min_leaf)
         best = splits.groupBy("tree", "node").agg(F.min(F.struct("score", "f", "v", *names)).alias("best")).collect()  # one row per open node
         fresh = set()
         for r in best:
@@ -207,7 +246,7 @@ def _classes(rows: DataFrame) -> list[float]:
 def fit_classifier(df: DataFrame, features: str, label: str, criterion: str = "gini", **settings) -> Tree:
     rows = _rows(df, features, label, None).persist()
     try:
-        return grow(rows, Criterion(criterion, _classes(rows)), [F.lit(1.0)], _cuts(rows), **settings)[0]
+        return grow(rows, Criterion(criterion, _classes(rows)), [F.lit(1.0)], **settings)[0]
     finally:
         rows.unpersist()
 
@@ -215,7 +254,7 @@ def fit_classifier(df: DataFrame, features: str, label: str, criterion: str = "g
 def fit_regressor(df: DataFrame, features: str, label: str, **settings) -> Tree:
     rows = _rows(df, features, label, None).persist()
     try:
-        return grow(rows, Criterion("mse"), [F.lit(1.0)], _cuts(rows), **settings)[0]
+        return grow(rows, Criterion("mse"), [F.lit(1.0)], **settings)[0]
     finally:
         rows.unpersist()
 
@@ -250,11 +289,11 @@ class Forest:
 
 
 def fit_forest(df: DataFrame, features: str, label: str, key: str, trees: int = 20, criterion: str = "gini", seed: int = 42, bootstrap: bool = True, **settings) -> Forest:
-    rows = _rows(df, features, label, key).persist()
+    copies = [poisson_copies("key", t, seed) if bootstrap else F.lit(1.0) for t in range(trees)]
+    rows = _rows(df, features, label, key).select("x", "y", F.array(*copies).alias("copies")).persist()
     try:
         classes = _classes(rows)
-        weights = [poisson_copies("key", t, seed) if bootstrap else F.lit(1.0) for t in range(trees)]
-        return Forest(grow(rows, Criterion(criterion, classes), weights, _cuts(rows), **settings), classes)
+        return Forest(grow(rows, Criterion(criterion, classes), [F.get("copies", F.lit(t)) for t in range(trees)], **settings), classes)
     finally:
         rows.unpersist()
 

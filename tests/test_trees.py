@@ -117,3 +117,26 @@ def test_nulls_constants_and_empty_tables(spark):
 def test_poisson_copies_have_mean_and_variance_one(spark):
     got = spark.range(20_000).select(trees.poisson_copies("id", 3, 42).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
     assert abs(got[0] - 1) < 0.03 and abs(got[1] - 1) < 0.06
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_values_ruled_out_by_ranges_leave_the_same_trees(spark, monkeypatch, criterion):
+    for name, value in {"FINE": 32, "POINTS": 64, "ROWS_A_RANGE": 5}.items():
+        monkeypatch.setattr(trees.ranges, name, value)
+    rng = random.Random(5)
+
+    def row(i):
+        y = rng.randrange(3)
+        return i, [rng.choice([0.0, 0.0, rng.gauss(y, 2)]), float(rng.randrange(4)), None if i % 9 == 0 else round(rng.uniform(-1, 1), 2), 7.0], float(y)
+
+    df = spark.createDataFrame([row(i) for i in range(600)], ROWS).repartition(5).persist()
+    whole = trees.fit_forest(df, "x", "y", "k", trees=3, criterion=criterion, max_depth=4, min_leaf=2)
+    tried, scored = [], trees._scored
+    monkeypatch.setattr(trees, "_scored", lambda left, *args: tried.append(left.count()) or scored(left, *args))
+    monkeypatch.setattr(trees, "DIRECT", 0)
+    assert trees.fit_forest(df, "x", "y", "k", trees=3, criterion=criterion, max_depth=4, min_leaf=2) == whole
+    fewer = sum(tried)
+    monkeypatch.setattr(trees, "DIRECT", 1_000_000)
+    tried.clear()
+    trees.fit_forest(df, "x", "y", "k", trees=3, criterion=criterion, max_depth=4, min_leaf=2)
+    assert fewer < sum(tried) / 2
