@@ -26,7 +26,7 @@ FINE, POINTS, ROWS_A_RANGE, CELLS = 8_192, 4_096, 400, 4_000_000
 MOST_CLASSES = 8
 #: Of the rows of a node; scores are compared to 12 digits.
 SLACK = 1e-9
-SUMMED, FOUND, VALUES = "slot int, sums binary", "slot int, f int, r int, v double, own array<double>, before array<double>", "slot int, f int, r int, v double, c int, w double"
+SUMMED, FOUND, VALUES = "slot int, sums binary", "slot int, f int, r int, v double, own array<double>, before array<double>", "tree int, node int, f int, range int, v double, c int, w double"
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
@@ -200,8 +200,9 @@ class Level:
                     parts.append((slots[i], np.full(len(i), f), at[i] - self.base[slots[i], f], x[f, kept[i]], y[kept[i]], w[i]))
             if parts:
                 slot, f, r, v, c, w = (np.concatenate(p) for p in zip(*parts))
-                whole = [pa.array(a.astype(kind)) for a, kind in ((slot, np.int32), (f, np.int32), (r, np.int32), (v, np.float64), (c, np.int32), (w, np.float64))]
-                yield pa.RecordBatch.from_arrays(whole, names=["slot", "f", "r", "v", "c", "w"])
+                tree, node = np.array(self.open_)[slot].T
+                whole = [pa.array(a.astype(kind)) for a, kind in ((tree, np.int32), (node, np.int32), (f, np.int32), (r, np.int32), (v, np.float64), (c, np.int32), (w, np.float64))]
+                yield pa.RecordBatch.from_arrays(whole, names=["tree", "node", "f", "range", "v", "c", "w"])
 
 
 def promising(rows: DataFrame, level: Level) -> tuple[list, DataFrame]:

@@ -168,20 +168,17 @@ def _scored(left: DataFrame, totals: DataFrame, criterion: Criterion, min_leaf:
 
 def _promising_splits(rows: DataFrame, level: ranges.Level, totals: DataFrame, criterion: Criterion, min_leaf: int) -> DataFrame:
     """As ``candidate_splits``, without those that can't be best, of rows (x, y, ws)."""
-    spark, names = rows.sparkSession, [f"s{i}" for i in range(criterion.size)]
+    names = [f"s{i}" for i in range(criterion.size)]
     found, values = ranges.promising(rows, level)
     own, sums = ["tree", "node", "f", "range"], ["n", *names]
-    kinds = "tree int, node int, f int, range int, "
-    doubles = lambda of: ", ".join(f"{c} double" for c in of)
-    before = spark.createDataFrame([(*level.open_[r.slot], r.f, r.r, sum(r.before), *r.before) for r in found], kinds + doubles([f"b_{c}" for c in sums]))
-    known = spark.createDataFrame([(*level.open_[r.slot], r.f, r.r, r.v, sum(r.own), *r.own) for r in found if r.v is not None], kinds + doubles(["v", *sums]))
-    slots = F.broadcast(spark.createDataFrame([(i, *o) for i, o in enumerate(level.open_)], "slot int, tree int, node int"))  # one row per open node
+    # Sums before a range come first in it, as a row without a value.
+    known = [(*level.open_[r.slot], r.f, r.r, None, sum(r.before), *r.before) for r in found] + [(*level.open_[r.slot], r.f, r.r, r.v, sum(r.own), *r.own) for r in found if r.v is not None]
+    known = rows.sparkSession.createDataFrame(known, "tree int, node int, f int, range int, v double, " + ", ".join(f"{c} double" for c in sums)).coalesce(1)
     parts = [F.sum(F.when(F.col("c") == i, F.col("w")).otherwise(F.lit(0.0))).alias(n) for i, n in enumerate(names)]
-    by_value = values.groupBy("slot", "f", F.col("r").alias("range"), "v").agg(F.sum("w").alias("n"), *parts).join(slots, "slot").select(*own, "v", *sums).unionByName(known)
-    inside = Window.partitionBy(*own).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = by_value.select(*own, "v", *[F.sum(c).over(inside).alias(c) for c in sums]).join(before, own)
-    left = upto.select("tree", "node", "f", "v", *[(F.col(c) + F.col(f"b_{c}")).alias(c) for c in sums])
-    return _scored(left, totals, criterion, min_leaf)
+    by_value = values.groupBy(*own, "v").agg(F.sum("w").alias("n"), *parts).unionByName(known)
+    inside = Window.partitionBy(*own).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    left = by_value.select("tree", "node", "f", "v", *[F.sum(c).over(inside).alias(c) for c in sums])
+    return _scored(left.where("v IS NOT NULL"), totals, criterion, min_leaf)
 
 
 def grow(rows: DataFrame, criterion: Criterion, weights: list[Column], cuts: list[list[float]] | None = None, max_depth: int = 10, min_split: int = 2, min_leaf: int = 1) -> list[Tree]:
